@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sealedspark.llm import bpe, langid, minhash, secrets, sharding
+from sealedspark.llm import bpe, decontaminate, langid, minhash, quality, secrets, sentences, sharding
 from sealedspark.llm.common import table
 
 
@@ -12,6 +13,16 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("__doc.doc_id", "perplexity", "threshold", (~F.col("rejected")).alias("kept"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row"), "text")
+    return decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).withColumnRenamed("row", "doc_id")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_spans(table(spark, sf_dir, "documents")))
 
@@ -20,6 +31,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), limit=1 << 20)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~langid.held_out()))
@@ -34,7 +49,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
 
 
-_ALL = [op1_minhash_near_dedup, op4_secret_scan, op6_sharding, op9_language_id, op10_byte_bpe]
+_ALL = [op1_minhash_near_dedup, op2_quality, op3_decontamination, op4_secret_scan, op6_sharding, op8_substring_dedup, op9_language_id, op10_byte_bpe]
 
 
 def queries() -> dict:
