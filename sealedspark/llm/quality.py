@@ -163,8 +163,8 @@ def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, slack: flo
     rejected; nor is any document where nothing is trusted. Repeated rows are judged each.
     """
     original = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("id"),
-                           F.col("text"), F.col("lang"), original.alias("__doc")))
+    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), original.alias("__doc")))
+    rows = rows.select("row", F.col("__doc.doc_id").cast("long").alias("id"), "__doc.text", "__doc.lang", "__doc")
     good = labels.groupBy(F.col("doc_id").cast("long").alias("id"))
     good = good.agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND t = 0").select("id")
     held = F.pmod(F.xxhash64("id"), F.lit(5)) == 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealedspark.llm import bpe, decontaminate, langid, minhash, quality, secrets, sentences, sharding
+from sealedspark.llm import bpe, decontaminate, langid, minhash, neighbours, pages, quality, secrets, sentences, sharding
 from sealedspark.llm.common import table
 
 
@@ -27,10 +27,18 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(secrets.find_spans(table(spark, sf_dir, "documents")))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), limit=1 << 20)
 
 
+def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), lambda i: F.pmod(i, F.lit(100)) == 0)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.dedup(table(spark, sf_dir, "documents"))
 
@@ -49,7 +57,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
 
 
-_ALL = [op1_minhash_near_dedup, op2_quality, op3_decontamination, op4_secret_scan, op6_sharding, op8_substring_dedup, op9_language_id, op10_byte_bpe]
+_ALL = [op1_minhash_near_dedup, op2_quality, op3_decontamination, op4_secret_scan, op5_html_extraction, op6_sharding, op7_nn_descent, op8_substring_dedup, op9_language_id, op10_byte_bpe]
 
 
 def queries() -> dict:
