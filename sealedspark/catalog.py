@@ -2,43 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealedspark import policy, retrieval, vectors
-
-# The policy of an embedding by its label (0-9), and the callers of the queries.
-POLICIES = ["role:doctor AND dept:cardio", "role:nurse", "2-of(role:nurse, clearance:2, role:pharmacist)",
-            "role:doctor OR role:patient", "role:patient"]
-CALLERS = [(0, ["role:nurse"]), (1, ["role:doctor", "dept:cardio"]), (2, ["clearance:2", "role:pharmacist"]),
-           (3, ["role:patient"]), (4, ["role:visitor"])]
-_HOLDS = {0: [1], 1: [0], 2: [2], 3: [1, 3], 4: [3]}  # policy -> callers, worked out by hand for the oracles
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _read(spark, sf_dir, "embeddings")
-    names = F.array(*map(F.lit, POLICIES))
-    return e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"), F.get(names, F.col("label") % 5).alias("policy"))
-
-
-def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty queries: the vectors 0-19, asked by caller vec_id % 5."""
-    callers = spark.createDataFrame(CALLERS, "caller long, attrs array<string>")
-    e = _read(spark, sf_dir, "embeddings").where("vec_id < 20")
-    q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"), (F.col("vec_id") % 5).alias("caller"))
-    return q.join(F.broadcast(callers), "caller").drop("caller")
-
+from sealedspark import catalog_responses, policy, retrieval, vectors
+from sealedspark.catalog_tables import CALLERS, HOLDS, POLICIES, read, requests, vector_docs
 
 def authorized_topk(spark, sf_dir):
-    return retrieval.rank_quantized(_vectors(spark, sf_dir), _requests(spark, sf_dir), POLICIES, 5)
+    return retrieval.rank_quantized(vector_docs(spark, sf_dir), requests(spark, sf_dir), POLICIES, 5)
 
 
 def unfiltered_topk(spark, sf_dir):
-    return retrieval.rank_quantized(_vectors(spark, sf_dir), _requests(spark, sf_dir), None, 5)
+    return retrieval.rank_quantized(vector_docs(spark, sf_dir), requests(spark, sf_dir), None, 5)
 
 
 def hit_rate_by_query(spark, sf_dir):
@@ -46,12 +20,12 @@ def hit_rate_by_query(spark, sf_dir):
 
 
 def quantized_vectors(spark, sf_dir):
-    e = _read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vectors.quantize(F.col("embedding"), 2)).alias("pos", "q"))
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vectors.quantize(F.col("embedding"), 2)).alias("pos", "q"))
     return e.groupBy("vec_id").agg(F.sum("q").alias("total"), F.sum(F.col("q") * (F.col("pos") + 1)).alias("weighted"))
 
 
 def hash_embedding(spark, sf_dir):
-    return vectors.hash_embed(_read(spark, sf_dir, "documents"), 768)
+    return vectors.hash_embed(read(spark, sf_dir, "documents"), 768)
 
 
 def policy_matrix(spark, sf_dir):
@@ -71,7 +45,7 @@ s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_sum(list_transform(l
   FROM d JOIN d AS q ON q.vec_id < 20 {gate}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM s)
 SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 5"""
-_OK = ", ".join(f"({p}, {c})" for p, cs in _HOLDS.items() for c in cs)
+_OK = ", ".join(f"({p}, {c})" for p, cs in HOLDS.items() for c in cs)
 _GATE = "JOIN ok ON ok.p = d.p AND ok.c = q.vec_id % 5"
 _AUTH = _TOPK.format(qe=_QUANT.format("embedding"), ok=_OK, gate=_GATE)
 _FREE = _TOPK.format(qe=_QUANT.format("embedding"), ok=_OK, gate="")
@@ -101,3 +75,5 @@ SELECT doc_id, (((p[1] % 768 * 256 + p[2]) % 768 * 256 + p[3]) % 768 * 256 + p[4
     "policy_min_attrs": "SELECT policy, n::BIGINT AS min_attrs FROM (VALUES "
     + ", ".join(f"('{p}', {n})" for p, n in zip(POLICIES, (2, 1, 2, 1, 1), strict=True)) + ") t(policy, n)",
 }
+QUERIES |= catalog_responses.QUERIES
+ORACLES |= catalog_responses.ORACLES | {"sealed_topk": _AUTH}
