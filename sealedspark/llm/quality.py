@@ -14,12 +14,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sealedspark.llm.common import cut, drop, free_shuffles, small_enough
+from sealedspark.llm.common import cut, free_shuffles, maybe_broadcast, small_enough
 
 ORDER = 4
+# At most so many trusted ids are broadcast (8 bytes each); more are joined by shuffle.
+MAX_TRUSTED = 1_000_000
 _START = np.full(ORDER - 1, 2, np.uint64)
 
 
@@ -116,11 +120,11 @@ def _sum_with(shared):
         keys, logs = (np.frombuffer(b, t) for b, t in zip(shared.value, (np.uint64, np.float64), strict=True))
         for batch in batches:
             sums, sizes = [], []
-            for t in batch.column("text").to_pylist():
+            for t in pc.struct_field(batch.column("__doc"), "text").to_pylist():
                 k = grams(t)
                 sums.append(float(logs[np.searchsorted(keys, k)].sum()) if len(k) else 0.0)
                 sizes.append(len(k))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(sums), pa.array(sizes, pa.int64())], names=["row", "s", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("__doc"), pa.array(sums, pa.float64()), pa.array(sizes, pa.int64())], names=["__doc", "s", "n"])
 
     return run
 
@@ -133,24 +137,32 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(cols, names=["row", "key", "c"])
 
 
-def perplexities(rows: DataFrame, model: dict, max_broadcast: int = 2_000_000) -> DataFrame:
-    """row, perplexity of every row of `rows` (row, text); null for a null or empty text.
+def scorer(docs: DataFrame, model: dict, max_broadcast: int = 2_000_000):
+    """A function that adds `perplexity` to rows of `docs` given as one struct __doc; null for a null or empty text.
 
-    Up to `max_broadcast` distinct 4-grams (16 bytes each) are broadcast, more are joined by shuffle.
+    Up to `max_broadcast` distinct 4-grams (16 bytes each) are broadcast: documents then pass by once and are
+    neither stored nor shuffled. More are joined by shuffle, over a copy of the rows with fixed row numbers.
     """
-    scored = cut(score_grams(_count(rows).select("key"), model))
-    src = rows.select("row", "text")
+    scored = cut(score_grams(_count(docs).select("key"), model))
     if small_enough(scored, max_broadcast):
         t = scored.toArrow()
         keys = t.column("key").to_numpy().view(np.uint64)
         order = np.argsort(keys)
         pair = (keys[order].tobytes(), t.column("logp").to_numpy()[order].tobytes())
-        sums = src.mapInArrow(_sum_with(rows.sparkSession.sparkContext.broadcast(pair)), "row long, s double, n long")
-    else:
-        each = src.mapInArrow(_spread, "row long, key long, c long").join(scored, "key")
-        sums = each.groupBy("row").agg(F.sum(F.col("c") * F.col("logp")).alias("s"), F.sum("c").alias("n"))
-        sums = rows.select("row").join(sums, "row", "left")
-    return sums.select("row", F.when(F.col("n") > 0, F.exp(-F.col("s") / F.col("n"))).alias("perplexity"))
+        shared = docs.sparkSession.sparkContext.broadcast(pair)
+
+    def add(rows: DataFrame) -> DataFrame:
+        if small_enough(scored, max_broadcast):
+            kind = T.StructType([rows.schema["__doc"], T.StructField("s", T.DoubleType()), T.StructField("n", T.LongType())])
+            sums = rows.select("__doc").mapInArrow(_sum_with(shared), kind)
+        else:
+            fixed = cut(rows.select(F.monotonically_increasing_id().alias("row"), "__doc"))
+            each = fixed.select("row", "__doc.text").mapInArrow(_spread, "row long, key long, c long").join(scored, "key")
+            sums = each.groupBy("row").agg(F.sum(F.col("c") * F.col("logp")).alias("s"), F.sum("c").alias("n"))
+            sums = fixed.join(sums, "row", "left")
+        return sums.select("__doc", F.when(F.col("n") > 0, F.exp(-F.col("s") / F.col("n"))).alias("perplexity"))
+
+    return add
 
 
 def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, slack: float = 1.25, max_broadcast: int = 2_000_000) -> DataFrame:
@@ -159,24 +171,24 @@ def score(docs: DataFrame, labels: DataFrame, quantile: float = 0.98, slack: flo
     Trusted are documents whose labels all say quality 1 and toxic 0; a fifth of them, by hash of doc_id, is
     kept out of the training and sets each language's threshold: `slack` times the `quantile` of their
     perplexities (that over all languages where a language, or null, has fewer than 20). Returns __doc (the row
-    as it came), row, perplexity, threshold, rejected. A null or empty text has no perplexity and is not
+    as it came), perplexity, threshold, rejected. A null or empty text has no perplexity and is not
     rejected; nor is any document where nothing is trusted. Repeated rows are judged each.
     """
-    original = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), original.alias("__doc")))
-    rows = rows.select("row", F.col("__doc.doc_id").cast("long").alias("id"), "__doc.text", "__doc.lang", "__doc")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__doc"))
     good = labels.groupBy(F.col("doc_id").cast("long").alias("id"))
     good = good.agg(F.min("quality").alias("q"), F.max("toxic").alias("t")).where("q = 1 AND t = 0").select("id")
     held = F.pmod(F.xxhash64("id"), F.lit(5)) == 0
-    trusted = rows.join(good, "id", "left_semi")
-    model = train(trusted.where(~held).select("text"))
-    ppl = cut(perplexities(rows, model, max_broadcast))
-    test = trusted.where(held).select("row", "lang").join(ppl, "row").where("perplexity IS NOT NULL")
+    # trusted ids (8 bytes each) are broadcast up to a checked number, so that texts are not shuffled
+    trusted = rows.withColumn("id", F.col("__doc.doc_id").cast("long")).join(maybe_broadcast(cut(good), MAX_TRUSTED), "id", "left_semi")
+    model = train(trusted.where(~held).select("__doc.text"))
+    add = scorer(rows.select("__doc.text"), model, max_broadcast)
+    used = F.struct(F.col("__doc.text").alias("text"), F.col("__doc.lang").alias("lang")).alias("__doc")
+    test = cut(add(trusted.where(held).select(used)).select("__doc.lang", "perplexity").where("perplexity IS NOT NULL"))
     q = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000)).alias("q")
     by_lang = test.groupBy("lang").agg(q, F.count("*").alias("n")).where("n >= 20 AND lang IS NOT NULL").select("lang", "q")
     overall = test.agg(q).first()["q"]
-    out = rows.select("row", "__doc", "lang").join(ppl, "row").join(by_lang, "lang", "left")
+    out = add(rows).withColumn("lang", F.col("__doc.lang")).join(maybe_broadcast(cut(by_lang), 100_000), "lang", "left")
     limit = F.coalesce(F.col("q"), F.lit(overall).cast("double")) * slack
     out = out.withColumn("threshold", limit)
     free_shuffles(docs.sparkSession)
-    return out.select("__doc", "row", "perplexity", "threshold", F.coalesce(F.col("perplexity") > F.col("threshold"), F.lit(False)).alias("rejected"))
+    return out.select("__doc", "perplexity", "threshold", F.coalesce(F.col("perplexity") > F.col("threshold"), F.lit(False)).alias("rejected"))

@@ -14,7 +14,8 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = quality.score(docs, table(spark, sf_dir, "labels"))
     return found.select("__doc.doc_id", "perplexity", "threshold", (~F.col("rejected")).alias("kept"))
 
 
