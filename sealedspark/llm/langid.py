@@ -90,11 +90,15 @@ def fit(labelled: DataFrame, sample: int = 4000, buckets: int = 4096, reject: fl
     """A model from `labelled` (doc_id, text, lang), on at most `sample` of its rows with a text and a lang.
 
     The sample are the rows with the smallest hashes of doc_id and text: its bound is this parameter, so the
-    driver holds at most sample x buckets floats. A fifth of it calibrates: the temperature of least log loss,
+    driver holds at most sample x buckets floats. Rows are counted first, and only those whose hash can be among
+    the smallest (about 2 x sample + 1000 of them, however large the table) are sorted. A fifth of it calibrates: the temperature of least log loss,
     and the threshold under which a share `reject` of its rows falls. Without a usable row there are no labels.
     """
     use = labelled.where("lang IS NOT NULL").where(F.col("text").rlike(r"\p{L}"))
-    use = use.orderBy(F.xxhash64(F.col("doc_id").cast("string"), "text"), "lang").limit(sample).select("lang", "text")
+    use = use.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"))
+    share = (2 * sample + 1000) / max(use.count(), 1)
+    near = use if share >= 1 else use.where(F.col("h") < F.lit(int((share - 0.5) * 2**64)))
+    use = near.orderBy("h", "lang").limit(sample).select("lang", "text")
     rows = use.mapInArrow(_featurize(buckets), "lang string, x binary").collect()
     labels = sorted({r.lang for r in rows})
     model = {"labels": labels, "buckets": buckets, "temperature": 1.0, "threshold": 0.0}
