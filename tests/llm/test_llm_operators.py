@@ -149,3 +149,13 @@ def test_neighbours(spark):
     assert neighbours.search(df.limit(0), lambda i: i % 20 == 0).count() == 0
     few = spark.createDataFrame([(i, [1.0, float(i > 2)]) for i in range(5)], "vec_id long, embedding array<double>")
     assert [r.vec_id for r in neighbours.search(few, lambda i: i == 0).orderBy("rank").collect()] == [1, 2, 3, 4]
+
+
+def test_language_sample_is_that_of_a_full_sort(spark):
+    words = {"aa": "lorem ipsum dolor", "bb": "zwyx qwrt vbnm"}
+    docs = spark.createDataFrame([(i, f"{words[x]} {i}", x) for i in range(3000) for x in ["ab"[i % 2] * 2]], "doc_id long, text string, lang string")
+    model = langid.fit(docs, sample=40)
+    assert model["labels"] == ["aa", "bb"]
+    joined = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id")
+    assert joined.where("lang_pred = lang").count() == 3000
+    assert langid.fit(docs.limit(0))["labels"] == []
