@@ -156,8 +156,8 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             texts.append([t for t, _ in found])
             sure.append([s for _, s in found])
             prints.append([np.uint64(xxhash.xxh64_intdigest(t.encode("utf-8", "replace"))).view(np.int64) for t, s in found if not s])
-        cols = [batch.column("row"), pa.array(hosts), pa.array(paths), pa.array(texts, pa.list_(pa.string())), pa.array(sure, pa.list_(pa.bool_())), pa.array(prints, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(cols, names=["row", "host", "path", "texts", "sure", "prints"])
+        cols = [*(batch.column(c) for c in ("row", "page_id", "url")), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(texts, pa.list_(pa.string())), pa.array(sure, pa.list_(pa.bool_())), pa.array(prints, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["row", "page_id", "url", "host", "path", "texts", "sure", "prints"])
 
 
 def _alike(a: str, b: str) -> int:
@@ -187,8 +187,9 @@ def extract(pages: DataFrame) -> DataFrame:
     without a readable host are compared with none. The order of host and path is dealt out by range, so a host
     with many pages is spread; the pages at the ends of two ranges are passed on beside each other.
     """
-    src = cut(pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url", "html"))
-    parsed = cut(src.select("row", "url", "html").mapInArrow(_parse, "row long, host string, path string, texts array<string>, sure array<boolean>, prints array<long>"))
+    src = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    # row numbers are fixed by the table of parsed pages; raw html is neither stored nor read again
+    parsed = cut(src.mapInArrow(_parse, "row long, page_id long, url string, host string, path string, texts array<string>, sure array<boolean>, prints array<long>"))
     open_ = parsed.where("size(prints) > 0 AND host <> ''").select(F.struct("host", "path", "row", "prints").alias("own"))
     order = ["own.host", "own.path", "own.row"]
     dealt = cut(open_.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
@@ -202,7 +203,7 @@ def extract(pages: DataFrame) -> DataFrame:
         F.col("own.row").alias("row"), "own", F.coalesce("before", "hi_before").alias("before"), F.coalesce("after", "lo_after").alias("after")
     )
     shared = beside.mapInArrow(_difference, "row long, shared array<boolean>")
-    both = src.select("row", "page_id", "url").join(parsed.select("row", "texts", "sure"), "row").join(shared, "row", "left")
+    both = parsed.select("row", "page_id", "url", "texts", "sure").join(shared, "row", "left")
     return both.mapInArrow(_join, "page_id long, url string, text string, n_chars long")
 
 
