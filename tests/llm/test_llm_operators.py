@@ -159,3 +159,17 @@ def test_language_sample_is_that_of_a_full_sort(spark):
     joined = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id")
     assert joined.where("lang_pred = lang").count() == 3000
     assert langid.fit(docs.limit(0))["labels"] == []
+
+
+def test_neighbours_grow_until_recall(spark):
+    v = np.random.default_rng(3).normal(size=(3000, 48))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in neighbours.search(df, lambda i: i % 50 == 0, pool=12, orders=1, k=6).collect():
+        got[r.query_id].add(r.vec_id)
+    hit = 0
+    for i in range(0, 3000, 50):
+        d = ((v - v[i]) ** 2).sum(1)
+        d[i] = np.inf
+        hit += len(set(np.argsort(d)[:10].tolist()) & got[i])
+    assert len(got) == 60 and hit >= 0.9 * 600
