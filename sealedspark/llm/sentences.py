@@ -1,7 +1,9 @@
 """Substring dedup by sliding spans of sentences.
 
 Every run of `run` consecutive sentences is hashed. Runs that occur more than once keep their first occurrence,
-the smallest (doc_id, row, position); the sentences that any other occurrence covers are removed.
+the smallest (doc_id, row, position); the sentences that any other occurrence covers are removed. Where whole
+sentences do not tell (long ones, or passages off their boundaries), runs of GRAM words are treated likewise; of
+those in each window of WORDS words the one with the least hash is taken, so every passage of WORDS words has one.
 """
 
 from __future__ import annotations
@@ -15,10 +17,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealedspark.llm.common import cut, free_shuffles, mix64
+from sealedspark.llm.common import _powers, cut, free_shuffles, mix64
 
 _SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?]+(?!\s|$)[^\n.!?]*)*(?:[.!?]+|\n|$)\s*")
 
+# A passage of so many words is always found, by a run of so many of them (fixed values).
+WORDS, GRAM = 50, 32
+_WORD = re.compile(r"\S+")
+# Positions from here on are those of words, smaller ones those of sentences.
+_AT_WORD = 1 << 40
+
 
 def split(text: str | None) -> list[str]:
     """The sentences of a text with the white space after them; together they are the text."""
@@ -29,8 +37,37 @@ def _hash(sentence: str) -> int:
     return xxhash.xxh64_intdigest(" ".join(sentence.split()).encode("utf-8", "replace"))
 
 
+def _windows(text: str, run: int, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of the runs of GRAM words, one for each window of WORDS words less than half of which lies in
+    `run` or more whole sentences. It depends on the words of the window alone, so all its occurrences have the same.
+    """
+    toks = _WORD.findall(text)
+    n = len(toks) - WORDS + 1
+    if n < 1:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    ends = np.flatnonzero([t[-1] in ".!?" for t in toks])
+    p = np.arange(n)
+    if len(ends):
+        lo, hi = np.searchsorted(ends, p), np.searchsorted(ends, p + WORDS - 1)
+        whole = np.where(hi - lo > run, ends[np.maximum(hi - 1, 0)] - ends[np.minimum(lo, len(ends) - 1)], 0)
+        p = p[2 * whole < WORDS]
+    if not len(p):
+        return np.zeros(0, np.uint64), p
+    if len(known) > 500_000:
+        known.clear()
+    for t in toks:
+        if t not in known:
+            known[t] = xxhash.xxh64_intdigest(t.encode("utf-8", "replace"), seed=WORDS)
+    up, down = _powers(len(toks))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.array([known[t] for t in toks], np.uint64) * up)])
+    grams = mix64((total[GRAM:] - total[:-GRAM]) * down[: len(toks) - GRAM + 1])
+    p = np.unique(p + np.lib.stride_tricks.sliding_window_view(grams, WORDS - GRAM + 1)[p].argmin(1))
+    return grams[p], p
+
+
 def _runs(run: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
         for batch in batches:
             rows, ids, pos, hashes = [], [], [], []
             for row, i, t in zip(*(batch.column(c).to_pylist() for c in ("row", "id", "text")), strict=True):
@@ -42,10 +79,12 @@ def _runs(run: int):
                 acc = np.full(n, w, np.uint64)
                 for j in range(w):
                     acc = mix64(acc * np.uint64(0xD6E8FEB86659FD93) + h[j : j + n])
+                x, at = _windows(t, run, known)
+                n += len(x)
                 rows.append(np.full(n, row))
                 ids.append(np.full(n, i if i is not None else 2**63 - 1))
-                pos.append(np.arange(n))
-                hashes.append(acc.view(np.int64))
+                pos.append(np.concatenate([np.arange(n - len(x)), at + _AT_WORD]))
+                hashes.append(np.concatenate([acc, x]).view(np.int64))
             if rows:
                 cols = [pa.array(np.concatenate(c)) for c in (hashes, ids, rows, pos)]
                 yield pa.RecordBatch.from_arrays(cols, names=["hash", "id", "row", "pos"])
@@ -53,6 +92,18 @@ def _runs(run: int):
     return go
 
 
+def _without(left: list[str], sentences: list[str], words: np.ndarray) -> list[str]:
+    """`left` (each sentence or "") without the words that `words`, over all words of `sentences`, names."""
+    out, at = [], 0
+    for x, s in zip(left, sentences, strict=True):
+        n = len(_WORD.findall(s))
+        gone, at = words[at : at + n], at + n
+        if x and gone.any():
+            x = "" if gone.all() else "".join(w for w, g in zip(re.findall(r"\s*\S+\s*", x), gone, strict=True) if not g)
+        out.append(x)
+    return out
+
+
 def _rebuild(run: int):
     def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,9 +111,20 @@ def _rebuild(run: int):
             for t, at in zip(batch.column("text").to_pylist(), batch.column("at").to_pylist(), strict=True):
                 s = split(t)
                 off = np.zeros(len(s), bool)
-                for p in at or ():
-                    off[p : p + run] = True
-                out.append(t if not off.any() else "".join(x for x, o in zip(s, off, strict=True) if not o))
+                words = None
+                for span in at or ():
+                    p, lo = span["pos"], span["lo"]
+                    if p < _AT_WORD:
+                        off[p : p + run] = True
+                        continue
+                    if words is None:
+                        words = np.zeros(len(_WORD.findall(t)), bool)
+                    words[lo - _AT_WORD : p - _AT_WORD + GRAM] = True
+                left = ["" if o else x for x, o in zip(s, off, strict=True)]
+                if words is not None:
+                    left = _without(left, s, words)
+                    off = np.array([x != y for x, y in zip(left, s, strict=True)], bool)
+                out.append("".join(left) if off.any() else t)
                 n.append(len(s))
                 gone.append(int(off.sum()))
             cols = [batch.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.string())]
@@ -75,15 +137,20 @@ def dedup(docs: DataFrame, run: int = 3) -> DataFrame:
     """`docs` (doc_id, text; other columns are ignored) without repeated spans: doc_id, n_sentences, n_removed, text.
 
     A sentence ends at ., ! or ? before white space, or at a line end; white space within does not count.
-    A text of fewer than `run` sentences is one run. Null and empty texts stay as they are. Of repeated rows
+    A text of fewer than `run` sentences is one run. A passage of WORDS or more words that stands in an earlier
+    place with the same sentence ends loses half of its words at least, whatever its sentences; n_removed counts
+    sentences that lose all or some of their words. Null and empty texts stay as they are. Of repeated rows
     the first keeps its text. Rows without doc_id come last in the order of occurrences.
     """
     rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("id"), "text"))
     runs = cut(rows.mapInArrow(_runs(run), "hash long, id long, row long, pos long"))
     first = runs.groupBy("hash").agg(F.min(F.struct("id", "row", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = runs.join(cut(first.select("hash", "first")), "hash").where("struct(id, row, pos) > first")
+    # a run of words that overlaps its own first occurrence is removed from that one's end on
+    own = (F.col("row") == F.col("first.row")) & (F.col("pos") >= _AT_WORD)
+    later = later.withColumn("lo", F.when(own, F.greatest("pos", F.col("first.pos") + GRAM)).otherwise(F.col("pos")))
     # one row per removed span; grouped by document, whose own length bounds the list
-    later = later.groupBy("row").agg(F.collect_list("pos").alias("at"))
+    later = later.groupBy("row").agg(F.collect_list(F.struct("pos", "lo")).alias("at"))
     out = rows.join(cut(later), "row", "left").select("id", "text", "at")
     free_shuffles(docs.sparkSession)
     return out.mapInArrow(_rebuild(run), "doc_id long, n_sentences long, n_removed long, text string")

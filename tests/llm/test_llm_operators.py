@@ -173,3 +173,18 @@ def test_neighbours_grow_until_recall(spark):
         d[i] = np.inf
         hit += len(set(np.argsort(d)[:10].tolist()) & got[i])
     assert len(got) == 60 and hit >= 0.9 * 600
+
+
+def test_passages_of_few_sentences(spark):
+    rnd = random.Random(8)
+    some = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
+    one, two, inner, bare, copy = some(60) + ".", some(30) + ". " + some(30) + ".", some(55), some(70), some(31) + "."
+    texts = [f"{some(9)}. {one} {two} {some(20)} {inner} {some(20)}. {bare}\n{copy}"]
+    texts += [f"{some(8)}. {x} {some(8)}." for x in (one, two)] + [f"{some(30)} {inner} {some(30)}.", f"{some(5)} {bare} {some(6)}", f"{some(8)}. {copy} {some(8)}.", "la " * 400]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in sentences.dedup(df).collect()}
+    assert got[0].text == texts[0] and got[5].text == texts[5] and got[5].n_removed == 0
+    for i, x in ((1, one), (2, two), (3, inner), (4, bare)):
+        left, own = got[i].text.split(), texts[i].replace(x, "").split()
+        assert [w for w in left if w in own] == own and 2 * (len(left) - len(own)) <= len(x.split()) and got[i].n_removed > 0
+    assert set(got[6].text.split()) == {"la"} and len(got[6].text.split()) <= 50
