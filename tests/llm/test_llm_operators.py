@@ -188,3 +188,11 @@ def test_passages_of_few_sentences(spark):
         left, own = got[i].text.split(), texts[i].replace(x, "").split()
         assert [w for w in left if w in own] == own and 2 * (len(left) - len(own)) <= len(x.split()) and got[i].n_removed > 0
     assert set(got[6].text.split()) == {"la"} and len(got[6].text.split()) <= 50
+
+
+def test_contamination_by_part_of_an_item(spark):
+    item = " ".join(f"word{i}" for i in range(150))
+    part = lambda a, n: "before that " + " ".join(item.split()[a : a + n]) + " and after"
+    df = spark.createDataFrame([(1, part(40, 60)), (2, part(137, 13)), (3, part(20, 12)), (4, part(0, 12) + " " + part(30, 12))], "row long, text string")
+    got = decontaminate.contaminated(df, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
+    assert sorted((r.row, r.n_windows, r.exact) for r in got) == [(1, 53, True), (2, 6, True)]
