@@ -196,3 +196,11 @@ def test_contamination_by_part_of_an_item(spark):
     df = spark.createDataFrame([(1, part(40, 60)), (2, part(137, 13)), (3, part(20, 12)), (4, part(0, 12) + " " + part(30, 12))], "row long, text string")
     got = decontaminate.contaminated(df, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
     assert sorted((r.row, r.n_windows, r.exact) for r in got) == [(1, 53, True), (2, 6, True)]
+
+
+def test_pages_of_mostly_boilerplate(spark):
+    page = lambda own: "<body>" + "".join(f"<div>{x}</div>" for x in [*(f"Menu {i}" for i in range(6)), *own, *(f"Foot {i}" for i in range(4))])
+    own = {i: [f"Line {j} of {i}" for j in range(6)] for i in (1, 2)}
+    rows = [(i, f"http://k/x/{i}", page(own[i])) for i in own] + [(i, f"http://c/x/{i}", page(["Same"])) for i in (3, 4)]
+    got = {r.page_id: r.text.split("\n") for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == own[i] for i in own) and all(len(got[i]) == 11 for i in (3, 4))
