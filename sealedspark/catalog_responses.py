@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import islice
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -24,12 +25,14 @@ def sealed_topk(spark, sf_dir):
     scheme = _scheme()
     docs = vector_docs(spark, sf_dir).select("doc_id", "policy", ipfe.encrypt(scheme.public, vectors.quantize(F.col("vec"), 2)).alias("ct"))
     ask = requests(spark, sf_dir).select("query_id", "attrs", vectors.quantize(F.col("vec"), 2).alias("q"))
-    ask = ask.limit(retrieval.MAX_REQUESTS).collect()  # the key holder's side: one key per request
-    wire = [(r.query_id, r.attrs, r.q, scheme.key(r.q).to_bytes(16, "big")) for r in ask]
-    wire = spark.createDataFrame(wire, "query_id long, attrs array<string>, q array<long>, sk binary")
-    ok = policy.satisfied(wire.select(F.col("query_id").alias("caller_id"), "attrs"), POLICIES).withColumnRenamed("caller_id", "query_id")
-    pairs = docs.join(F.broadcast(wire.join(ok, "query_id")), "policy")
-    scored = pairs.select("query_id", "doc_id", ipfe.inner_product(scheme.public, F.col("ct"), F.col("sk"), F.col("q")).alias("score"))
+    rows, scored = ask.toLocalIterator(), None  # the key holder's side: one key per request
+    while (block := list(islice(rows, retrieval.MAX_REQUESTS))) or scored is None:
+        wire = [(r.query_id, r.attrs, r.q, scheme.key(r.q).to_bytes(16, "big")) for r in block]
+        wire = spark.createDataFrame(wire, "query_id long, attrs array<string>, q array<long>, sk binary")
+        ok = policy.satisfied(wire.select(F.col("query_id").alias("caller_id"), "attrs"), POLICIES).withColumnRenamed("caller_id", "query_id")
+        pairs = docs.join(F.broadcast(wire.join(ok, "query_id")), "policy")
+        one = pairs.select("query_id", "doc_id", ipfe.inner_product(scheme.public, F.col("ct"), F.col("sk"), F.col("q")).alias("score"))
+        scored = one if scored is None else scored.union(one)
     return retrieval._best(scored, 5)
 
 

@@ -66,3 +66,8 @@ def test_proofs(spark):
     rows = [("role:nurse", "x", t, c, s), ("Role:Nurse ", "x", t, c, s), ("role:nurse", "y", t, c, s), ("role:nurse", "x", t, c, str(int(s) + 1)), ("role:nurse", "x", None, c, s)]
     df = spark.createDataFrame(rows, "a string, k string, t string, c string, s string")
     assert [r[0] for r in df.select(proofs.verify(p, g, *map(F.col, "aktcs"))).collect()] == [True, True, False, False, False]
+
+
+def test_sealed_requests_beyond_one_block(spark, monkeypatch):
+    monkeypatch.setattr(catalog.retrieval, "MAX_REQUESTS", 12)
+    compare(spark, catalog.QUERIES["sealed_topk"], catalog.ORACLES["sealed_topk"], SF)
