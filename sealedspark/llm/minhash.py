@@ -7,10 +7,11 @@ class's smallest doc_id goes on. Classes that share a band are candidates; exact
 full sets of words confirms a link.
 
 A bucket of n classes is never expanded into its n**2 pairs. Its members are first compared with the smallest
-and then, where that has not joined them all, with the largest of them. Connected components follow from the
-confirmed links. Whatever a bucket then still holds in more than one component is compared exactly: every
-member outside its largest component with every member of another component. So each pair of the same bucket
-is either compared or already known to be connected.
+of them; connected components follow from the confirmed links. The classes of buckets that then still hold more
+than one component are joined on rare shingles: their shingles are put in order from the rarest, and two sets can
+only reach the threshold if they share one near the front of both, so far ahead that what is left suffices. This
+prefix and position filter loses no pair, and what it leaves is compared exactly. So each pair of a bucket is
+compared, known to be connected, or shown to be too different.
 """
 
 from __future__ import annotations
@@ -19,13 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sealedspark.llm.common import blocks, cut, drop, free_shuffles, mix32, mix64, shingle_hashes, shingle_set
+from sealedspark.llm.common import blocks, cut, drop, free_shuffles, maybe_broadcast, mix32, mix64, shingle_hashes, shingle_set
 from sealedspark.llm.graph import components
 
+# At most so many ids are broadcast (8 bytes each); more are joined by shuffle.
+MAX_IDS = 1_000_000
 _SIGNED = T.StructType([
     T.StructField("doc_id", T.LongType()),
     T.StructField("fp", T.BinaryType()),
@@ -44,18 +47,23 @@ def circulant_signature(shingles: np.ndarray, bounds: np.ndarray, size: int) ->
     return sig.T
 
 
+def _distinct(texts: list, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingle hashes of each text, end to end and in order, and the number of the text of each."""
+    h, bounds = shingle_hashes(texts, words)
+    doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    return h[new], doc[new]
+
+
 def _sign(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id")
             for i, j in blocks(texts, 1 << 18):
-                h, bounds = shingle_hashes(texts[i:j], words)
-                doc = np.repeat(np.arange(j - i), np.diff(bounds))
-                order = np.lexsort((h, doc))
-                h, doc = h[order], doc[order]
-                new = np.ones(len(h), bool)
-                new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
-                h, doc = h[new], doc[new]
+                h, doc = _distinct(texts[i:j], words)
                 n = np.bincount(doc, minlength=j - i)
                 full = np.flatnonzero(n)
                 prints = [b""] * (j - i)
@@ -94,14 +102,58 @@ def _verify(words: int, percent: int):
     return run
 
 
+def _shingles(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reps, comps = (batch.column(c).to_numpy() for c in ("rep", "comp"))
+            texts = batch.column("text").to_pylist()
+            for i, j in blocks(texts, 1 << 18):
+                h, doc = _distinct(texts[i:j], words)
+                n = np.bincount(doc, minlength=j - i)[doc]
+                for lo in range(0, len(h), 1 << 16):
+                    at = slice(lo, lo + (1 << 16))
+                    cols = [pa.array(c) for c in (reps[i:j][doc[at]], comps[i:j][doc[at]], n[at], h[at].view(np.int64))]
+                    yield pa.RecordBatch.from_arrays(cols, names=["rep", "comp", "n", "h"])
+
+    return run
+
+
+def _rare_pairs(texts: DataFrame, left: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of `left` (rep, comp) of different components that may reach `percent`; none that does is missing.
+
+    Shingles are taken from the rarest on. If the first one that two sets share is the i-th of n and the j-th of
+    m (from 0), they share at most min(n - i, m - j), and need percent / (100 + percent) * (n + m). Shingles of one
+    set only are counted, but kept out of the join.
+    """
+    rows = cut(left.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "comp", "text").mapInArrow(_shingles(words), "rep long, comp long, n long, h long"))
+    many = cut(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
+    held = rows.join(many, "h").withColumn("k", F.count("*").over(Window.partitionBy("rep")))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "h"))
+    held = held.withColumn("i", F.col("n") - F.col("k") + place - 1).where(f"100 * (n - i) >= {percent} * n")
+    front = cut(held.select("h", "rep", "comp", "n", "i"))
+    # a shingle held by one component only makes no pair; else all but its largest component meet every other member
+    sizes = front.groupBy("h", "comp").agg(F.count("*").alias("m"))
+    main = sizes.groupBy("h").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count("*").alias("c")).where("c > 1").select("h", "main")
+    main = cut(main)
+    met = cut(front.join(main, "h"))
+    drop(rows, many, front, main)
+    one = met.where("comp <> main").select("h", F.col("rep").alias("a"), F.col("comp").alias("ca"), F.col("n").alias("na"), F.col("i").alias("ia"))
+    other = met.select(F.col("h").alias("hb"), F.col("rep").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"), F.col("i").alias("ib"), "main")
+    enough = f"{100 + percent} * least(na - ia, nb - ib) >= {percent} * (na + nb)"
+    on = F.expr(f"h = hb AND ca <> cb AND (cb = main OR a < b) AND {enough}")
+    out = cut(one.join(other, on).select("a", "b"))
+    drop(met)
+    return out
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
     """Near-duplicate components of `docs` (doc_id, text; other columns are ignored).
 
     Returns one row per input row: doc_id, n_shingles (size of its set of `words`-word shingles),
     component_id (smallest doc_id that links reach), kept (doc_id = component_id). Two documents are linked
     if 100 * intersection >= percent * union. Null, empty and blank texts have no shingles and link with
-    nothing. Repeated rows with one doc_id are one document of the graph. A null doc_id has a null
-    component_id and is kept. At a similarity of 0.8, 32 bands of 5 miss a pair with a chance of 3e-6.
+    nothing. Repeated rows with one doc_id are one document of the graph (links of differing texts under one
+    doc_id are confirmed on the smallest of them). A null doc_id has a null component_id and is kept. At a similarity of 0.8, 32 bands of 5 miss a pair with a chance of 3e-6.
     """
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -111,46 +163,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     reps = cut(some.groupBy("fp").agg(F.min("doc_id").alias("rep")))
     first = signed.join(reps, "fp").where("doc_id = rep")
     spread = first.select("rep", "n", F.explode("bands").alias("bucket"))
-    who = F.struct("rep", "n")
-    ends = spread.groupBy("bucket").agg(F.min(who).alias("lo"), F.max(who).alias("hi")).where("lo.rep < hi.rep")
-    live = cut(spread.join(ends.select("bucket"), "bucket"))
-    texts = cut(src.join(live.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]))
+    ends = spread.groupBy("bucket").agg(F.min("rep").alias("lo"), F.min_by("n", "rep").alias("nlo"), F.max("rep").alias("hi"))
+    ends = cut(ends.where("lo < hi").drop("hi"))
+    live = cut(spread.join(ends, "bucket").select("bucket", "rep", "n", "lo", "nlo").distinct())
+    ids = maybe_broadcast(cut(live.select(F.col("rep").alias("doc_id")).distinct()), MAX_IDS)
+    texts = cut(src.join(ids, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text")))
+    drop(ends)
     free_shuffles(spark)
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        """Links among `pairs` (a, na, b, nb) by exact similarity."""
-        fit = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb) AND a <> b")
-        pairs = cut(pairs.where(fit).selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct())
+        """Links among `pairs` (a, b) by exact similarity."""
+        pairs = cut(pairs.selectExpr("least(a, b) AS a", "greatest(a, b) AS b").where("a < b").distinct())
         with_b = pairs.join(texts.selectExpr("doc_id AS b", "text AS text_b"), "b")
         both = with_b.join(texts.selectExpr("doc_id AS a", "text AS text_a"), "a")
-        return cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, percent), "a long, b long"))
+        out = cut(both.select("a", "b", "text_a", "text_b").mapInArrow(_verify(words, percent), "a long, b long"))
+        drop(pairs)
+        return out
 
-    bucket_ends = live.groupBy("bucket").agg(F.min(who).alias("lo"), F.max(who).alias("hi"))
-    links = confirm(live.join(bucket_ends, "bucket").selectExpr("lo.rep AS a", "lo.n AS na", "rep AS b", "n AS nb"))
+    # sizes too far apart rule a pair out
+    fit = f"100 * least({{0}}, {{1}}) >= {percent} * greatest({{0}}, {{1}})"
+    links = confirm(live.where(fit.format("n", "nlo")).select(F.col("lo").alias("a"), F.col("rep").alias("b")))
     comp = cut(components(links))
-
-    def labelled() -> DataFrame:
-        at = live.join(comp.withColumnRenamed("node", "rep"), "rep", "left")
-        at = at.select("bucket", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
-        open_ = at.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("bucket")
-        return at.join(open_, "bucket")
-
-    left = cut(labelled())
-    tops = left.groupBy("bucket").agg(F.max(F.struct("rep", "n", "comp")).alias("hi"))
-    more = left.join(tops, "bucket").where("hi.comp <> comp").selectExpr("hi.rep AS a", "hi.n AS na", "rep AS b", "n AS nb")
-    links2 = confirm(more)
-    comp2 = cut(components(links.union(links2)))
-    drop(comp)
-    comp = comp2
-    left2 = cut(labelled())
-    sizes = left2.groupBy("bucket", "comp").agg(F.count("*").alias("m"))
-    main = sizes.groupBy("bucket").agg(F.max(F.struct("m", "comp")).alias("top")).selectExpr("bucket", "top.comp AS main")
-    odd = left2.join(main, "bucket").where("comp <> main").selectExpr("bucket", "rep AS a", "n AS na", "comp AS ca", "main")
-    rest = odd.join(left2.selectExpr("bucket", "rep AS b", "n AS nb", "comp AS cb"), "bucket")
-    rest = rest.where("ca <> cb AND (cb = main OR a < b)" + f" AND 100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    links3 = confirm(rest.select("a", "na", "b", "nb"))
-    comp = cut(components(links.union(links2).union(links3)))
-    drop(left, left2, texts, live, links, links2, links3)
+    at = live.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("comp", "rep").alias("comp"))
+    open_ = at.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("bucket")
+    left = cut(at.join(open_, "bucket").select("rep", "comp").distinct())
+    rest = _rare_pairs(texts, left, words, percent)
+    links2 = confirm(rest)
+    joined = cut(components(links.union(links2)))
+    drop(comp, left, texts, live, links, links2, rest)
+    comp = joined
     free_shuffles(spark)
 
     rep_of = member.where("n > 0 AND doc_id IS NOT NULL").join(reps, "fp")
@@ -171,8 +212,10 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
 
     Columns stay as they are; of repeated rows with one doc_id one stays. Rows without doc_id all stay.
     """
-    gone = near_duplicates(docs, **how).where("NOT kept").select(F.col("doc_id").alias("__gone"))
-    ids = F.col("doc_id").isNotNull()
-    some = docs.where(ids).dropDuplicates(["doc_id"])
-    rest = some.join(gone.distinct(), some["doc_id"].cast("long") == F.col("__gone"), "left_anti")
-    return rest.unionByName(docs.where(~ids))
+    gone = cut(near_duplicates(docs, **how).where("NOT kept").select(F.col("doc_id").alias("__id")).distinct())
+    ident = F.col("doc_id").cast("long")
+    many = cut(docs.groupBy(ident.alias("__id")).count().where("count > 1 AND __id IS NOT NULL").select("__id"))
+    # ids are broadcast up to a checked number (8 bytes each), so that texts are only shuffled beyond it
+    out, many = maybe_broadcast(gone.union(many), MAX_IDS), maybe_broadcast(many.join(gone, "__id", "left_anti"), MAX_IDS)
+    once = docs.join(out, ident == F.col("__id"), "left_anti")
+    return once.unionByName(docs.join(many, ident == F.col("__id"), "left_semi").dropDuplicates(["doc_id"]))

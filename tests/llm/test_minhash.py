@@ -47,6 +47,26 @@ def test_equals_brute_force(spark, k):
     assert got == brute(rows, k, 80)
 
 
+@pytest.mark.parametrize("k", [2, 5])
+def test_large_groups_equal_brute_force(spark, k):
+    """A group of near copies around the threshold, some linked and some not, and unlinked documents in one bucket."""
+    rnd = random.Random(11)
+    vocab = [f"w{i}" for i in range(3000)]
+    base, shared = rnd.sample(vocab, 120), rnd.sample(vocab, 120)
+    rows = []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rnd.randint(0, 22)):
+            at = rnd.randrange(len(w))
+            w[at : at + 1] = rnd.choice([[], [rnd.choice(vocab)], [w[at], rnd.choice(vocab)]])
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, " ".join(shared + rnd.choices(vocab, k=rnd.randint(40, 70)))) for i in range(200)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=k).collect()}
+    want = brute(rows, k, 80)
+    assert got == want
+    assert len({c for i, (_, c) in want.items() if i < 1000}) > 5 and all(c == i for i, (_, c) in want.items() if i >= 1000)
+
+
 def test_edges(spark):
     df = spark.createDataFrame([(None, "a b c"), (None, None), (3, "a b c"), (3, "a b c"), (9, "A  B\tC")], "doc_id long, text string")
     got = sorted(minhash.near_duplicates(df, words=2).collect(), key=str)
