@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sealedspark import catalog_responses, policy, retrieval, vectors
+from sealedspark import catalog_responses, catalog_store, policy, retrieval, vectors
 from sealedspark.catalog_tables import CALLERS, HOLDS, POLICIES, read, requests, vector_docs
 
 def authorized_topk(spark, sf_dir):
@@ -19,6 +19,49 @@ def hit_rate_by_query(spark, sf_dir):
     return retrieval.hit_rate(authorized_topk(spark, sf_dir), unfiltered_topk(spark, sf_dir))
 
 
+def cosine_topk(spark, sf_dir):
+    r = retrieval.rank_plain(vector_docs(spark, sf_dir), requests(spark, sf_dir), POLICIES, 5)
+    return r.withColumn("score", F.round("score", 6))
+
+
+def rank_comparison(spark, sf_dir):
+    """Cosine against quantised ranking, both authorised, measured against the unfiltered one."""
+    found = {"baseline": retrieval.rank_plain(vector_docs(spark, sf_dir), requests(spark, sf_dir), POLICIES, 5), "improved": authorized_topk(spark, sf_dir)}
+    table = retrieval.compare(found, unfiltered_topk(spark, sf_dir), {"baseline": 4, "improved": 1}, {"baseline": 0.0, "improved": 1.0})
+    return table.withColumn("value", F.round("value", 6))
+
+
+def gated_documents(spark, sf_dir):
+    """Documents by source and language, and the callers that may read them."""
+    rule = {"en": "role:nurse OR role:doctor", "de": "2-of(role:doctor, dept:cardio, clearance:2)", "fr": "role:patient"}
+    of = F.create_map(*(F.lit(x) for pair in rule.items() for x in pair))
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.try_element_at(of, F.col("lang")).alias("policy"))
+    callers = spark.createDataFrame(CALLERS, "caller_id long, attrs array<string>")
+    return retrieval.gate(docs, callers, list(rule.values())).select("doc_id", "caller_id")
+
+
+def l2_normalized(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").select("vec_id", vectors.l2_normalize(F.col("embedding"), 40).alias("v"))
+    return e.select("vec_id", F.posexplode("v").alias("pos", "x")).select("vec_id", "pos", F.round("x", 6).alias("x"))
+
+
+def hash_search(spark, sf_dir):
+    """Every document whose doc_id is divisible by 20 asks for the five nearest by hashed bag of words."""
+    v = vectors.hash_vectors(read(spark, sf_dir, "documents"), 32).withColumn("policy", F.lit(""))
+    ask = v.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "vec", F.array().cast("array<string>").alias("attrs"))
+    r = retrieval.rank_plain(v, ask, None, 5)
+    return r.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"), F.round(F.min("score"), 6).alias("fifth"))
+
+
+def caller_facts(spark, sf_dir):
+    """What callers made from documents hold: their tokens, roles, first language, and whether a prefix is there."""
+    d = read(spark, sf_dir, "documents").select("doc_id", F.array(F.concat(F.lit(" Lang:"), "lang"), F.concat(F.lit("SOURCE:"), "source"), F.lit("guest"), F.lit("Guest ")).alias("raw"))
+    a = d.select("doc_id", policy.normalize_attrs(F.concat("raw", policy.from_roles(F.array(F.lit("Nurse"), F.lit("Reader"))))).alias("attrs"))
+    return a.select(
+        "doc_id", F.size("attrs").alias("n"), policy.get_value(F.col("attrs"), "lang").alias("lang"), policy.has_prefix(F.col("attrs"), "source:w").alias("w_source"),
+        F.array_join(policy.roles(F.col("attrs")), "|").alias("roles"), F.array_contains("attrs", "guest").alias("guest"))
+
+
 def quantized_vectors(spark, sf_dir):
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(vectors.quantize(F.col("embedding"), 2)).alias("pos", "q"))
     return e.groupBy("vec_id").agg(F.sum("q").alias("total"), F.sum(F.col("q") * (F.col("pos") + 1)).alias("weighted"))
@@ -42,16 +85,27 @@ _QUANT = "list_transform({}, lambda x: round_even(x::DOUBLE * 100, 0)::BIGINT)"
 _TOPK = """WITH d AS (SELECT vec_id, label % 5 AS p, {qe} AS v FROM embeddings),
 ok(p, c) AS (VALUES {ok}),
 s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_sum(list_transform(list_zip(d.v, q.v), lambda z: z[1] * z[2]))::BIGINT AS score
-  FROM d JOIN d AS q ON q.vec_id < 20 {gate}),
+  FROM d JOIN d AS q ON q.vec_id % 20 = 0 {gate}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM s)
 SELECT query_id, doc_id, score, rank FROM r WHERE rank <= 5"""
 _OK = ", ".join(f"({p}, {c})" for p, cs in HOLDS.items() for c in cs)
-_GATE = "JOIN ok ON ok.p = d.p AND ok.c = q.vec_id % 5"
+_GATE = "JOIN ok ON ok.p = d.p AND ok.c = q.vec_id // 20 % 5"
 _AUTH = _TOPK.format(qe=_QUANT.format("embedding"), ok=_OK, gate=_GATE)
 _FREE = _TOPK.format(qe=_QUANT.format("embedding"), ok=_OK, gate="")
 
+_COS = f"""WITH d AS (SELECT vec_id, label % 5 AS p, embedding::DOUBLE[] AS v FROM embeddings), ok(p, c) AS (VALUES {_OK}),
+s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_cosine_similarity(d.v, q.v) AS score FROM d JOIN d AS q ON q.vec_id % 20 = 0 {_GATE}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM s)
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5"""
+_RATE = "SELECT avg(h) FROM (SELECT count(f.doc_id) / count(*) AS h FROM ({free}) t LEFT JOIN ({way}) f ON f.query_id = t.query_id AND f.doc_id = t.doc_id GROUP BY t.query_id)"
 QUERIES: dict = {
     "authorized_topk": authorized_topk,
+    "cosine_topk": cosine_topk,
+    "rank_comparison": rank_comparison,
+    "gated_documents": gated_documents,
+    "l2_normalized": l2_normalized,
+    "hash_search": hash_search,
+    "caller_facts": caller_facts,
     "unfiltered_topk": unfiltered_topk,
     "hit_rate_by_query": hit_rate_by_query,
     "quantized_vectors": quantized_vectors,
@@ -62,6 +116,23 @@ QUERIES: dict = {
 _NAMES = ", ".join(f"({i}, '{p}')" for i, p in enumerate(POLICIES))
 ORACLES: dict = {
     "authorized_topk": _AUTH,
+    "cosine_topk": _COS,
+    "rank_comparison": f"""SELECT * FROM (VALUES ('baseline', 'verification_rounds', 4.0::DOUBLE), ('baseline', 'tamper_detection_rate', 0.0),
+ ('improved', 'verification_rounds', 1.0), ('improved', 'tamper_detection_rate', 1.0)) t(way, metric, value)
+UNION ALL SELECT 'baseline', 'authorized_hit_rate', round(({_RATE.format(free=_FREE, way=_COS)}), 6)
+UNION ALL SELECT 'improved', 'authorized_hit_rate', round(({_RATE.format(free=_FREE, way=_AUTH)}), 6)""",
+    "gated_documents": "SELECT doc_id, c::BIGINT AS caller_id FROM documents JOIN (VALUES ('en', 0), ('en', 1), ('de', 1), ('fr', 3)) ok(l, c) ON lang = l",
+    "l2_normalized": """WITH e AS (SELECT vec_id, (embedding::DOUBLE[])[1:40] AS v FROM embeddings),
+n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM e)
+SELECT vec_id, (unnest(generate_series(1, 40)) - 1)::INT AS pos, round(unnest(v) / n, 6) AS x FROM n""",
+    "hash_search": """WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM documents),
+b AS (SELECT doc_id, ('0x' || substr(md5(word), 31, 2))::BIGINT % 32 AS bucket, count(*)::DOUBLE AS n FROM w WHERE word <> '' GROUP BY ALL),
+s AS (SELECT doc_id, sqrt(sum(n * n)) AS z FROM b GROUP BY 1), u AS (SELECT doc_id, bucket, n / z AS x FROM b JOIN s USING (doc_id)),
+p AS (SELECT q.doc_id AS query_id, d.doc_id, coalesce(sum(a.x * c.x), 0) AS score FROM (FROM documents WHERE doc_id % 20 = 0) q CROSS JOIN documents d
+  LEFT JOIN u a ON a.doc_id = q.doc_id LEFT JOIN u c ON c.doc_id = d.doc_id AND c.bucket = a.bucket GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM p)
+SELECT query_id, count(*) AS n, round(max(score), 6) AS best, round(min(score), 6) AS fifth FROM r WHERE rank <= 5 GROUP BY 1""",
+    "caller_facts": """SELECT doc_id, 5 AS n, lower(lang) AS lang, lower(source) LIKE 'w%' AS w_source, 'nurse|reader' AS roles, true AS guest FROM documents""",
     "unfiltered_topk": _FREE,
     "hit_rate_by_query": f"""SELECT t.query_id, count(f.doc_id) / count(*) AS hit_rate FROM ({_FREE}) t
 LEFT JOIN ({_AUTH}) f ON f.query_id = t.query_id AND f.doc_id = t.doc_id GROUP BY 1""",
@@ -75,5 +146,9 @@ SELECT doc_id, (((p[1] % 768 * 256 + p[2]) % 768 * 256 + p[3]) % 768 * 256 + p[4
     "policy_min_attrs": "SELECT policy, n::BIGINT AS min_attrs FROM (VALUES "
     + ", ".join(f"('{p}', {n})" for p, n in zip(POLICIES, (2, 1, 2, 1, 1), strict=True)) + ") t(policy, n)",
 }
-QUERIES |= catalog_responses.QUERIES
-ORACLES |= catalog_responses.ORACLES | {"sealed_topk": _AUTH}
+_ALL = _AUTH.rpartition("\nSELECT")[0]
+QUERIES |= catalog_responses.QUERIES | catalog_store.QUERIES
+ORACLES |= catalog_responses.ORACLES | catalog_store.ORACLES | {
+    "sealed_topk": _AUTH,
+    "sealed_scores": _ALL + "\nSELECT query_id, doc_id, score, round(score / 10000.0::DOUBLE, 6) AS cosine FROM s",
+}

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from functools import lru_cache
-from itertools import islice
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sealedspark import grounding, inference, integrity, ipfe, policy, privacy, proofs, retrieval, vectors
+from sealedspark import grounding, inference, ipfe, policy, privacy, proofs, retrieval, vectors
 from sealedspark.catalog_tables import CALLERS, POLICIES, read, requests, vector_docs
+from sealedspark.layout import spread
 
-TEST_KEY = bytes(range(32))
 LEVELS = ["click", "purchase", "view"]
 
 
@@ -20,20 +19,20 @@ def _scheme() -> ipfe.Scheme:
     return ipfe.Scheme.setup(64)
 
 
+def _sealed(spark, sf_dir):
+    docs = spread(vector_docs(spark, sf_dir)).select("doc_id", "policy", ipfe.encrypt(_scheme().public, vectors.quantize(F.col("vec"), 2)).alias("ct"))
+    return docs, requests(spark, sf_dir).select("query_id", "attrs", vectors.quantize(F.col("vec"), 2).alias("q"))
+
+
 def sealed_topk(spark, sf_dir):
     """Authorised top-5 over encrypted vectors: the gate is joined before the Arrow scoring."""
-    scheme = _scheme()
-    docs = vector_docs(spark, sf_dir).select("doc_id", "policy", ipfe.encrypt(scheme.public, vectors.quantize(F.col("vec"), 2)).alias("ct"))
-    ask = requests(spark, sf_dir).select("query_id", "attrs", vectors.quantize(F.col("vec"), 2).alias("q"))
-    rows, scored = ask.toLocalIterator(), None  # the key holder's side: one key per request
-    while (block := list(islice(rows, retrieval.MAX_REQUESTS))) or scored is None:
-        wire = [(r.query_id, r.attrs, r.q, scheme.key(r.q).to_bytes(16, "big")) for r in block]
-        wire = spark.createDataFrame(wire, "query_id long, attrs array<string>, q array<long>, sk binary")
-        ok = policy.satisfied(wire.select(F.col("query_id").alias("caller_id"), "attrs"), POLICIES).withColumnRenamed("caller_id", "query_id")
-        pairs = docs.join(F.broadcast(wire.join(ok, "query_id")), "policy")
-        one = pairs.select("query_id", "doc_id", ipfe.inner_product(scheme.public, F.col("ct"), F.col("sk"), F.col("q")).alias("score"))
-        scored = one if scored is None else scored.union(one)
-    return retrieval._best(scored, 5)
+    return retrieval.rank_sealed(_scheme(), *_sealed(spark, sf_dir), POLICIES, 5)
+
+
+def sealed_scores(spark, sf_dir):
+    """Every document that a request may read, with its raw integer score and the cosine that it stands for."""
+    s = retrieval.sealed_pairs(_scheme(), *_sealed(spark, sf_dir), POLICIES)
+    return s.withColumn("cosine", F.round(retrieval.as_cosine(F.col("score"), 2), 6))
 
 
 def _responses(spark, sf_dir):
@@ -58,6 +57,22 @@ def ungrounded_spans(spark, sf_dir):
     return grounded_sentences(spark, sf_dir).where("NOT grounded").select("id", "start", "end")
 
 
+def _reports(spark, sf_dir):
+    r, c = _responses(spark, sf_dir)
+    return r.join(grounding.report(r, grounding.ground(r, c)), "id")
+
+
+def resolved_spans(spark, sf_dir):
+    found = _reports(spark, sf_dir).select("id", grounding.resolve_spans(F.col("text"), F.col("spans")).alias("r"))
+    return found.select("id", F.posexplode("r.spans").alias("pos", "s")).select("id", "pos", "s.start", "s.end")
+
+
+def redacted_text(spark, sf_dir):
+    """Responses with a block for each character of their ungrounded sentences."""
+    found = _reports(spark, sf_dir).select("id", "text", grounding.resolve_spans(F.col("text"), F.col("spans"))["spans"].alias("at"))
+    return found.select("id", grounding.redact(F.col("text"), F.col("at")).alias("redacted"))
+
+
 def redaction_pass(spark, sf_dir):
     """Every turn of a conversation is a pass over one message; the spans are its first 4 and characters 10-600."""
     c = read(spark, sf_dir, "conversations")
@@ -67,21 +82,8 @@ def redaction_pass(spark, sf_dir):
     return grounding.redaction_pass(c.select((F.col("conv_id") % 50).alias("message_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("arrival"), "text", spans.alias("spans")))
 
 
-def _store(spark, sf_dir):
-    d = read(spark, sf_dir, "documents")
-    return d.select("doc_id", F.md5("text").alias("ct"), F.col("source").alias("tag"), F.lit(1).alias("version"))
-
-
-def mac_tags(spark, sf_dir):
-    return integrity.seal(_store(spark, sf_dir), TEST_KEY, integrity.mac_sql).select("doc_id", "mac")
-
-
-def tamper_report(spark, sf_dir):
-    s = integrity.seal(_store(spark, sf_dir), TEST_KEY)
-    manifest = s.select("doc_id", F.when(F.col("doc_id") % 29 == 6, 2).otherwise(1).alias("version"))
-    bad = s.where("doc_id % 23 <> 5").withColumn("ct", F.expr("CASE WHEN doc_id % 13 = 2 THEN NULL WHEN doc_id % 17 = 3 THEN concat(ct, 'x') ELSE ct END"))
-    bad = bad.withColumn("mac", F.expr("CASE WHEN doc_id % 19 = 4 THEN NULL ELSE mac END"))
-    return integrity.verify(bad, manifest, TEST_KEY)
+def redaction_audit(spark, sf_dir):
+    return grounding.audit(redaction_pass(spark, sf_dir))
 
 
 def _evidence(spark, sf_dir):
@@ -99,10 +101,16 @@ def rounds_until_grant(spark, sf_dir):
     return inference.rounds_until(inference.posterior(_evidence(spark, sf_dir), LEVELS, q=0.4), "purchase", 0.6)
 
 
+def belief_top(spark, sf_dir):
+    """The likeliest level of each user after every reply, and whether it is granted."""
+    p = inference.top(inference.posterior(_evidence(spark, sf_dir), LEVELS, {"view": 3.0}))
+    return p.select("subject", "round", "level", F.round("posterior", 6).alias("posterior"), "granted")
+
+
 def dp_order_sums(spark, sf_dir):
-    u = lambda c: (F.conv(F.substring(F.md5(c), 1, 6), 16, 10).cast("double") + 0.5) / 16777216.0
-    out = privacy.noisy_sums(read(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", 0.0, 100000.0, 0.5, u)
-    return out.select("o_orderpriority", "n", F.round("total", 2).alias("total"), F.round("noisy", 2).alias("noisy"))
+    u = lambda c, i: (F.conv(F.substring(F.md5(F.concat(c, F.lit(str(i)))), 1, 6), 16, 10).cast("double") + 0.5) / 16777216.0
+    out = privacy.noisy_sums(read(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", 0.0, 100000.0, 1.0, u)
+    return out.select("o_orderpriority", *(F.round(c, 2).alias(c) for c in ("noisy_n", "noisy_sum", "noisy_avg")))
 
 
 def adaptive_eps(spark, sf_dir):
@@ -110,14 +118,9 @@ def adaptive_eps(spark, sf_dir):
     return d.select("doc_id", F.round(privacy.adaptive_eps(F.length("text"), 0.1, 1.0, 0.5, 4096), 12).alias("eps"))
 
 
-def latest_per_user(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    return integrity.latest(e.select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("version"), "event_type"))
-
-
 def attributes_proved(spark, sf_dir):
     """Each caller proves its attributes; caller 2's second proof is for another context."""
-    p, g = 2 * 83 + 1, 4
+    p, g = proofs.group()
     rows = [(c, a, *proofs.prove(a, "other" if (c, i) == (2, 1) else "session", p, g)) for c, attrs in CALLERS for i, a in enumerate(attrs) if c != 3]
     sent = spark.createDataFrame(rows, "caller_id long, attr string, t string, c string, s string")
     ok = proofs.verify(p, g, F.col("attr"), F.lit("session"), F.col("t"), F.col("c"), F.col("s"))
@@ -131,13 +134,12 @@ def caller_parse(spark, sf_dir):
 
 
 def excerpt(spark, sf_dir):
-    flat = policy.strip(F.regexp_replace("text", r"(?U)\s+", " "))
-    cut = F.when(F.length(flat) > 120, F.concat(F.substring(flat, 1, 120), F.lit("..."))).otherwise(flat)
-    return read(spark, sf_dir, "documents").select("doc_id", cut.alias("excerpt"))
+    return read(spark, sf_dir, "documents").select("doc_id", grounding.excerpt(F.col("text")).alias("excerpt"))
 
 
 _TOK = "list_filter(list_distinct(regexp_extract_all(lower({}), '[a-z0-9'']+')), lambda t: NOT list_contains({}, t))"
-_STOP = str(grounding.STOPWORDS)
+_STOP = """string_split('a an the and or but of to in on for with at by from as it its is are was were be been being this that these those not
+ no i you he she we they do does did will would can could should have has had there then than so about into over under after before between up out', ' ')""".replace("\n", "")
 _SENT = r"""SELECT id, scope, pos, coalesce(sum(length(sentence) + 1) OVER w, 0)::BIGINT AS start,
  coalesce(sum(length(sentence) + 1) OVER w, 0)::BIGINT + length(sentence) AS "end", sentence FROM (
  SELECT conv_id * 1000 + turn AS id, conv_id AS scope, (unnest(generate_series(1, len(a))) - 1)::INT AS pos, unnest(a) AS sentence FROM (
@@ -145,9 +147,6 @@ _SENT = r"""SELECT id, scope, pos, coalesce(sum(length(sentence) + 1) OVER w, 0)
   FROM conversations WHERE role = 'assistant')) WHERE sentence <> '' WINDOW w AS (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
 _GROUND = f"""SELECT id, pos, start, "end", sentence, EXISTS (FROM conversations c WHERE c.conv_id = s.scope AND c.role <> 'assistant'
  AND list_has_any({_TOK.format('c.text', _STOP)}, {_TOK.format('s.sentence', _STOP)})) AS grounded FROM ({_SENT}) s"""
-_PAD = lambda b: "'" + "".join(f"\\x{b ^ x:02X}" for x in TEST_KEY + bytes(32)) + "'::BLOB"
-_PART = lambda c: f"length({c}) || ':' || {c}"
-_MSG = " || '|' || ".join(map(_PART, ("doc_id::VARCHAR", "md5(text)", "source", "'1'")))
 _LIK = "CASE WHEN reply IS NULL THEN 1/3.0::DOUBLE WHEN reply = level THEN {q} * 0.95::DOUBLE + (1 - {q}) / 3 ELSE {q} * (1 - 0.95::DOUBLE) / 2 + (1 - {q}) / 3 END"
 _POST = """WITH e AS (SELECT user_id AS subject, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::INT AS round,
  CASE WHEN event_type IN ('click', 'purchase', 'view') THEN event_type END AS reply FROM events),
@@ -157,31 +156,42 @@ y AS (SELECT *, exp(s - max(s) OVER (PARTITION BY subject, round)) AS z FROM x),
 p AS (SELECT subject, round, level, z / sum(z) OVER (PARTITION BY subject, round) AS posterior FROM y) """
 
 QUERIES = {f.__name__: f for f in (
-    sealed_topk, sentences, grounded_sentences, grounded_fraction, ungrounded_spans, redaction_pass, mac_tags, tamper_report,
-    posterior_by_round, rounds_until_grant, dp_order_sums, adaptive_eps, latest_per_user, attributes_proved, caller_parse, excerpt)}
+    sealed_topk, sealed_scores, sentences, grounded_sentences, grounded_fraction, ungrounded_spans, resolved_spans, redacted_text, redaction_pass,
+    redaction_audit, posterior_by_round, belief_top, rounds_until_grant, dp_order_sums, adaptive_eps, attributes_proved, caller_parse, excerpt)}
+_PLACED = f"""SELECT g.id, g.pos, g.grounded, lead_ws + coalesce(sum(length(g.sentence) + gap) OVER w, 0) AS start, g.sentence, gap FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS nth FROM ({_GROUND})) g
+JOIN (SELECT conv_id * 1000 + turn AS id, length(text) - length(regexp_replace(text, '^\\s+', '')) AS lead_ws,
+  list_transform(regexp_extract_all(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '[.!?]\\s+'), lambda x: length(x) - 1) AS gaps FROM conversations WHERE role = 'assistant') t USING (id)
+CROSS JOIN LATERAL (SELECT coalesce(gaps[g.nth], 0) AS gap) WINDOW w AS (PARTITION BY g.id ORDER BY g.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+_PASS = """WITH m AS (SELECT conv_id % 50 AS message_id, conv_id * 1000 + turn AS arrival, text, length(text)::BIGINT AS n, least(length(text), 600 + turn * 200) AS e FROM conversations),
+a AS (SELECT *, (e - least(n, 10)) + least(n, 4) AS k FROM m),
+b AS (SELECT *, CASE WHEN k > 1024 THEN 'char_cap' END AS refused FROM a),
+c AS (SELECT *, CASE WHEN coalesce(bool_or(refused IS NULL) OVER (PARTITION BY message_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) THEN 'already_done' ELSE refused END AS reason FROM b)
+"""
 ORACLES = {
     "sentences": f'SELECT id, pos, start, "end", sentence FROM ({_SENT})',
     "grounded_sentences": _GROUND,
     "grounded_fraction": f"""SELECT r.id, round(coalesce(f, 1.0), 6) AS fraction FROM (SELECT conv_id * 1000 + turn AS id FROM conversations WHERE role = 'assistant') r
  LEFT JOIN (SELECT id, avg(grounded::INT) AS f FROM ({_GROUND}) GROUP BY id) g ON g.id = r.id""",
     "ungrounded_spans": f'SELECT id, start, "end" FROM ({_GROUND}) WHERE NOT grounded',
-    "redaction_pass": """WITH m AS (SELECT conv_id % 50 AS message_id, conv_id * 1000 + turn AS arrival, text, length(text)::BIGINT AS n, least(length(text), 600 + turn * 200) AS e FROM conversations),
-a AS (SELECT *, (e - least(n, 10)) + least(n, 4) AS k FROM m),
-b AS (SELECT *, CASE WHEN k > 1024 THEN 'char_cap' END AS refused FROM a),
-c AS (SELECT *, CASE WHEN coalesce(bool_or(refused IS NULL) OVER (PARTITION BY message_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) THEN 'already_done' ELSE refused END AS reason FROM b)
-SELECT message_id, arrival, 2 AS n_spans, k::BIGINT AS n_chars, reason IS NULL AS applied, reason,
+    "resolved_spans": f'SELECT id, (row_number() OVER (PARTITION BY id ORDER BY pos) - 1)::INT AS pos, start::BIGINT AS start, (start + length(sentence))::BIGINT AS "end" FROM ({_PLACED}) WHERE NOT grounded',
+    "redacted_text": f"""SELECT r.conv_id * 1000 + r.turn AS id, coalesce(substr(r.text, 1, length(r.text) - length(regexp_replace(r.text, '^\\s+', ''))) ||
+ p.body || regexp_extract(r.text, '\\s*$'), r.text) AS redacted FROM conversations r LEFT JOIN (SELECT id, string_agg(CASE WHEN grounded THEN sentence ELSE repeat('█', length(sentence)) END
+ || substr(orig, (start + length(sentence) + 1)::BIGINT, gap), '' ORDER BY pos) AS body FROM ({_PLACED}) JOIN (SELECT conv_id * 1000 + turn AS id, text AS orig FROM conversations) USING (id) GROUP BY id) p
+ ON p.id = r.conv_id * 1000 + r.turn WHERE r.role = 'assistant'""",
+    "redaction_pass": _PASS + """SELECT message_id, arrival, 2 AS n_spans, k::BIGINT AS n_chars, reason IS NULL AS applied, reason,
  CASE WHEN reason IS NULL THEN repeat('█', least(n, 4)) || substr(text, 5, 6) || repeat('█', e - least(n, 10)) || substr(text, greatest(e, 10) + 1) ELSE text END AS redacted FROM c""",
-    "mac_tags": f"SELECT doc_id, sha256({_PAD(0x5C)} || unhex(sha256({_PAD(0x36)} || encode({_MSG})))) AS mac FROM documents",
-    "tamper_report": """SELECT * FROM (SELECT doc_id, CASE WHEN doc_id % 23 = 5 THEN 'doc_missing' WHEN doc_id % 13 = 2 THEN 'store_unreadable'
- WHEN doc_id % 19 = 4 THEN 'missing_mac' WHEN doc_id % 17 = 3 THEN 'mac_mismatch' WHEN doc_id % 29 = 6 THEN 'version_rollback' END AS reason FROM documents) WHERE reason IS NOT NULL""",
+    "redaction_audit": _PASS + "SELECT message_id, arrival AS ts, 2 AS n_spans, k::BIGINT AS n_chars, reason AS refused FROM c WHERE reason IS NULL OR reason <> 'already_done'",
     "posterior_by_round": _POST.format(lik=_LIK.format(q="0.8::DOUBLE"), prior="('click', 0.2::DOUBLE), ('purchase', 0.2), ('view', 0.6)") + "SELECT subject, round, level, round(posterior, 6) AS posterior FROM p",
+    "belief_top": _POST.format(lik=_LIK.format(q="0.8::DOUBLE"), prior="('click', 0.2::DOUBLE), ('purchase', 0.2), ('view', 0.6)") + """, r AS (SELECT *, row_number() OVER (PARTITION BY subject, round
+ ORDER BY round(posterior, 12) DESC, level) AS nth FROM p) SELECT subject, round, level, round(posterior, 6) AS posterior, round(posterior, 12) >= 0.6 AS granted FROM r WHERE nth = 1""",
     "rounds_until_grant": _POST.format(lik=_LIK.format(q="0.4::DOUBLE"), prior="('click', 1/3.0::DOUBLE), ('purchase', 1/3.0::DOUBLE), ('view', 1/3.0::DOUBLE)")
     + "SELECT subject, coalesce(min(round) FILTER (level = 'purchase' AND posterior >= 0.6 AND round <= 20), 21)::BIGINT AS rounds FROM p GROUP BY 1",
-    "dp_order_sums": """WITH s AS (SELECT o_orderpriority, count(*) AS n, sum(greatest(least(o_totalprice, 100000), 0)) AS t,
- (('0x' || substr(md5(o_orderpriority), 1, 6))::BIGINT + 0.5::DOUBLE) / 16777216 AS u FROM orders GROUP BY 1)
-SELECT o_orderpriority, n, round(t, 2) AS total, round(t + CASE WHEN u >= 0.5 THEN -200000 * ln(2 * (1 - u)) ELSE 200000 * ln(2 * u) END, 2) AS noisy FROM s""",
+    "dp_order_sums": """WITH s AS (SELECT o_orderpriority, count(*) AS n, sum(greatest(least(o_totalprice, 100000), 0)) AS t FROM orders GROUP BY 1),
+u AS (SELECT *, list_transform(['0', '1'], lambda i: (('0x' || substr(md5(o_orderpriority || i), 1, 6))::BIGINT + 0.5::DOUBLE) / 16777216) AS u FROM s),
+l AS (SELECT *, list_transform(u, lambda x: CASE WHEN x >= 0.5 THEN -2 * ln(2 * (1 - x)) ELSE 2 * ln(2 * x) END) AS l FROM u),
+r AS (SELECT o_orderpriority, n + l[1] AS noisy_n, t + 100000 * l[2] AS noisy_sum FROM l)
+SELECT o_orderpriority, round(noisy_n, 2) AS noisy_n, round(noisy_sum, 2) AS noisy_sum, round(noisy_sum / greatest(noisy_n, 1), 2) AS noisy_avg FROM r""",
     "adaptive_eps": "SELECT doc_id, round(CASE WHEN coalesce(length(text), 0) > 0 THEN 0.1::DOUBLE + 0.9::DOUBLE * least(1.0::DOUBLE, length(text) / 4096.0::DOUBLE) ELSE 0.5 END, 12) AS eps FROM documents",
-    "latest_per_user": "SELECT user_id AS doc_id, max(event_id) AS version, max_by(event_type, event_id) AS event_type FROM events GROUP BY 1",
     "attributes_proved": "SELECT c::BIGINT AS caller_id, c IN (0, 1, 4) AS proved FROM range(5) r(c)",
     "caller_parse": "SELECT doc_id, 'lang:' || lower(lang) || '|source:' || lower(source) || '|guest' AS attrs FROM documents",
     "excerpt": r"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)

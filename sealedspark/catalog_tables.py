@@ -24,8 +24,8 @@ def vector_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Twenty queries: the vectors 0-19, asked by caller vec_id % 5."""
+    """Every row whose vec_id is divisible by 20 is a query, asked by caller vec_id / 20 % 5."""
     callers = spark.createDataFrame(CALLERS, "caller long, attrs array<string>")
-    e = read(spark, sf_dir, "embeddings").where("vec_id < 20")
-    q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"), (F.col("vec_id") % 5).alias("caller"))
+    e = read(spark, sf_dir, "embeddings").where("vec_id % 20 = 0")
+    q = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"), F.expr("vec_id div 20 % 5").alias("caller"))
     return q.join(F.broadcast(callers), "caller").drop("caller")

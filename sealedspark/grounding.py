@@ -2,11 +2,23 @@
 
 from __future__ import annotations
 
+import bisect
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Words that ground nothing (fixed values; our own short list).
-STOPWORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "de", "for", "from", "in", "is", "it", "la", "le", "of", "on", "or", "that", "the", "this", "to", "was", "with"]
+# Words that ground nothing (fixed values).
+STOPWORDS = [
+    "a", "an", "the", "and", "or", "but", "of", "to", "in", "on", "for",
+    "with", "at", "by", "from", "as", "it", "its", "is", "are", "was",
+    "were", "be", "been", "being", "this", "that", "these", "those", "not",
+    "no", "i", "you", "he", "she", "we", "they", "do", "does", "did",
+    "will", "would", "can", "could", "should", "have", "has", "had",
+    "there", "then", "than", "so", "about", "into", "over", "under",
+    "after", "before", "between", "up", "out",
+]
 SPAN_CAP, CHAR_CAP, BLOCK = 64, 1024, "█"
 
 
@@ -41,6 +53,68 @@ def fraction(responses: DataFrame, grounded: DataFrame) -> DataFrame:
     return responses.select("id").join(f, "id", "left").select("id", F.coalesce("fraction", F.lit(1.0)).alias("fraction"))
 
 
+def report(responses: DataFrame, grounded: DataFrame) -> DataFrame:
+    """id, fraction, spans of every response: its ungrounded sentences in order as (start, end, text)."""
+    spans = grounded.where("NOT grounded").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("start", "end", F.col("sentence").alias("text")))).alias("spans"))
+    none = F.expr("cast(array() AS array<struct<start:bigint,end:bigint,text:string>>)")
+    return fraction(responses, grounded).join(spans, "id", "left").select("id", "fraction", F.coalesce("spans", none).alias("spans"))
+
+
+def _resolve(text: str | None, spans) -> tuple[list | None, str | None]:
+    """The places of span texts in a text, each at or after the end of the one before; else the one that is not there."""
+    found = [(m.start(), m.end()) for m in re.finditer(r"\S+", text or "")]
+    joined = "\x1f" + "".join(text[a:b] + "\x1f" for a, b in found)
+    at, heads = 1, []
+    for a, b in found:
+        heads.append(at)
+        at += b - a + 1
+    out, first = [], 0  # the token that a search starts at
+    for span in spans:
+        words = (span or "").split()
+        if not words:
+            continue
+        needle = "\x1f" + "\x1f".join(words) + "\x1f"
+        hit = joined.find(needle, heads[first] - 1) if first < len(heads) else -1
+        if hit < 0:
+            return None, span
+        i = bisect.bisect_left(heads, hit + 1)
+        first = i + len(words)
+        out.append({"start": found[i][0], "end": found[first - 1][1]})
+    return out, None
+
+
+def resolve_spans(text: Column, spans: Column) -> Column:
+    """Where the texts of `spans` (an array of structs with a field text) really stand in a text, whatever its white space.
+
+    A struct of `spans` (start, end; null if one is not there) and `missing` (the first that is not there). Reported
+    starts drift where white space is irregular; masking needs these.
+    """
+
+    @F.pandas_udf("spans array<struct<start:long,end:long>>, missing string")
+    def run(texts: pd.Series, lists: pd.Series) -> pd.DataFrame:
+        rows = [_resolve(t, x if x is not None else []) for t, x in zip(texts, lists, strict=True)]
+        return pd.DataFrame({"spans": [r[0] for r in rows], "missing": [r[1] for r in rows]})
+
+    return run(text, F.transform(spans, lambda s: s["text"]))
+
+
+def norm_ws(text: Column) -> Column:
+    """White space as single spaces, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", "")
+
+
+def excerpt(text: Column, n: int = 120) -> Column:
+    """The first n characters of a text with its white space made even, and dots if there are more."""
+    flat = norm_ws(text)
+    return F.when(F.length(flat) > n, F.concat(F.substring(flat, 1, n), F.lit("..."))).otherwise(flat)
+
+
+def audit(passes: DataFrame) -> DataFrame:
+    """The audit rows of `redaction_pass`: every executed or refused pass, none for one that was done already."""
+    kept = passes.where("applied OR reason <> 'already_done'")
+    return kept.select("message_id", F.col("arrival").alias("ts"), "n_spans", "n_chars", F.col("reason").alias("refused"))
+
+
 def valid_spans(text: Column, spans: Column) -> Column:
     """Whether spans (start, end) lie within the text and do not overlap."""
     s = F.array_sort(spans)

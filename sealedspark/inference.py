@@ -15,14 +15,16 @@ def likelihood(reply: Column, level: Column, k: int, q: float = 0.8, p: float =
 
 
 def posterior(evidence: DataFrame, levels: list[str], prior: dict[str, float] | None = None, q: float = 0.8, p: float = 0.95) -> DataFrame:
-    """subject, round, level, posterior for `evidence` (subject, round, reply)."""
+    """subject, round, nth, level, posterior for `evidence` (subject, round, reply); a reply that is no level is an error."""
     k = len(levels)
     if k < 2 or set(prior or ()) - set(levels) or not (0 <= p <= 1 and 0 <= q <= 1) or p == q == 1:
         raise ValueError("two levels at least, known ones in the prior, and uncertain replies")
     w = {x: (prior or {}).get(x, 1.0) for x in levels}
     spark = evidence.sparkSession
     table = spark.createDataFrame([(i, x, w[x] / sum(w.values())) for i, x in enumerate(levels)], "nth int, level string, prior double")
-    e = evidence.crossJoin(F.broadcast(table)).withColumn("l", F.log(likelihood(F.col("reply"), F.col("level"), k, q, p)))
+    known = F.col("reply").isNull() | (F.col("reply") == "") | F.col("reply").isin(levels)
+    reply = F.when(known, F.col("reply")).otherwise(F.raise_error(F.concat(F.lit("a reply is no level: "), "reply")).cast("string"))
+    e = evidence.crossJoin(F.broadcast(table)).withColumn("l", F.log(likelihood(reply, F.col("level"), k, q, p)))
     run = Window.partitionBy("subject", "level").orderBy("round").rowsBetween(Window.unboundedPreceding, 0)
     e = e.withColumn("s", F.sum("l").over(run) + F.log("prior"))
     at = Window.partitionBy("subject", "round")
@@ -34,3 +36,10 @@ def rounds_until(post: DataFrame, level: str, threshold: float = 0.6, max_rounds
     """The first round at which a level reaches the threshold; max_rounds + 1 if it never does."""
     hit = F.when((F.col("level") == level) & (F.col("posterior") >= threshold) & (F.col("round") <= max_rounds), F.col("round"))
     return post.groupBy("subject").agg(F.coalesce(F.min(hit), F.lit(max_rounds + 1)).cast("long").alias("rounds"))
+
+
+def top(post: DataFrame, threshold: float = 0.6) -> DataFrame:
+    """subject, round, level, posterior, granted: the likeliest level of each round, the first listed of equals."""
+    best = F.max_by(F.struct("level", "posterior"), F.struct(F.round("posterior", 12), -F.col("nth")))
+    out = post.groupBy("subject", "round").agg(best.alias("b")).select("subject", "round", "b.*")
+    return out.withColumn("granted", F.round("posterior", 12) >= threshold)

@@ -1,23 +1,64 @@
-"""Keyed tags over stored documents, and reports of what was tampered with.
+"""Keyed tags over stored documents, the manifest of expected ids, and reports of what was tampered with.
 
 `mac_sql` builds HMAC-SHA256 from Catalyst functions, which shows the key in plans: for tests. `mac_udf` keeps it
-in a broadcast closure.
+in a broadcast closure. Tags are compared by Catalyst, which does not take constant time: a batch job answers nobody.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import os
+import secrets
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+SEALED = ("doc_id", "ct", "tag", "meta", "version")
+NOTES = {
+    "doc_missing": "registered but absent",
+    "store_unreadable": "no readable content",
+    "missing_mac": "no tag or no version",
+    "mac_mismatch": "the tag is not that of the content",
+    "version_rollback": "an older version than the registered one",
+}
 
-def canonical(doc_id: Column, ct: Column, tag: Column, version: Column) -> Column:
-    """One unambiguous text of what is sealed: each part with its length."""
-    parts = [F.coalesce(c.cast("string"), F.lit("")) for c in (doc_id, ct, tag, version)]
-    return F.concat_ws("|", *(F.concat_ws(":", F.length(p), p) for p in parts))
+
+def _part(text: Column) -> Column:
+    """A text with its length, so that parts cannot run into each other; null differs from empty."""
+    return F.when(text.isNull(), "N").otherwise(F.concat(F.lit("S"), F.length(text).cast("string"), F.lit(":"), text))
+
+
+def content_text(ct: Column, kind: T.DataType) -> Column:
+    """Content as a text that names its kind: bytes as hex, lists as comma-joined items, the rest as it is."""
+    if isinstance(kind, T.BinaryType):
+        return F.concat(F.lit("B"), F.hex(ct))
+    if isinstance(kind, T.ArrayType):
+        items = F.transform(ct, lambda x: F.coalesce(F.hex(x) if isinstance(kind.elementType, T.BinaryType) else x.cast("string"), F.lit("N")))
+        return F.when(ct.isNotNull(), F.concat(F.lit("L"), F.concat_ws(",", items)))
+    return F.concat(F.lit("T"), ct.cast("string"))
+
+
+def meta_text(meta: Column) -> Column:
+    """A map as the parts of its keys and values in the order of the keys; null for null."""
+    each = F.transform(F.array_sort(F.map_entries(meta)), lambda e: F.concat(_part(e["key"].cast("string")), _part(e["value"].cast("string"))))
+    return F.when(meta.isNotNull(), F.concat_ws("", each))
+
+
+def canonical(store: DataFrame) -> Column:
+    """One unambiguous text of what is sealed of a row: doc_id, ct, tag, meta (a map; may be absent) and version."""
+    kinds = {f.name: f.dataType for f in store.schema}
+    texts = []
+    for name in SEALED:
+        if name not in kinds:
+            texts.append(F.lit(None).cast("string"))
+        elif name == "ct":
+            texts.append(content_text(F.col(name), kinds[name]))
+        else:
+            texts.append(meta_text(F.col(name)) if isinstance(kinds[name], T.MapType) else F.col(name).cast("string"))
+    return F.concat(*map(_part, texts))
 
 
 def _check(key: bytes) -> bytes:
@@ -26,6 +67,17 @@ def _check(key: bytes) -> bytes:
     return key
 
 
+def load_key(path: str, key: bytes | None = None) -> bytes:
+    """The key of a driver's file, made if the file is absent; an explicit key is checked and not written."""
+    if key is not None:
+        return _check(key)
+    if not os.path.exists(path):
+        with open(os.open(path, os.O_WRONLY | os.O_CREAT | os.O_EXCL, 0o600), "wb") as f:
+            f.write(secrets.token_bytes(32))
+    with open(path, "rb") as f:
+        return _check(f.read())
+
+
 def mac_sql(key: bytes, message: Column) -> Column:
     padded = _check(key) + bytes(32)
     inner, outer = (bytes(b ^ x for b in padded) for x in (0x36, 0x5C))
@@ -44,30 +96,67 @@ def mac_udf(key: bytes, message: Column) -> Column:
 
 
 def seal(store: DataFrame, key: bytes, mac=mac_udf) -> DataFrame:
-    """`store` (doc_id, ct, tag, version) with its mac."""
-    return store.withColumn("mac", mac(key, canonical(*map(F.col, ("doc_id", "ct", "tag", "version")))))
+    """`store` (doc_id, ct, tag, version, and meta if there is any) with its mac."""
+    return store.withColumn("mac", mac(key, canonical(store)))
 
 
-def verify(store: DataFrame, manifest: DataFrame, key: bytes, mac=mac_udf) -> DataFrame:
-    """Incidents of a store against its manifest (doc_id, version): doc_id, reason.
+def check(store: DataFrame, manifest: DataFrame, key: bytes, mac=mac_udf) -> DataFrame:
+    """Every id of a store or its manifest (doc_id, version) with a reason, null if nothing is wrong.
 
-    doc_missing: registered but absent; store_unreadable: no content; missing_mac; mac_mismatch;
-    version_rollback: a valid older version than the registered one.
+    The reasons are those of NOTES, in their order. Ids that were never registered are not missed; rows that
+    were put in without a right mac are reported as any other.
     """
-    s = store.withColumn("want", mac(key, canonical(*map(F.col, ("doc_id", "ct", "tag", "version"))))).withColumn("here", F.lit(True))
+    s = store.withColumn("want", mac(key, canonical(store))).withColumn("here", F.lit(True))
     both = s.join(manifest.select("doc_id", F.col("version").alias("registered")), "doc_id", "full_outer")
     reason = (
         F.when(F.col("here").isNull(), "doc_missing").when(F.col("ct").isNull(), "store_unreadable")
         .when(F.col("mac").isNull() | F.col("version").isNull(), "missing_mac").when(F.col("mac") != F.col("want"), "mac_mismatch")
         .when(F.col("version") < F.col("registered"), "version_rollback")
     )
-    return both.select("doc_id", reason.alias("reason")).where("reason IS NOT NULL")
+    return both.select("doc_id", reason.alias("reason"))
+
+
+def verify(store: DataFrame, manifest: DataFrame, key: bytes, mac=mac_udf) -> DataFrame:
+    """The incidents of a store against its manifest: doc_id, reason."""
+    return check(store, manifest, key, mac).where("reason IS NOT NULL")
 
 
 def verified(store: DataFrame, key: bytes, mac=mac_udf) -> DataFrame:
     """The rows of a store whose mac is right."""
-    s = store.withColumn("want", mac(key, canonical(*map(F.col, ("doc_id", "ct", "tag", "version")))))
-    return s.where("ct IS NOT NULL AND mac = want").drop("want")
+    return store.withColumn("want", mac(key, canonical(store))).where("ct IS NOT NULL AND version IS NOT NULL AND mac = want").drop("want")
+
+
+def incidents(found: DataFrame) -> DataFrame:
+    """Rows for the incident log: doc_id, reason, ts, note."""
+    notes = F.create_map(*(F.lit(x) for pair in NOTES.items() for x in pair))
+    return found.select("doc_id", "reason", F.current_timestamp().alias("ts"), F.element_at(notes, F.col("reason")).alias("note"))
+
+
+def missing(manifest: DataFrame, store: DataFrame) -> DataFrame:
+    """Registered ids that a store lacks."""
+    return manifest.select("doc_id").distinct().join(store.select("doc_id"), "doc_id", "left_anti")
+
+
+def stale(store: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Rows of a store whose id no manifest names."""
+    return store.join(manifest.select("doc_id"), "doc_id", "left_anti")
+
+
+def registered(manifest: DataFrame, put: DataFrame) -> DataFrame:
+    """A manifest (doc_id, version) grown by the rows of `put`: the newest version of each id."""
+    return manifest.select("doc_id", "version").union(put.select("doc_id", "version")).groupBy("doc_id").agg(F.max("version").alias("version"))
+
+
+def save_manifest(manifest: DataFrame, path: str) -> None:
+    manifest.select("doc_id", "version").write.mode("overwrite").json(path)
+
+
+def load_manifest(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
+    """A manifest written by `save_manifest`; one whose rows lack an id or a version is an error."""
+    rows = spark.read.json(path, schema=f"doc_id {id_type}, version bigint")
+    if not rows.where("doc_id IS NULL OR version IS NULL").isEmpty():
+        raise ValueError(f"{path}: malformed manifest")
+    return rows
 
 
 def latest(store: DataFrame) -> DataFrame:

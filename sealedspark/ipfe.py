@@ -6,6 +6,8 @@ binaries. Encryption and decryption are Arrow-batched, since no SQL function doe
 
 from __future__ import annotations
 
+import json
+import os
 import secrets
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -81,6 +83,33 @@ class Scheme:
         return sum(s * x for s, x in zip(self.msk, q, strict=True)) % ((self.public.p - 1) // 2)
 
 
+def save(scheme: Scheme, path: str) -> None:
+    """Write a scheme with its master secret to a file of the driver that only its owner may read; replaces it at once."""
+    kept = {"p": scheme.public.p, "g": scheme.public.g, "quant_bits": scheme.public.quant_bits, "msk": list(scheme.msk)}
+    part = f"{path}.part"
+    with open(os.open(part, os.O_WRONLY | os.O_CREAT | os.O_TRUNC, 0o600), "w") as f:
+        json.dump(kept, f)
+    os.replace(part, path)
+
+
+def load(path: str) -> Scheme:
+    """A scheme written by `save`; the public keys are computed anew."""
+    with open(path) as f:
+        kept = json.load(f)
+    p, g, msk = kept["p"], kept["g"], tuple(kept["msk"])
+    return Scheme(Public(p, g, tuple(pow(g, s, p) for s in msk), kept["quant_bits"]), msk)
+
+
+def load_or_setup(path: str, dim: int, bits: int = 128, quant_bits: int = 2) -> Scheme:
+    """The scheme of a file, or a new one that is written to it; another dimension or precision is an error."""
+    if not os.path.exists(path):
+        save(Scheme.setup(dim, bits, quant_bits), path)
+    scheme = load(path)
+    if (len(scheme.msk), scheme.public.quant_bits) != (dim, quant_bits):
+        raise ValueError("the saved scheme is for other vectors")
+    return scheme
+
+
 def _bytes(x: int, p: int) -> bytes:
     return x.to_bytes((p.bit_length() + 7) // 8, "big")
 
@@ -104,7 +133,7 @@ def encrypt(public: Public, quantized: Column) -> Column:
 
 @lru_cache(maxsize=4)
 def _steps(g: int, p: int, span: int) -> tuple[int, dict, int]:
-    m = isqrt(span) + 1
+    m = 16 * (isqrt(span) + 1)  # a larger table than the root: it is built once a worker, and used for many pairs
     table, x = {}, 1
     for i in range(m):
         table.setdefault(x, i)
@@ -115,7 +144,7 @@ def _steps(g: int, p: int, span: int) -> tuple[int, dict, int]:
 def discrete_log(x: int, g: int, p: int, span: int) -> int:
     """e in [0, span] with g**e = x modulo p, by baby and giant steps."""
     m, table, back = _steps(g, p, span)
-    for j in range(m + 1):
+    for j in range(span // m + 1):
         if (i := table.get(x)) is not None:
             return j * m + i
         x = x * back % p

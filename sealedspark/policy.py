@@ -199,6 +199,15 @@ def parse_caller(text: Column) -> Column:
     return F.array_distinct(F.filter(items, lambda t: t != ""))
 
 
+def caller(text: str) -> list[str]:
+    """The tokens of one caller, on the driver; a caller without any is an error."""
+    items = [t.strip() for t in (text or "").split(",")]
+    out = list(dict.fromkeys(token(t) if ":" in t else t.lower() for t in items if t))
+    if not out:
+        raise PolicyError("a caller has an attribute at least")
+    return out
+
+
 def has_prefix(attrs: Column, prefix: str) -> Column:
     return F.exists(attrs, lambda t: F.startswith(t, F.lit(prefix)))
 

@@ -16,7 +16,7 @@ def laplace(u: Column, sensitivity: float, eps: Column) -> Column:
     return F.when(u >= 0.5, -b * F.log(2 * (1 - u))).otherwise(b * F.log(2 * u))
 
 
-def secure_uniform(like: Column) -> Column:
+def secure_uniform(like: Column, nth: int = 0) -> Column:
     """A uniform draw per row from the operating system's generator; never evaluated twice in one plan."""
 
     @F.pandas_udf("double")
@@ -37,8 +37,26 @@ def adaptive_eps(length: Column, lo: float, hi: float, default: float, full: int
     return F.when(F.coalesce(length, F.lit(0)) > 0, grown).otherwise(F.lit(default))
 
 
+def fixed_eps(eps: float) -> Column:
+    """The same budget for every query."""
+    if not eps > 0:
+        raise ValueError("a budget is positive")
+    return F.lit(float(eps))
+
+
+def privatise(value: Column, sensitivity: float, eps: Column, u: Column) -> Column:
+    """A value with Laplace noise; `u` is a uniform draw."""
+    return value + laplace(u, sensitivity, eps)
+
+
 def noisy_sums(df: DataFrame, by: list[str], value: str, lo: float, hi: float, eps: float, u) -> DataFrame:
-    """Per group: n, the sum of clamped values, and that sum with noise; `u` maps a column to uniform draws."""
-    sums = df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(clamp(F.col(value), lo, hi)).alias("total"))
-    noise = laplace(u(F.col(by[0])), max(abs(lo), abs(hi)), F.lit(eps))
-    return sums.withColumn("noisy", F.col("total") + noise)
+    """Per group: noisy_n, noisy_sum and noisy_avg of clamped values; no exact figure is returned.
+
+    Half of `eps` goes to the count, half to the sum. `u` maps a column and a number to uniform draws.
+    """
+    sums = df.groupBy(*by).agg(F.count(value).alias("__n"), F.sum(clamp(F.col(value), lo, hi)).alias("__t"))
+    half = fixed_eps(eps / 2)
+    key = F.concat_ws("|", *by)
+    sums = sums.withColumn("noisy_n", privatise(F.col("__n").cast("double"), 1.0, half, u(key, 0)))
+    sums = sums.withColumn("noisy_sum", privatise(F.coalesce("__t", F.lit(0.0)), max(abs(lo), abs(hi)), half, u(key, 1)))
+    return sums.withColumn("noisy_avg", F.col("noisy_sum") / F.greatest("noisy_n", F.lit(1.0))).drop("__n", "__t")

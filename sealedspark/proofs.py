@@ -4,11 +4,20 @@ from __future__ import annotations
 
 import hashlib
 import secrets
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sealedspark.ipfe import safe_prime
+
+
+@lru_cache(maxsize=2)
+def group(bits: int = 128) -> tuple[int, int]:
+    """p and g of a safe-prime group, made once in a process. In a small group proofs for other contexts may pass."""
+    return safe_prime(bits), 4
+
 
 def _secret(attr: str, q: int) -> int:
     return int.from_bytes(hashlib.sha256(attr.strip().lower().encode()).digest(), "big") % q

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import time
+from functools import reduce
+from itertools import islice
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sealedspark.ipfe import Scheme, inner_product
+from sealedspark.layout import blocks, broadcast_if_few, pin
 from sealedspark.policy import satisfied
 from sealedspark.vectors import cosine, dot, quantize
+from sealedspark.wire import WIRE, check_wire
 
 MAX_REQUESTS = 10_000
 
@@ -20,13 +27,28 @@ def _best(scored: DataFrame, k: int) -> DataFrame:
 
 def gate(docs: DataFrame, callers: DataFrame, policies: list[str]) -> DataFrame:
     """`docs` (policy, ...) beside each caller_id that may read them; callers x policies is evaluated once."""
-    return docs.join(F.broadcast(satisfied(callers, policies)), "policy")
+    return docs.join(broadcast_if_few(satisfied(callers, policies), MAX_REQUESTS * max(1, len(set(policies)))), "policy")
+
+
+def authorized_pairs(docs: DataFrame, requests: DataFrame, policies: list[str] | None) -> list[DataFrame]:
+    """`docs` (policy, ...) beside each request (query_id, attrs, ...) that may read them, by blocks of requests.
+
+    A block has at most about MAX_REQUESTS requests and is broadcast, so documents are never shuffled. A policy of
+    null denies; without `policies` nothing is gated.
+    """
+    out = []
+    for block in blocks(requests, "query_id", MAX_REQUESTS):
+        if policies is None:
+            out.append(docs.crossJoin(F.broadcast(block.drop("attrs"))))
+            continue
+        ok = satisfied(block.select(F.col("query_id").alias("caller_id"), "attrs"), policies).withColumnRenamed("caller_id", "query_id")
+        out.append(docs.join(F.broadcast(block.drop("attrs").join(ok, "query_id")), "policy"))
+    return out
 
 
-def _requests(requests: DataFrame) -> DataFrame:
-    """Broadcast up to MAX_REQUESTS requests (a checked bound); more are joined by shuffle on their caller."""
-    few = requests.limit(MAX_REQUESTS + 1).count() <= MAX_REQUESTS
-    return F.broadcast(requests) if few else requests
+def _ranked(docs: DataFrame, requests: DataFrame, policies: list[str] | None, score: Column, k: int) -> DataFrame:
+    best = [_best(p.select("query_id", "doc_id", score.alias("score")), k) for p in authorized_pairs(docs, requests, policies)]
+    return reduce(DataFrame.union, best)  # a request is in one block only
 
 
 def rank_quantized(docs: DataFrame, requests: DataFrame, policies: list[str] | None, k: int, quant_bits: int = 2) -> DataFrame:
@@ -36,29 +58,80 @@ def rank_quantized(docs: DataFrame, requests: DataFrame, policies: list[str] | N
     Ties go to the smaller doc_id. Returns query_id, doc_id, score (bigint), rank.
     """
     d = docs.select("doc_id", "policy", quantize(F.col("vec"), quant_bits).alias("dv"))
-    r = requests.select("query_id", quantize(F.col("vec"), quant_bits).alias("qv"))
-    if policies is None:
-        pairs = d.crossJoin(_requests(r))
-    else:
-        ok = satisfied(requests.select(F.col("query_id").alias("caller_id"), "attrs"), policies)
-        pairs = d.join(_requests(r.join(ok.withColumnRenamed("caller_id", "query_id"), "query_id")), "policy")
-    scored = pairs.select("query_id", "doc_id", dot(F.col("dv"), F.col("qv"), "bigint").alias("score"))
-    return _best(scored, k)
+    r = requests.select("query_id", quantize(F.col("vec"), quant_bits).alias("qv"), "attrs")
+    return _ranked(d, r, policies, dot(F.col("dv"), F.col("qv"), "bigint"), k)
 
 
 def rank_plain(docs: DataFrame, requests: DataFrame, policies: list[str] | None, k: int) -> DataFrame:
     """Like `rank_quantized`, by cosine in double precision."""
-    r = requests.select("query_id", F.col("vec").alias("qv"))
-    if policies is None:
-        pairs = docs.crossJoin(_requests(r))
-    else:
-        ok = satisfied(requests.select(F.col("query_id").alias("caller_id"), "attrs"), policies)
-        pairs = docs.join(_requests(r.join(ok.withColumnRenamed("caller_id", "query_id"), "query_id")), "policy")
-    return _best(pairs.select("query_id", "doc_id", cosine(F.col("vec"), F.col("qv")).alias("score")), k)
+    r = requests.select("query_id", F.col("vec").alias("qv"), "attrs")
+    return _ranked(docs.select("doc_id", "policy", "vec"), r, policies, cosine(F.col("vec"), F.col("qv")), k)
+
+
+def sealed_pairs(scheme: Scheme, docs: DataFrame, requests: DataFrame, policies: list[str]) -> DataFrame:
+    """query_id, doc_id, score for every document that a request may read: the raw integer inner product.
+
+    docs: doc_id, policy, ct. requests: query_id, attrs, q (quantised). The key holder makes one key per request;
+    what goes to the scoring side is checked to be ids, attributes, integers and keys (`check_wire`).
+    """
+    if not scheme.msk:
+        raise ValueError("functional keys need the master secret")
+    rows, scored = requests.toLocalIterator(), None
+    while (block := list(islice(rows, MAX_REQUESTS))) or scored is None:
+        wire = [(r.query_id, r.attrs, r.q, scheme.key(r.q).to_bytes(16, "big")) for r in block]
+        wire = check_wire(docs.sparkSession.createDataFrame(wire, WIRE))
+        if len(block) == MAX_REQUESTS and scored is None:
+            docs = pin(docs)  # more blocks follow: ciphertexts are random and costly, so they are made once
+        for pairs in authorized_pairs(docs, wire, policies):
+            one = pairs.select("query_id", "doc_id", inner_product(scheme.public, F.col("ct"), F.col("sk"), F.col("q")).alias("score"))
+            scored = one if scored is None else scored.union(one)
+    return scored
+
 
+def rank_sealed(scheme: Scheme, docs: DataFrame, requests: DataFrame, policies: list[str], k: int) -> DataFrame:
+    """The k best of `sealed_pairs` by request: query_id, doc_id, score, rank."""
+    return _best(sealed_pairs(scheme, docs, requests, policies), k)
 
-def hit_rate(found: DataFrame, truth: DataFrame) -> DataFrame:
-    """query_id, hit_rate: the share of each query's true doc_ids that were found."""
+
+def as_cosine(score: Column, quant_bits: int) -> Column:
+    """The cosine that an integer score of unit vectors stands for."""
+    return score / F.lit(float(10 ** (2 * quant_bits)))
+
+
+def hit_rate(found: DataFrame, truth: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """query_id, hit_rate: the share of each query's true doc_ids that were found.
+
+    With `queries` (query_id), a query without any true doc_id is an error.
+    """
     t, f = truth.select("query_id", "doc_id").distinct(), found.select("query_id", "doc_id").distinct()
     both = t.join(f.withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
-    return both.groupBy("query_id").agg((F.count("hit") / F.count("*")).alias("hit_rate"))
+    if queries is not None:
+        both = queries.select("query_id").distinct().join(both, "query_id", "left")
+    rate = F.when(F.count("doc_id") == 0, F.raise_error(F.lit("a query has no true document"))).otherwise(F.count("hit") / F.count("doc_id"))
+    return both.groupBy("query_id").agg(rate.cast("double").alias("hit_rate"))
+
+
+def compare(found: dict[str, DataFrame], truth: DataFrame, rounds: dict[str, int], tampers: dict[str, float]) -> DataFrame:
+    """One row per way of retrieval and metric: way, metric, value.
+
+    `found` maps a way (`baseline`, `improved`) to its ranking, `truth` is the unfiltered ranking and must be given;
+    `rounds` and `tampers` are each way's verification rounds and share of detected tampering.
+    """
+    if truth is None or not found:
+        raise ValueError("the true ranking and the rankings to compare are required")
+    out = []
+    for way, df in found.items():
+        out.append(hit_rate(df, truth).agg(F.avg("hit_rate").alias("value")).select(F.lit(way).alias("way"), F.lit("authorized_hit_rate").alias("metric"), "value"))
+        fixed = [(way, "verification_rounds", float(rounds[way])), (way, "tamper_detection_rate", float(tampers[way]))]
+        out.append(truth.sparkSession.createDataFrame(fixed, "way string, metric string, value double"))
+    return reduce(DataFrame.union, out)
+
+
+def median_ms(call, n: int = 7) -> float:
+    """The upper median of the milliseconds that `n` calls take."""
+    took = []
+    for _ in range(n):
+        began = time.perf_counter()
+        call()
+        took.append((time.perf_counter() - began) * 1000)
+    return sorted(took)[n // 2]
