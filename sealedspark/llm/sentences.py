@@ -1,156 +1,165 @@
 """Substring dedup by sliding spans of sentences.
 
-Every run of `run` consecutive sentences is hashed. Runs that occur more than once keep their first occurrence,
-the smallest (doc_id, row, position); the sentences that any other occurrence covers are removed. Where whole
-sentences do not tell (long ones, or passages off their boundaries), runs of GRAM words are treated likewise; of
-those in each window of WORDS words the one with the least hash is taken, so every passage of WORDS words has one.
+From every sentence on, the shortest run of consecutive sentences of at least `words` words is hashed and joined
+over the whole corpus. Of equal runs the first stays, that of the smallest (doc_id, text, position); the sentences
+that any other one covers are removed. A passage that starts and ends inside sentences, or that has none, may hold
+no such run: for windows of PASSAGE words without one, the run of `words` words with the least hash in the window
+is a span too. It depends on the window's words alone, so every repeated passage of PASSAGE words is found.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealedspark.llm.common import _powers, cut, free_shuffles, mix64
-
-_SENTENCE = re.compile(r"[^\n.!?]*(?:[.!?]+(?!\s|$)[^\n.!?]*)*(?:[.!?]+|\n|$)\s*")
-
-# A passage of so many words is always found, by a run of so many of them (fixed values).
-WORDS, GRAM = 50, 32
-_WORD = re.compile(r"\S+")
-# Positions from here on are those of words, smaller ones those of sentences.
-_AT_WORD = 1 << 40
-
-
-def split(text: str | None) -> list[str]:
-    """The sentences of a text with the white space after them; together they are the text."""
-    return [s for s in _SENTENCE.findall(text) if s] if text else []
-
-
-def _hash(sentence: str) -> int:
-    return xxhash.xxh64_intdigest(" ".join(sentence.split()).encode("utf-8", "replace"))
-
-
-def _windows(text: str, run: int, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of the runs of GRAM words, one for each window of WORDS words less than half of which lies in
-    `run` or more whole sentences. It depends on the words of the window alone, so all its occurrences have the same.
-    """
-    toks = _WORD.findall(text)
-    n = len(toks) - WORDS + 1
-    if n < 1:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    ends = np.flatnonzero([t[-1] in ".!?" for t in toks])
-    p = np.arange(n)
-    if len(ends):
-        lo, hi = np.searchsorted(ends, p), np.searchsorted(ends, p + WORDS - 1)
-        whole = np.where(hi - lo > run, ends[np.maximum(hi - 1, 0)] - ends[np.minimum(lo, len(ends) - 1)], 0)
-        p = p[2 * whole < WORDS]
-    if not len(p):
-        return np.zeros(0, np.uint64), p
-    if len(known) > 500_000:
-        known.clear()
-    for t in toks:
-        if t not in known:
-            known[t] = xxhash.xxh64_intdigest(t.encode("utf-8", "replace"), seed=WORDS)
-    up, down = _powers(len(toks))
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(np.array([known[t] for t in toks], np.uint64) * up)])
-    grams = mix64((total[GRAM:] - total[:-GRAM]) * down[: len(toks) - GRAM + 1])
-    p = np.unique(p + np.lib.stride_tricks.sliding_window_view(grams, WORDS - GRAM + 1)[p].argmin(1))
-    return grams[p], p
-
-
-def _runs(run: int):
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+from sealedspark.llm.common import WORD, _powers, blocks, cut, drop, free_shuffles, maybe_broadcast, mix64, word_hashes
+
+# A repeated passage of so many words is always found (fixed value).
+PASSAGE = 50
+# At most so many hashes or keys are broadcast (16 bytes each); more are joined by shuffle.
+MAX_KEYS = 1_000_000
+_END, _CLOSE, _SPACES = (np.isin(np.arange(256), list(x)) for x in (b".!?", b"\"')]}", b" \t\n\v\f\r"))
+
+
+def last_words(texts: list[str | None]) -> np.ndarray:
+    """Which words of the texts, end to end, end a sentence: those before a blank line or the end of a text, and
+    those that end in ., ! or ?, closing quotes and brackets aside."""
+    raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    space = _SPACES[data]
+    before = np.concatenate([[True], space[:-1]])
+    starts = np.flatnonzero(~space & before)
+    if not len(starts):
+        return np.zeros(0, bool)
+    stops = np.flatnonzero(space & ~before) - 1  # the last byte of each word
+    shut = _CLOSE[data[stops]] & (stops > starts)
+    ends = _END[data[stops - shut]]
+    lines = np.cumsum(data == 10)
+    ends[:-1] |= lines[starts[1:]] - lines[stops[:-1]] >= 2
+    lens = np.fromiter(map(len, raw), np.int64, len(raw))
+    of = np.searchsorted(np.cumsum(lens + 1), starts, side="right")
+    ends[:-1] |= of[1:] != of[:-1]
+    ends[-1] = True
+    return ends
+
+
+def spans(texts: list[str | None], words: int) -> tuple[np.ndarray, ...]:
+    """The spans of the texts: hash, number of the text, first word and the word after the last."""
+    h, bounds = word_hashes(texts)
+    ends = last_words(texts)
+    n = len(h)
+    if not n:
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
+    doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    up, down = _powers(n + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * up[:n])])
+
+    def hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return mix64((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64))
+
+    stop = np.flatnonzero(ends) + 1
+    start = np.concatenate([[0], stop[:-1]])
+    k = np.searchsorted(stop, start + words)  # the first sentence end with enough words before it
+    good = k < len(stop)
+    good[good] = doc[stop[k[good]] - 1] == doc[start[good]]
+    a, b = start[good], stop[k[good]]
+    out = [(hashes(a, b), a, b)]
+    p = np.arange(n - PASSAGE + 1) if n >= PASSAGE else np.zeros(0, np.int64)
+    p = p[doc[p] == doc[p + PASSAGE - 1]]
+    if len(a):
+        at = np.searchsorted(a, p)
+        p = p[(at == len(a)) | (b[np.minimum(at, len(a) - 1)] > p + PASSAGE)]
+    if len(p):
+        grams = hashes(np.arange(n - words + 1), np.arange(words, n + 1))
+        view = np.lib.stride_tricks.sliding_window_view(grams, PASSAGE - words + 1)
+        least = np.concatenate([p[i : i + 100_000] + view[p[i : i + 100_000]].argmin(1) for i in range(0, len(p), 100_000)])
+        least = np.unique(least)
+        out.append((grams[least], least, least + words))
+    x, a, b = (np.concatenate(c) for c in zip(*out, strict=True))
+    return x, doc[a], a - bounds[doc[a]], b - bounds[doc[a]]
+
+
+def _found(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, ids, pos, hashes = [], [], [], []
-            for row, i, t in zip(*(batch.column(c).to_pylist() for c in ("row", "id", "text")), strict=True):
-                h = np.array([_hash(s) for s in split(t)], np.uint64)
-                if not len(h):
+            texts = batch.column("text").to_pylist()
+            ids, keys = (batch.column(c).to_numpy() for c in ("id", "key"))
+            for i, j in blocks(texts, 1 << 19):
+                x, of, a, b = spans(texts[i:j], words)
+                for lo in range(0, len(x), 100_000):
+                    s = slice(lo, lo + 100_000)
+                    cols = [pa.array(x[s].view(np.int64)), pa.array(ids[i:j][of[s]]), pa.array(keys[i:j][of[s]]), pa.array(a[s], pa.int64()), pa.array(b[s], pa.int64())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["hash", "id", "key", "pos", "end"])
+
+    return run
+
+
+def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts, lists = batch.column("text").to_pylist(), batch.column("at").to_pylist()
+        out, n, gone = [], [], []
+        for i, j in blocks(texts, 1 << 19):
+            ends = last_words(texts[i:j])
+            _, bounds = word_hashes(texts[i:j])
+            for x in range(i, j):
+                t, own = texts[x], ends[bounds[x - i] : bounds[x - i + 1]]
+                n.append(int(own.sum()))
+                if not lists[x]:
+                    out.append(t)
+                    gone.append(0)
                     continue
-                w = min(run, len(h))
-                n = len(h) - w + 1
-                acc = np.full(n, w, np.uint64)
-                for j in range(w):
-                    acc = mix64(acc * np.uint64(0xD6E8FEB86659FD93) + h[j : j + n])
-                x, at = _windows(t, run, known)
-                n += len(x)
-                rows.append(np.full(n, row))
-                ids.append(np.full(n, i if i is not None else 2**63 - 1))
-                pos.append(np.concatenate([np.arange(n - len(x)), at + _AT_WORD]))
-                hashes.append(np.concatenate([acc, x]).view(np.int64))
-            if rows:
-                cols = [pa.array(np.concatenate(c)) for c in (hashes, ids, rows, pos)]
-                yield pa.RecordBatch.from_arrays(cols, names=["hash", "id", "row", "pos"])
-
-    return go
-
-
-def _without(left: list[str], sentences: list[str], words: np.ndarray) -> list[str]:
-    """`left` (each sentence or "") without the words that `words`, over all words of `sentences`, names."""
-    out, at = [], 0
-    for x, s in zip(left, sentences, strict=True):
-        n = len(_WORD.findall(s))
-        gone, at = words[at : at + n], at + n
-        if x and gone.any():
-            x = "" if gone.all() else "".join(w for w, g in zip(re.findall(r"\s*\S+\s*", x), gone, strict=True) if not g)
-        out.append(x)
-    return out
-
-
-def _rebuild(run: int):
-    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out, n, gone = [], [], []
-            for t, at in zip(batch.column("text").to_pylist(), batch.column("at").to_pylist(), strict=True):
-                s = split(t)
-                off = np.zeros(len(s), bool)
-                words = None
-                for span in at or ():
-                    p, lo = span["pos"], span["lo"]
-                    if p < _AT_WORD:
-                        off[p : p + run] = True
-                        continue
-                    if words is None:
-                        words = np.zeros(len(_WORD.findall(t)), bool)
-                    words[lo - _AT_WORD : p - _AT_WORD + GRAM] = True
-                left = ["" if o else x for x, o in zip(s, off, strict=True)]
-                if words is not None:
-                    left = _without(left, s, words)
-                    off = np.array([x != y for x, y in zip(left, s, strict=True)], bool)
-                out.append("".join(left) if off.any() else t)
-                n.append(len(s))
-                gone.append(int(off.sum()))
-            cols = [batch.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_sentences", "n_removed", "text"])
-
-    return go
-
-
-def dedup(docs: DataFrame, run: int = 3) -> DataFrame:
+                off = np.zeros(len(own) + 1, np.int64)
+                for span in lists[x]:
+                    off[span["lo"]] += 1
+                    off[span["end"]] -= 1
+                off = np.cumsum(off)[:-1] > 0
+                at = [m.start() for m in WORD.finditer(t)]
+                at.append(len(t))
+                out.append(t[: at[0]] + "".join(t[at[w] : at[w + 1]] for w in np.flatnonzero(~off)))
+                sentence = np.concatenate([[0], np.cumsum(own)[:-1]])
+                gone.append(len(np.unique(sentence[off])))
+        cols = [batch.column("id"), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.string())]
+        yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_sentences", "n_removed", "text"])
+
+
+def dedup(docs: DataFrame, words: int = 40) -> DataFrame:
     """`docs` (doc_id, text; other columns are ignored) without repeated spans: doc_id, n_sentences, n_removed, text.
 
-    A sentence ends at ., ! or ? before white space, or at a line end; white space within does not count.
-    A text of fewer than `run` sentences is one run. A passage of WORDS or more words that stands in an earlier
-    place with the same sentence ends loses half of its words at least, whatever its sentences; n_removed counts
-    sentences that lose all or some of their words. Null and empty texts stay as they are. Of repeated rows
-    the first keeps its text. Rows without doc_id come last in the order of occurrences.
+    Words are separated by ASCII white space and compare without regard to the case of A-Z; white space between
+    them does not count. A run of fewer than `words` words (up to PASSAGE) is never removed, whatever its
+    sentences. n_removed counts sentences that lose all or some of their words; a removed word goes with the white
+    space after it. A span that overlaps its own first occurrence loses only what lies beyond that. Null and empty
+    texts stay as they are. Repeated rows, those with one doc_id and one text, are one document and fare alike.
+    Rows without doc_id come last in the order of occurrences, among themselves by a hash of the text.
     """
-    rows = cut(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("id"), "text"))
-    runs = cut(rows.mapInArrow(_runs(run), "hash long, id long, row long, pos long"))
-    first = runs.groupBy("hash").agg(F.min(F.struct("id", "row", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = runs.join(cut(first.select("hash", "first")), "hash").where("struct(id, row, pos) > first")
-    # a run of words that overlaps its own first occurrence is removed from that one's end on
-    own = (F.col("row") == F.col("first.row")) & (F.col("pos") >= _AT_WORD)
-    later = later.withColumn("lo", F.when(own, F.greatest("pos", F.col("first.pos") + GRAM)).otherwise(F.col("pos")))
-    # one row per removed span; grouped by document, whose own length bounds the list
-    later = later.groupBy("row").agg(F.collect_list(F.struct("pos", "lo")).alias("at"))
-    out = rows.join(cut(later), "row", "left").select("id", "text", "at")
+    if not 1 < words <= PASSAGE:
+        raise ValueError(f"runs have 2 to {PASSAGE} words")
+    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), ident.alias("order"), F.xxhash64("text").alias("key"), "text")
+    # repeated rows are one document
+    src = rows.where("text IS NOT NULL").select(F.col("order").alias("id"), "key", "text")
+    all_ = cut(src.mapInArrow(_found(words), "hash long, id long, key long, pos long, end long"))
+    many = cut(all_.groupBy("hash").agg(F.count("*").alias("n"), F.min("id").alias("id0")).where("n > 1").select("hash", "id0"))
+    held = cut(all_.join(maybe_broadcast(many, MAX_KEYS), "hash"))
+    drop(all_, many)
+    later = held.where("id > id0").select("id", "key", F.col("pos").alias("lo"), "end")
+    # among the rows of the smallest doc_id the first by text and position stays
+    own = held.where("id = id0").select("hash", "id", "key", "pos", "end")
+    first = own.groupBy("hash").agg(F.min(F.struct("key", "pos", "end")).alias("f"), F.max(F.struct("key", "pos")).alias("l"))
+    first = cut(first.where("f.key < l.key OR f.pos < l.pos").select("hash", F.col("f.key").alias("key0"), F.col("f.pos").alias("pos0"), F.col("f.end").alias("end0")))
+    own = own.join(first, "hash").where("key > key0 OR (key = key0 AND pos > pos0)")
+    lo = F.when(F.col("key") == F.col("key0"), F.greatest("pos", "end0")).otherwise(F.col("pos"))
+    both = later.union(own.select("id", "key", lo.alias("lo"), "end")).where("lo < end").distinct()
+    # one row per document, whose own length bounds the list
+    gone = cut(both.groupBy(F.col("id").alias("order"), "key").agg(F.collect_list(F.struct("lo", "end")).alias("at")))
+    drop(held, first)
+    keys = maybe_broadcast(gone.select("order", "key"), MAX_KEYS)
+    on = ["order", "key"]
+    hit = rows.join(keys, on, "left_semi").join(gone, on).select("id", "text", "at")  # only texts that lose words are shuffled
+    rest = rows.join(keys, on, "left_anti").select("id", "text", F.lit(None).cast(gone.schema["at"].dataType).alias("at"))
     free_shuffles(docs.sparkSession)
-    return out.mapInArrow(_rebuild(run), "doc_id long, n_sentences long, n_removed long, text string")
+    return hit.union(rest).mapInArrow(_rebuild, "doc_id long, n_sentences long, n_removed long, text string")

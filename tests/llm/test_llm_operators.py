@@ -1,5 +1,3 @@
-import random
-import re
 from collections import defaultdict
 
 import numpy as np
@@ -7,7 +5,7 @@ import pytest
 from oracle import compare
 from pyspark.sql import functions as F
 
-from sealedspark.llm import decontaminate, langid, neighbours, pages, quality, queries, secrets, sentences, sharding
+from sealedspark.llm import decontaminate, langid, pages, quality, queries, secrets, sharding
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, n string, row string"
@@ -76,27 +74,6 @@ def test_contamination(spark):
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 == decontaminate.contaminated(df.limit(0), bench).count()
 
 
-def test_sentences(spark):
-    rnd = random.Random(5)
-    bank = [f"Sentence {i} has words." for i in range(60)]
-    rows = [(i, " ".join(rnd.choices(bank, k=rnd.randint(0, 30)) if i % 3 else bank[i % 7 : i % 7 + 9])) for i in range(40)] + [(90, None), (91, ""), (92, "One."), (93, "One.")]
-    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, row string")
-    seen, want = set(), {}
-    for i, t in sorted(rows):
-        s = [x for x in re.split(r"(?<=[.!?])\s+", t or "") if x]
-        w = min(3, len(s))
-        off = set()
-        for p in range(len(s) - w + 1 if s else 0):
-            k = tuple(s[p : p + w])
-            off |= set(range(p, p + w)) if k in seen else set()
-            seen.add(k)
-        want[i] = (len(s), len(off), [x for j, x in enumerate(s) if j not in off])
-    for r in sentences.dedup(df).collect():
-        left = [x for x in re.split(r"(?<=[.!?])\s+", r.text or "") if x]
-        assert (r.n_sentences, r.n_removed, left) == want[r.doc_id]
-    assert sentences.dedup(df.limit(0)).count() == 0
-
-
 def test_shards(spark):
     rows = [(i % 50, "x" * (i % 40)) for i in range(600)] + [(7, "same")] * 200 + [(1000, "y" * 5000), (None, None)]
     df = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, h string")
@@ -131,26 +108,6 @@ def test_pages(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
-def test_neighbours(spark):
-    e = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
-    bad = [(10_001, None), (10_002, [0.0] * 64), (10_003, [float("nan")] * 64), (10_100, [None] * 64)]
-    df = e.union(spark.createDataFrame(bad, e.schema)).withColumn("u", F.lit("x"))
-    got = defaultdict(list)
-    for r in neighbours.search(df, lambda i: i % 20 == 0).orderBy("query_id", "rank").collect():
-        got[r.query_id].append((r.vec_id, r.score))
-    p = e.toPandas()
-    v, ids, hit = np.stack(p.embedding).astype(float), p.vec_id.values, 0
-    for i in np.flatnonzero(ids % 20 == 0):
-        d = np.sqrt(((v - v[i]) ** 2).sum(1))
-        d[i] = np.inf
-        hit += len(set(ids[np.lexsort((ids, d))[:10]]) & {x for x, _ in got[ids[i]]})
-        assert len(got[ids[i]]) == 10 and all(abs(s - d[list(ids).index(x)]) < 1e-9 for x, s in got[ids[i]])
-    assert set(got) == set(ids[ids % 20 == 0]) and hit >= 0.9 * 10 * len(got)
-    assert neighbours.search(df.limit(0), lambda i: i % 20 == 0).count() == 0
-    few = spark.createDataFrame([(i, [1.0, float(i > 2)]) for i in range(5)], "vec_id long, embedding array<double>")
-    assert [r.vec_id for r in neighbours.search(few, lambda i: i == 0).orderBy("rank").collect()] == [1, 2, 3, 4]
-
-
 def test_language_sample_is_that_of_a_full_sort(spark):
     words = {"aa": "lorem ipsum dolor", "bb": "zwyx qwrt vbnm"}
     docs = spark.createDataFrame([(i, f"{words[x]} {i}", x) for i in range(3000) for x in ["ab"[i % 2] * 2]], "doc_id long, text string, lang string")
@@ -161,35 +118,6 @@ def test_language_sample_is_that_of_a_full_sort(spark):
     assert langid.fit(docs.limit(0))["labels"] == []
 
 
-def test_neighbours_grow_until_recall(spark):
-    v = np.random.default_rng(3).normal(size=(3000, 48))
-    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
-    got = defaultdict(set)
-    for r in neighbours.search(df, lambda i: i % 50 == 0, pool=12, orders=1, k=6).collect():
-        got[r.query_id].add(r.vec_id)
-    hit = 0
-    for i in range(0, 3000, 50):
-        d = ((v - v[i]) ** 2).sum(1)
-        d[i] = np.inf
-        hit += len(set(np.argsort(d)[:10].tolist()) & got[i])
-    assert len(got) == 60 and hit >= 0.9 * 600
-
-
-def test_passages_of_few_sentences(spark):
-    rnd = random.Random(8)
-    some = lambda n: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(n))
-    one, two, inner, bare, copy = some(60) + ".", some(30) + ". " + some(30) + ".", some(55), some(70), some(31) + "."
-    texts = [f"{some(9)}. {one} {two} {some(20)} {inner} {some(20)}. {bare}\n{copy}"]
-    texts += [f"{some(8)}. {x} {some(8)}." for x in (one, two)] + [f"{some(30)} {inner} {some(30)}.", f"{some(5)} {bare} {some(6)}", f"{some(8)}. {copy} {some(8)}.", "la " * 400]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r for r in sentences.dedup(df).collect()}
-    assert got[0].text == texts[0] and got[5].text == texts[5] and got[5].n_removed == 0
-    for i, x in ((1, one), (2, two), (3, inner), (4, bare)):
-        left, own = got[i].text.split(), texts[i].replace(x, "").split()
-        assert [w for w in left if w in own] == own and 2 * (len(left) - len(own)) <= len(x.split()) and got[i].n_removed > 0
-    assert set(got[6].text.split()) == {"la"} and len(got[6].text.split()) <= 50
-
-
 def test_contamination_by_part_of_an_item(spark):
     item = " ".join(f"word{i}" for i in range(150))
     part = lambda a, n: "before that " + " ".join(item.split()[a : a + n]) + " and after"
