@@ -1,10 +1,11 @@
-"""Main text of web pages: structure first, then differencing against the page with the nearest URL.
+"""Main text of web pages: every page's lines are differenced against the page with the nearest URL.
 
-A page is parsed into lines (the text of its blocks). Lines inside navigation, headers, footers, asides, forms,
-scripts, or elements whose class, id or role names such a part, are never kept. Where the page has an article
-or main element, the headings and paragraphs in it are the article. All other lines are open: they are aligned
-by longest common subsequence with those of the page before and after it in the order of host and path, whichever
-shares more of the path, and shared lines are deleted, unless 95 % of a page's open lines or more are: then it is a copy.
+A page is parsed into lines (the text of its blocks), each of a kind: in the article, in an element that by its name
+is no part of one (navigation, footer, advert, comments ...), or open. The pages of a host are put in order of path
+and query; each is aligned by longest common subsequence, over all its lines, with the different page before or
+after it that shares more of the address, and shared lines are deleted. Lines of an article stay even if shared:
+articles quote the same passages. Of what is left, lines in elements named so are dropped, and open lines too if the
+page's article is longer than they are.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sealedspark.llm.common import cut
+from sealedspark.llm.common import cut, drop
 
 # Elements by what they do to text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -28,58 +29,91 @@ BLOCK = frozenset(
     "address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
-SKIP = frozenset(
-    "script style noscript template svg math canvas iframe object head title nav footer aside form button select "
-    "textarea option dialog menu audio video".split()
-)
-TEXT = frozenset("h1 h2 h3 h4 h5 h6 p pre blockquote li dd dt td th figcaption".split())
+# Never text, and text of another kind than an article's.
+SILENT = frozenset("script style noscript template svg math canvas iframe object head title button select textarea option audio video".split())
+ASIDE = frozenset("nav footer aside form dialog menu".split())
 # Elements that a new one of the same kind closes.
-SELF_CLOSING = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertorial|sponsor(?:ed)?|promo|promotion|banner|sidebar|menu|nav|navbar|"
-    r"navigation|breadcrumbs?|footer|masthead|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|"
-    r"subscribe|signup|login|share|sharing|social|related|recommended|trending|comments?|disqus|replies|respond|"
-    r"pagination|pager|widget|toolbar|copyright|disclaimer|skip)(?:$|[\s_-])",
-    re.I,
+SELF_CLOSING = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th"), "tr": ("tr", "td", "th")}
+# Names of classes and ids: a token is split at - and _, and its first or last part counts.
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertorial sponsor sponsored promo promotion banner sidebar menu nav navbar navigation "
+    "breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe "
+    "signup login share sharing social related recommended trending comment comments disqus replies respond pagination pager "
+    "widget toolbar copyright disclaimer skip".split()
 )
+# First parts that say that a name is about the whole page or a topic.
+ABOUT = frozenset("no has with without hide is category tag topic type layout page site post entry body".split())
+TOPICS = frozenset("no has with without hide category tag topic type layout".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
+# Kinds of lines.
+OPEN, ARTICLE, OTHER = 0, 1, 2
+
+
+def marked(names: str) -> bool:
+    """Whether a class or id names a part that is no article: `nav`, `site-footer`, `comment-list`, not `no-sidebar`."""
+    for name in names.lower().split():
+        parts = [p for p in re.split(r"[-_]+", name) if p]
+        if parts and parts[0] not in TOPICS and (parts[-1] in MARKS or (parts[0] in MARKS and parts[0] not in ABOUT)):
+            return True
+    return False
 
 
 class _Parser(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, skipped, in an article, in its text
-        self.lines: list[tuple[str, bool, bool]] = []
+        self.stack: list[tuple[str, bool, tuple, bool]] = []  # tag, silent, suspects, in an article
+        self.lines: list[tuple[str, tuple, bool]] = []
         self.parts: list[str] = []
+        self.size: list[int] = []  # text in each suspect
+        self.holds: list[bool] = []  # whether a suspect holds an article
+
+    def top(self) -> tuple[str, bool, tuple, bool]:
+        return self.stack[-1] if self.stack else ("", False, (), False)
 
     def flush(self) -> None:
         if self.parts:
             line = " ".join("".join(self.parts).split())
-            if line:
-                _, _, article, text = self.stack[-1] if self.stack else ("", False, False, False)
-                self.lines.append((line, article, article and text))
             self.parts = []
+            if line:
+                _, _, suspects, article = self.top()
+                self.lines.append((line, suspects, article))
+                for s in suspects:
+                    self.size[s] += len(line)
+
+    def close_to(self, tags, stop=()) -> None:
+        """Close the innermost open element of `tags`, unless one of `stop` is open within it."""
+        for at in range(len(self.stack) - 1, -1, -1):
+            if self.stack[at][0] in tags:
+                del self.stack[at:]
+                return
+            if self.stack[at][0] in stop:
+                return
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCK:
             self.flush()
+            if tag != "br":
+                self.close_to(("p",), BLOCK - {"p"})
         if tag in VOID:
             return
         if tag in SELF_CLOSING:
-            for at in range(len(self.stack) - 1, max(-1, len(self.stack) - 9), -1):
-                if self.stack[at][0] in SELF_CLOSING[tag]:
-                    del self.stack[at:]
-                    break
-                if self.stack[at][0] in BLOCK:
-                    break
-        _, skip, article, text = self.stack[-1] if self.stack else ("", False, False, False)
-        a = dict(attrs)
-        if not skip and tag not in ("html", "body", "article", "main"):
-            names = f"{a.get('class') or ''} {a.get('id') or ''}"
-            skip = tag in SKIP or (tag == "header" and not article) or bool(MARKS.search(names)) or (a.get("role") or "").lower() in ROLES
-            skip = skip or "hidden" in a or (a.get("aria-hidden") or "").lower() == "true"
-        article = article or tag in ("article", "main") or (a.get("role") or "").lower() == "main" or (a.get("itemprop") or "") == "articleBody"
-        self.stack.append((tag, skip, article, text or tag in TEXT))
+            self.close_to(SELF_CLOSING[tag], ("ul", "ol", "dl", "table"))
+        a = {k: v or "" for k, v in attrs}
+        starts = tag in ("article", "main") or a.get("role", "").lower() == "main" or a.get("itemprop") == "articleBody"
+        if tag in ("article", "main"):
+            self.close_to(("nav", "header", "footer", "aside", "menu"), ("article", "main"))  # left open
+        _, silent, suspects, article = self.top()
+        if starts:
+            for s in suspects:
+                self.holds[s] = True
+        elif not silent and tag not in ("html", "body"):
+            by_name = marked(f"{a.get('class', '')} {a.get('id', '')}") or a.get("role", "").lower() in ROLES
+            if tag in ASIDE or (tag == "header" and not article) or by_name:
+                suspects = (*suspects, len(self.size))
+                self.size.append(0)
+                self.holds.append(False)
+        silent = silent or tag in SILENT or "hidden" in a or a.get("aria-hidden", "").lower() == "true"
+        self.stack.append((tag, silent, suspects, article or starts))
 
     def handle_startendtag(self, tag, attrs):
         if tag in BLOCK:
@@ -88,31 +122,59 @@ class _Parser(HTMLParser):
     def handle_endtag(self, tag):
         if tag in BLOCK:
             self.flush()
-        for at in range(len(self.stack) - 1, -1, -1):
-            if self.stack[at][0] == tag:
-                del self.stack[at:]
-                return
+        self.close_to((tag,))
 
     def handle_data(self, data):
-        if not (self.stack and self.stack[-1][1]):
+        if not self.top()[1]:
             self.parts.append(data)
 
 
-def lines(html: str | None) -> list[tuple[str, bool]]:
-    """The lines of a page that may belong to its main text, each with whether it surely does."""
+def _whole(html: str) -> str:
+    """`html` without a comment or a tag that its end cuts off."""
+    at = html.rfind("<!--")
+    if at >= 0 and html.find("-->", at) < 0 and html.rfind("<script", 0, at) <= html.rfind("</script", 0, at):
+        html = html[:at]
+    at = html.rfind("<")
+    return html[:at] if at > html.rfind(">") and re.match(r"</?[a-zA-Z!?]", html[at : at + 3]) else html
+
+
+def lines(html: str | None) -> list[tuple[str, int]]:
+    """The visible lines of a page, each with its kind.
+
+    An element that is named like no article counts as such only if it holds none; without any article on the page,
+    only if it holds less than nine tenths of the text too: a whole page may stand in a form.
+    """
     if not html:
         return []
     p = _Parser()
-    p.feed(html)
+    p.feed(_whole(html))
     p.close()
     p.flush()
-    if any(article for _, article, _ in p.lines):
-        return [(t, sure) for t, article, sure in p.lines if article]
-    return [(t, False) for t, _, _ in p.lines]
+    total = sum(len(t) for t, _, _ in p.lines)
+    firm = any(article and not suspects for _, suspects, article in p.lines)
+    other = [not h and (firm or 10 * n < 9 * total) for h, n in zip(p.holds, p.size, strict=True)]
+    return [(t, OTHER if any(other[s] for s in suspects) else ARTICLE if article else OPEN) for t, suspects, article in p.lines]
+
+
+def kept(kinds: list[int], sizes: list[int], shared: list[bool]) -> list[bool]:
+    """Which lines are the main text, given which of them the nearest page shares."""
+    article = sum(n for k, n in zip(kinds, sizes, strict=True) if k == ARTICLE)
+    open_ = sum(n for k, n, s in zip(kinds, sizes, shared, strict=True) if k == OPEN and not s)
+    return [k == ARTICLE or (k == OPEN and not s and open_ > article) for k, s in zip(kinds, shared, strict=True)]
 
 
 def common(a: list, b: list) -> list[bool]:
     """Which elements of `a` are in a longest common subsequence with `b` (bit-parallel, rows kept as integers)."""
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    return [True] * head + _common(a[head : len(a) - tail], b[head : len(b) - tail]) + [True] * tail
+
+
+def _common(a: list, b: list) -> list[bool]:
     full = (1 << len(b)) - 1
     at: dict = {}
     for j, y in enumerate(b):
@@ -137,27 +199,35 @@ def common(a: list, b: list) -> list[bool]:
     return out
 
 
-def _address(url: str | None) -> tuple[str, str]:
+def address(url: str | None) -> tuple[str, str]:
+    """Host, and path with query, of a URL; empty if it cannot be read."""
     try:
         u = urlsplit((url or "").strip())
-        return (u.hostname or ""), u.path
+        return (u.hostname or ""), u.path + ("?" + u.query if u.query else "")
     except ValueError:
         return "", ""
 
 
+def _prints(found: list[tuple[str, int]]) -> list[int]:
+    return [xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) - (1 << 63) for t, _ in found]
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What differencing needs of a page; its text is not kept."""
     for batch in batches:
-        hosts, paths, texts, sure, prints = [], [], [], [], []
+        hosts, paths, prints, marks, kinds, sizes = [], [], [], [], [], []
         for url, html in zip(batch.column("url").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            h, p = _address(url)
+            h, p = address(url)
             found = lines(html)
             hosts.append(h)
             paths.append(p)
-            texts.append([t for t, _ in found])
-            sure.append([s for _, s in found])
-            prints.append([np.uint64(xxhash.xxh64_intdigest(t.encode("utf-8", "replace"))).view(np.int64) for t, s in found if not s])
-        cols = [*(batch.column(c) for c in ("row", "page_id", "url")), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(texts, pa.list_(pa.string())), pa.array(sure, pa.list_(pa.bool_())), pa.array(prints, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(cols, names=["row", "page_id", "url", "host", "path", "texts", "sure", "prints"])
+            prints.append(_prints(found))
+            marks.append(xxhash.xxh64_intdigest(np.array(prints[-1], np.int64).tobytes()) - (1 << 63))
+            kinds.append(bytes(k for _, k in found))
+            sizes.append([len(t) for t, _ in found])
+        cols = [batch.column("key"), pa.array(hosts, pa.string()), pa.array(paths, pa.string()), pa.array(prints, pa.list_(pa.int64())),
+                pa.array(marks, pa.int64()), pa.array(kinds, pa.binary()), pa.array(sizes, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays(cols, names=["key", "host", "path", "prints", "mark", "kinds", "sizes"])
 
 
 def _alike(a: str, b: str) -> int:
@@ -165,53 +235,91 @@ def _alike(a: str, b: str) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
+def against(mine: list, near: list[list]) -> list[bool]:
+    """Which lines a page shares with the first of `near`, or with the second if the first is a version of the page.
+
+    A version of a page shares all but a twentieth of its lines. If the only neighbour is one, nothing tells the
+    article from the rest; if both are, what they share is no one's article.
+    """
+    found = []
+    for other in near:
+        shared = common(mine, other)
+        if 20 * (len(mine) - sum(shared)) > len(mine):
+            return shared
+        found.append(shared)
+    return found[0] if len(found) > 1 else [False] * len(mine)
+
+
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, shared: which open lines of a page are in its nearest page too."""
+    """host, mark, shared: which lines of a page are in its nearest page too, as bytes of 0 and 1."""
     for batch in batches:
         out = []
         for own, before, after in zip(*(batch.column(c).to_pylist() for c in ("own", "before", "after")), strict=True):
-            near = [x for x in (before, after) if x is not None and x["host"] == own["host"] and x["host"] and x["path"] != own["path"]]
-            best = max(near, key=lambda x: _alike(x["path"], own["path"]), default=None)
-            mine = own["prints"]
-            shared = common(mine, best["prints"]) if best else [False] * len(mine)
-            if 20 * (len(mine) - sum(shared)) <= len(mine):  # copies of one page: nothing tells the article from the rest
-                shared = [False] * len(mine)
-            out.append(shared)
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.list_(pa.bool_()))], names=["row", "shared"])
+            near = [x for x in (before, after) if x is not None and x["host"] == own["host"]]
+            near.sort(key=lambda x: -_alike(x["path"], own["path"]))
+            out.append(bytes(against(own["prints"], [x["prints"] for x in near])))
+        own = batch.column("own")
+        cols = [own.field("host"), own.field("mark"), pa.array(out, pa.binary())]
+        yield pa.RecordBatch.from_arrays(cols, names=["host", "mark", "shared"])
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for every row of `pages` (page_id, url, html; other columns are ignored).
+def _open_left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key and shared of the pages whose main text the differencing changes."""
+    for batch in batches:
+        change = []
+        for kinds, sizes, shared in zip(*(batch.column(c).to_pylist() for c in ("kinds", "sizes", "shared")), strict=True):
+            kinds, shared = list(kinds), [bool(x) for x in shared]
+            change.append(kept(kinds, sizes, shared) != kept(kinds, sizes, [False] * len(kinds)))
+        yield batch.select(["key", "shared"]).filter(pa.array(change, pa.bool_()))
 
-    A null, empty or article-less html has an empty text. Repeated rows and null ids give a row each. Pages
-    without a readable host are compared with none. The order of host and path is dealt out by range, so a host
-    with many pages is spread; the pages at the ends of two ranges are passed on beside each other.
+
+def nearest(parsed: DataFrame) -> DataFrame:
+    """host, mark, shared for the pages of `parsed`, one row for those with equal lines.
+
+    Pages of one host with equal lines are one page, at the smallest of their addresses; so a neighbour always
+    differs. The order of host and address is dealt out by range, so a host with many pages is spread; the pages
+    at the ends of two ranges are passed on beside each other.
     """
-    src = pages.select(F.monotonically_increasing_id().alias("row"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    # row numbers are fixed by the table of parsed pages; raw html is neither stored nor read again
-    parsed = cut(src.mapInArrow(_parse, "row long, page_id long, url string, host string, path string, texts array<string>, sure array<boolean>, prints array<long>"))
-    open_ = parsed.where("size(prints) > 0 AND host <> ''").select(F.struct("host", "path", "row", "prints").alias("own"))
-    order = ["own.host", "own.path", "own.row"]
-    dealt = cut(open_.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    pages = parsed.where("host <> '' AND size(prints) > 0").groupBy("host", "mark").agg(F.min("path").alias("path"), F.min("prints").alias("prints"))
+    order = ["own.host", "own.path", "own.mark"]
+    own = pages.select(F.struct("host", "path", "mark", "prints").alias("own"))
+    dealt = cut(own.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     by = Window.partitionBy("part").orderBy(*order)
     beside = dealt.select("part", "own", F.lag("own").over(by).alias("before"), F.lead("own").over(by).alias("after"))
     # ends of the ranges: one row per range, so their window is over a table of as many rows as partitions
     ends = dealt.groupBy("part").agg(F.min("own").alias("lo"), F.max("own").alias("hi"))
     along = Window.orderBy("part")
-    ends = ends.select("part", F.lag("hi").over(along).alias("hi_before"), F.lead("lo").over(along).alias("lo_after"))
-    beside = beside.join(ends, "part").select(
-        F.col("own.row").alias("row"), "own", F.coalesce("before", "hi_before").alias("before"), F.coalesce("after", "lo_after").alias("after")
-    )
-    shared = beside.mapInArrow(_difference, "row long, shared array<boolean>")
-    both = parsed.select("row", "page_id", "url", "texts", "sure").join(shared, "row", "left")
-    return both.mapInArrow(_join, "page_id long, url string, text string, n_chars long")
+    ends = cut(ends.select("part", F.lag("hi").over(along).alias("hi_before"), F.lead("lo").over(along).alias("lo_after")))
+    beside = beside.join(F.broadcast(ends), "part")  # as many rows as partitions
+    beside = beside.select("own", F.coalesce("before", "hi_before").alias("before"), F.coalesce("after", "lo_after").alias("after"))
+    out = cut(beside.mapInArrow(_difference, "host string, mark long, shared binary"))
+    drop(dealt, ends)
+    return out
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars for every row of `pages` (page_id, url, html; other columns are ignored).
+
+    A null, empty or article-less html has an empty text. Repeated rows and null ids give a row each; repeated rows
+    fare alike. Pages without a readable host, and the only page of a host, are compared with none. Only pages whose
+    text the differencing changes are shuffled; parsed pages are kept without their texts.
+    """
+    src = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.xxhash64("url", "html").alias("key"))
+    parsed = cut(src.select("url", "html", "key").mapInArrow(_parse, "key long, host string, path string, prints array<long>, mark long, kinds binary, sizes array<int>"))
+    shared = nearest(parsed)
+    each = parsed.select("key", "host", "mark", "kinds", "sizes").join(shared, ["host", "mark"])
+    changed = cut(each.mapInArrow(_open_left, "key long, shared binary").groupBy("key").agg(F.min("shared").alias("shared")))
+    drop(parsed, shared)
+    return src.join(changed, "key", "left").select("page_id", "url", "html", "shared").mapInArrow(_join, "page_id long, url string, text string, n_chars long")
 
 
 def _join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for texts, sure, shared in zip(*(batch.column(c).to_pylist() for c in ("texts", "sure", "shared")), strict=True):
-            gone = iter(shared or ())
-            out.append("\n".join([t for t, s in zip(texts, sure, strict=True) if s or not next(gone, False)]))
+        for html, shared in zip(batch.column("html").to_pylist(), batch.column("shared").to_pylist(), strict=True):
+            found = lines(html)
+            kinds, sizes = [k for _, k in found], [len(t) for t, _ in found]
+            keep = kept(kinds, sizes, [bool(x) for x in shared] if shared is not None else [False] * len(found))
+            out.append("\n".join(t for (t, _), k in zip(found, keep, strict=True) if k))
         cols = [batch.column("page_id"), batch.column("url"), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())]
         yield pa.RecordBatch.from_arrays(cols, names=["page_id", "url", "text", "n_chars"])

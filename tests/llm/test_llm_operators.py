@@ -1,11 +1,10 @@
 from collections import defaultdict
 
 import numpy as np
-import pytest
 from oracle import compare
 from pyspark.sql import functions as F
 
-from sealedspark.llm import decontaminate, langid, pages, quality, queries, secrets, sharding
+from sealedspark.llm import decontaminate, langid, quality, queries, secrets, sharding
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, n string, row string"
@@ -89,25 +88,6 @@ def test_shards(spark):
     assert sharding.shard(df.limit(0)).count() == 0 and {r.bucket for r in sharding.shard(df).collect()} == {""}
 
 
-@pytest.mark.parametrize("a,b,n", [("abcbdab", "bdcaba", 4), ("", "a", 0), ("aaa", "aa", 2), ("xyz", "xyz", 3)])
-def test_lcs(a, b, n):
-    mask = pages.common(list(a), list(b))
-    kept, it = [x for x, m in zip(a, mask) if m], iter(b)
-    assert len(kept) == n and all(x in it for x in kept)
-
-
-def test_pages(spark):
-    art = "<html><body><nav>Menu</nav><header>Top</header><article><h1>A &amp; B</h1><p>One\n two<b>!</b><p>Three<div class='comments'>no</div></article><footer>f</footer>"
-    plain = "<body><div>Shared line</div><div>Own text %d</div><div>More %d</div><div>Shared end</div>"
-    rows = [(1, "http://h/a", art), (2, "http://k/x/1", plain % (1, 1)), (3, "http://k/x/2", plain % (2, 2)), (4, None, None), (None, "http://[bad", "")]
-    df = spark.createDataFrame([(*r, "c") for r in rows], "page_id long, url string, html string, text string")
-    got = {r.page_id: r.text for r in pages.extract(df).collect()}
-    assert (got[1], got[4], got[None]) == ("A & B\nOne two!\nThree", "", "")
-    assert (got[2], got[3]) == ("Own text 1\nMore 1", "Own text 2\nMore 2")
-
-    assert pages.extract(df.limit(0)).count() == 0
-
-
 def test_language_sample_is_that_of_a_full_sort(spark):
     words = {"aa": "lorem ipsum dolor", "bb": "zwyx qwrt vbnm"}
     docs = spark.createDataFrame([(i, f"{words[x]} {i}", x) for i in range(3000) for x in ["ab"[i % 2] * 2]], "doc_id long, text string, lang string")
@@ -124,11 +104,3 @@ def test_contamination_by_part_of_an_item(spark):
     df = spark.createDataFrame([(1, part(40, 60)), (2, part(137, 13)), (3, part(20, 12)), (4, part(0, 12) + " " + part(30, 12))], "row long, text string")
     got = decontaminate.contaminated(df, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
     assert sorted((r.row, r.n_windows, r.exact) for r in got) == [(1, 53, True), (2, 6, True)]
-
-
-def test_pages_of_mostly_boilerplate(spark):
-    page = lambda own: "<body>" + "".join(f"<div>{x}</div>" for x in [*(f"Menu {i}" for i in range(6)), *own, *(f"Foot {i}" for i in range(4))])
-    own = {i: [f"Line {j} of {i}" for j in range(6)] for i in (1, 2)}
-    rows = [(i, f"http://k/x/{i}", page(own[i])) for i in own] + [(i, f"http://c/x/{i}", page(["Same"])) for i in (3, 4)]
-    got = {r.page_id: r.text.split("\n") for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(got[i] == own[i] for i in own) and all(len(got[i]) == 11 for i in (3, 4))
