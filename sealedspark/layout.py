@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 def spread(df: DataFrame) -> DataFrame:
     """`df` over as many partitions as there are cores, if it has fewer: before costly work on rows of a small file."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df  # counting the partitions would run the stages before the exchange
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
