@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sealedspark.llm import bpe, decontaminate, minhash, quality, secrets
-from sealedspark.llm.common import cut, table
+from sealedspark.llm.common import cut, drop, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,12 +49,15 @@ STAGES = [
     ("secret scans", no_secrets),
     ("byte-level BPE", tokens),
 ]
-# The classifier, MinHash and BPE cannot be written in SQL. A brute-force test of the whole run is still to be written.
+# The classifier, MinHash and BPE cannot be written in SQL; tests/llm/test_pipeline.py holds run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's table is deleted once the next one is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir))
+        done = cut(stage(spark, docs, sf_dir))
+        drop(docs)
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)

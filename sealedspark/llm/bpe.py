@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import pyarrow as pa
 import regex
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sealedspark.layout import spread
+
 NONE = 1 << 60
 
 
@@ -31,8 +34,10 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
         raise ValueError(f"the vocabulary has no byte {piece!r}")
     size = 1 << (n - 1).bit_length()
     get = ranks.get
+    # 8 bytes a number in a long piece (about 48 bytes for each of its bytes); lists of objects are faster in short ones
+    numbers = list if n < 4096 else partial(array, "q")
     # A key is rank * size + position, so that the smallest key is the leftmost smallest rank.
-    tree = [NONE] * (2 * size)
+    tree = numbers([NONE]) * (2 * size)
     for i in range(n - 1):
         r = get(piece[i : i + 2])
         if r is not None:
@@ -40,8 +45,8 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     for k in range(size - 1, 0, -1):
         a, b = tree[2 * k], tree[2 * k + 1]
         tree[k] = a if a < b else b
-    end = list(range(1, n + 1))  # end of the live part that starts at i
-    before = list(range(-1, n))  # start of the live part before the one at i
+    end = numbers(range(1, n + 1))  # end of the live part that starts at i
+    before = numbers(range(-1, n))  # start of the live part before the one at i
     while (top := tree[1]) < NONE:
         i = top & (size - 1)
         j = end[i]
@@ -148,7 +153,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(out, names=_OUT.names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _OUT)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, _OUT)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

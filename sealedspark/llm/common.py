@@ -6,6 +6,7 @@ a lost executor costs at most the tasks it was running. Only a local master may
 
 from __future__ import annotations
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_KEPT: dict[str, SparkSession] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,21 +33,40 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet to the shared folder and read back: its lineage ends there."""
+    """`df` written as Parquet to the shared folder and read back: its lineage ends there.
+
+    Operators drop what nothing reads any more; what a returned DataFrame still reads goes with `sweep`.
+    """
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    if not _KEPT:
+        atexit.register(sweep)
+    _KEPT[path] = df.sparkSession
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._cut_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    _KEPT.pop(path, None)
+
+
+def sweep() -> None:
+    """Delete every table of `cut` that is left: once results are written, and when the driver ends."""
+    for path, spark in list(_KEPT.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # the session has ended before
+            _KEPT.pop(path, None)
+
+
 def drop(*dfs: DataFrame) -> None:
     """Delete tables made by `cut` that nothing reads any more."""
     for df in dfs:
-        spark, path = df.sparkSession, getattr(df, "_cut_path", None)
-        if path:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        if path := getattr(df, "_cut_path", None):
+            _delete(df.sparkSession, path)
 
 
 def free_shuffles(spark: SparkSession) -> None:

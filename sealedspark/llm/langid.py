@@ -12,9 +12,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sealedspark.layout import spread
 from sealedspark.llm.common import mix32
 
 _CLEAN = {c: " " for c in range(128) if not chr(c).isalpha()}
@@ -87,19 +88,31 @@ def _featurize(buckets: int):
 
 
 def fit(labelled: DataFrame, sample: int = 4000, buckets: int = 4096, reject: float = 0.01) -> dict:
-    """A model from `labelled` (doc_id, text, lang), on at most `sample` of its rows with a text and a lang.
-
-    The sample are the rows with the smallest hashes of doc_id and text: its bound is this parameter, so the
-    driver holds at most sample x buckets floats. Rows are counted first, and only those whose hash can be among
-    the smallest (about 2 x sample + 1000 of them, however large the table) are sorted. A fifth of it calibrates: the temperature of least log loss,
-    and the threshold under which a share `reject` of its rows falls. Without a usable row there are no labels.
+    """A model from `labelled` (doc_id, text, lang), on at most `sample` of its distinct rows with a text and a lang.
+
+    The bound is this parameter, so the driver holds at most sample x buckets floats. Every language has an equal
+    part of the sample (what a rare one leaves goes to the others), the most frequent sample / 8 languages if there
+    are more. Of each language those rows are taken whose hash of doc_id and text is smallest; repeated rows have one
+    hash and count once. Distinct hashes are counted first, and only rows whose hash can be among the smallest are
+    sorted. A fifth of the sample calibrates: the temperature of least log loss, and the threshold under which a
+    share `reject` of it falls. Without a usable row there are no labels.
     """
     use = labelled.where("lang IS NOT NULL").where(F.col("text").rlike(r"\p{L}"))
     use = use.select("lang", "text", F.xxhash64(F.col("doc_id").cast("string"), "text").alias("h"))
-    share = (2 * sample + 1000) / max(use.count(), 1)
-    near = use if share >= 1 else use.where(F.col("h") < F.lit(int((share - 0.5) * 2**64)))
-    use = near.orderBy("h", "lang").limit(sample).select("lang", "text")
-    rows = use.mapInArrow(_featurize(buckets), "lang string, x binary").collect()
+    counts = use.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n")).orderBy(F.desc("n"), "lang").limit(max(1, sample // 8)).collect()
+    parts, left = [], sample
+    for i, r in enumerate(sorted(counts, key=lambda r: (r.n, r.lang))):
+        quota = left // (len(counts) - i)
+        left -= min(quota, r.n)
+        # a tenth above the estimate of the count, and some more, so that enough rows pass
+        share = (1.2 * quota + 100) / max(r.n, 1)
+        parts.append((r.lang, quota, 2**63 - 1 if share >= 1 else int((share - 0.5) * 2**64)))
+    parts = labelled.sparkSession.createDataFrame(parts, "lang string, quota long, most long")
+    near = use.join(F.broadcast(parts), "lang").where("h <= most")
+    keys = near.select("lang", "h", "quota").distinct().withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    keys = keys.where("nth <= quota").select("lang", "h")
+    use = near.select("lang", "h", "text").join(F.broadcast(keys), ["lang", "h"]).groupBy("h", "lang").agg(F.min("text").alias("text"))
+    rows = use.orderBy("h", "lang").select("lang", "text").mapInArrow(_featurize(buckets), "lang string, x binary").collect()
     labels = sorted({r.lang for r in rows})
     model = {"labels": labels, "buckets": buckets, "temperature": 1.0, "threshold": 0.0}
     if not rows:
@@ -140,7 +153,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
             out = [batch.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(no, pa.bool_())]
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "lang_pred", "score", "rejected"])
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    src = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return src.mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 

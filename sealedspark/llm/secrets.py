@@ -15,7 +15,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sealedspark.llm.common import cut
+from sealedspark.llm.common import cut, maybe_broadcast
+
+# At most so many row numbers are broadcast (8 bytes each); more are joined by shuffle.
+MAX_ROWS = 1_000_000
 
 # Kinds in their order, with pattern and the group whose length counts (fixed values). Runs that end before
 # the least length are the same with {n,} as with + and a length test; an assignment's are not, hence `least`.
@@ -106,9 +109,10 @@ def redact(docs: DataFrame, scope: int = 256, mark: str = "[secret]") -> DataFra
     Overlapping spans become one mark. A text without spans, a null one included, stays as it is.
     """
     columns = docs.columns
-    keyed = cut(docs.withColumn("__row", F.monotonically_increasing_id()))
+    whole = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__doc")
+    keyed = cut(docs.select(whole, "text", F.monotonically_increasing_id().alias("__row")))
     text = keyed.select(F.col("__row").alias("doc_id"), "text")
-    hit = find_spans(text, scope).where("size(spans) > 0").select(F.col("doc_id").alias("__row"), "spans")
+    hit = cut(find_spans(text, scope).where("size(spans) > 0").select(F.col("doc_id").alias("__row"), "spans"))
     # pieces between the marks, in order: explode the spans, merge overlaps by a running end
     s = hit.select("__row", F.explode("spans").alias("s")).select("__row", "s.start", "s.end").repartition("__row")
     by = Window.partitionBy("__row").orderBy("start", "end")
@@ -118,7 +122,10 @@ def redact(docs: DataFrame, scope: int = 256, mark: str = "[secret]") -> DataFra
         "__row", F.struct("start", F.col("end"), F.greatest("past", "start").alias("from_"), "past", "mark").alias("p")
     )
     plan = s.groupBy("__row").agg(F.array_sort(F.collect_list("p")).alias("plan"))
-    joined = keyed.join(plan, "__row", "left")
+    # up to a checked number of row numbers is broadcast, so that only texts with secrets are shuffled
+    rows = maybe_broadcast(hit.select("__row"), MAX_ROWS)
+    clean = keyed.join(rows, "__row", "left_anti").select("__doc.*")
+    joined = keyed.join(rows, "__row", "left_semi").join(plan, "__row")
     pieces = F.transform(
         "plan",
         lambda p: F.when(
@@ -126,8 +133,9 @@ def redact(docs: DataFrame, scope: int = 256, mark: str = "[secret]") -> DataFra
         ).otherwise(F.lit("")),
     )
     tail = F.substring(F.col("text"), (F.array_max(F.transform("plan", lambda p: p["end"])) + 1).cast("int"), F.lit(2**31 - 1))
-    new = F.when(F.col("plan").isNull(), F.col("text")).otherwise(F.concat(F.concat_ws("", pieces), tail))
-    return joined.withColumn("text", new).select(*columns)
+    new = F.concat(F.concat_ws("", pieces), tail)
+    masked = joined.select("__doc", new.alias("__new")).select(*(F.col("__new").alias(c) if c == "text" else F.col(f"__doc.`{c}`") for c in columns))
+    return clean.union(masked)
 
 
 def oracle() -> str:

@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealedspark.llm.common import cut, drop
+from sealedspark.llm.common import cut, drop, maybe_broadcast
+
+# At most so many hashes are broadcast (8 bytes each); more are joined by shuffle.
+MAX_HASHES = 1_000_000
 
 
 def _bits(column: str, width: str | int, depth: str | int):
@@ -23,8 +26,9 @@ def shard(docs: DataFrame, limit: int = 128 << 20, grain: int = 12) -> DataFrame
     """A shard for every row of `docs` (doc_id, text; other columns are ignored), of at most `limit` bytes each.
 
     Returns doc_id, n_bytes (UTF-8 bytes of text, 0 for null), depth, bucket (leading bits of the hash as 0s
-    and 1s, empty at depth 0), shard_bytes, oversized. Only a shard of one row larger than the limit is
-    oversized. The hash covers doc_id and text; repeated rows differ by a row number taken once and written.
+    and 1s, empty at depth 0), shard_bytes, oversized. Only a shard of one row larger than the limit, or one of
+    depth 64, whose rows have one and the same hash, is oversized. The hash covers doc_id and text; repeated rows
+    differ by a row number taken once and written. Null and empty texts have 0 bytes.
     """
     bytes_ = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint")
     ident = F.col("doc_id").cast("long")
@@ -32,14 +36,13 @@ def shard(docs: DataFrame, limit: int = 128 << 20, grain: int = 12) -> DataFrame
     rows = docs.select(ident.alias("doc_id"), bytes_.alias("n_bytes"), h.alias("h"), F.monotonically_increasing_id().alias("row"))
     rows = cut(rows)
     # rows with one hash cannot be told apart by more of its bits: only those take their row number in
-    same = rows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select(F.col("h").alias("h2"))
+    same = cut(rows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select(F.col("h").alias("h2")))
     mixed = F.when(F.col("h2").isNotNull(), F.xxhash64("h", "row")).otherwise(F.col("h"))
-    keyed = cut(rows.join(same, F.col("h") == F.col("h2"), "left").select("doc_id", "n_bytes", mixed.alias("h")))
-    drop(rows)
+    keyed = cut(rows.join(maybe_broadcast(same, MAX_HASHES), F.col("h") == F.col("h2"), "left").select("doc_id", "n_bytes", mixed.alias("h")))
+    drop(rows, same)
     todo, base, found = keyed, 0, []
     while base < 64:
         top = min(64, base + grain)
-        step = top - base
         hist = cut(todo.groupBy(_bits("h", 64, top).alias("p")).agg(F.sum("n_bytes").alias("b"), F.count("*").alias("k")))
         depths = []
         for d in range(base, top + 1):
@@ -47,7 +50,7 @@ def shard(docs: DataFrame, limit: int = 128 << 20, grain: int = 12) -> DataFrame
         fits = depths[0]
         for x in depths[1:]:
             fits = fits.unionByName(x)
-        fits = fits.withColumn("ok", (F.col("b") <= limit) | (F.col("k") <= 1))
+        fits = fits.withColumn("ok", (F.col("b") <= limit) | (F.col("k") <= 1) | (F.col("d") == 64))
         # each histogram cell takes the shallowest depth at which its bucket fits
         cells = hist.select("p", F.explode(F.sequence(F.lit(base), F.lit(top))).alias("d"))
         first = cells.withColumn("q", _bits("p", top, "d")).join(fits.where("ok"), ["d", "q"])
@@ -56,9 +59,11 @@ def shard(docs: DataFrame, limit: int = 128 << 20, grain: int = 12) -> DataFrame
         done = at.where("x IS NOT NULL").select("doc_id", "n_bytes", "x.d", "x.q", F.col("x.b").alias("b"))
         found.append(cut(done))
         rest = cut(at.where("x IS NULL").select("doc_id", "n_bytes", "h"))
+        drop(todo, hist, first)
         todo, base = rest, top
-        if rest.isEmpty() or step == 0:
+        if rest.isEmpty():
             break
+    drop(todo)
     out = found[0]
     for x in found[1:]:
         out = out.union(x)

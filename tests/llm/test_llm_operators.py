@@ -4,7 +4,7 @@ import numpy as np
 from oracle import compare
 from pyspark.sql import functions as F
 
-from sealedspark.llm import decontaminate, langid, quality, queries, secrets, sharding
+from sealedspark.llm import langid, quality, queries, secrets, sharding
 
 SF = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string, lang string, n string, row string"
@@ -41,15 +41,6 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.predict(odd, none).collect()} == {"und"}
 
 
-def test_quality_paths_agree(spark):
-    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
-    docs = docs.unionByName(docs.limit(1)).unionByName(spark.createDataFrame([(None, None, None, None, 0), (7777, "", "en", "s", 0)], docs.schema))
-    a, b = (sorted((str(r.doc_id), r.perplexity and round(r.perplexity, 9), r.rejected) for r in quality.score(docs, labels, max_broadcast=m).select("__doc.doc_id", "perplexity", "rejected").collect()) for m in (2_000_000, 0))
-    assert a == b and len(a) == docs.count() and not any(r[2] for r in a if r[1] is None)
-    empty = quality.score(docs.limit(0), labels)
-    assert empty.count() == 0 and quality.score(docs, labels.limit(0)).where("rejected").count() == 0
-
-
 def test_quality_probabilities_sum_to_one(spark):
     model = quality.train(spark.createDataFrame([("abracadabra abba",), ("bad cab",), (None,)], "text string"))
     keys = [int(quality.grams("abr" + c)[-1].view(np.int64)) for c in "abcdr "]
@@ -57,22 +48,6 @@ def test_quality_probabilities_sum_to_one(spark):
     assert 0.9 * (1 - model["floor"]) - 0.2 < sum(np.exp(p)) <= 1.0 + 1e-9
 
 
-def test_contamination(spark):
-    item = "Yesterday morning Anna bought 12 apples for 30 dollars and then Anna gave 5 of the apples to her old friend in the town near the lake"
-    same = item.replace("Anna", "Peter").replace("12", "40")
-    mixed = item.replace("then Anna", "then Peter")
-    rows = [(1, "Before. " + item + " after"), (2, same), (3, mixed), (4, "nothing of the kind is in this text at all today"), (5, None), (6, "")]
-    df = spark.createDataFrame(rows, "row long, text string")
-    bench = spark.createDataFrame([(9, item), (9, item), (10, None), (11, "few words")], "item_id long, text string")
-    for most in (4_000_000, 0):
-        got = {(r.row, r.item_id): r.exact for r in decontaminate.contaminated(df, bench, max_broadcast=most).collect()}
-        assert got == {(1, 9): True, (2, 9): False}
-    docs = df.withColumnRenamed("row", "doc_id").withColumn("row", F.lit("clash"))
-    assert sorted(r.doc_id for r in decontaminate.clean(docs, bench).collect()) == [3, 4, 5, 6]
-    assert decontaminate.clean(docs, bench).columns == docs.columns
-    assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 == decontaminate.contaminated(df.limit(0), bench).count()
-
-
 def test_shards(spark):
     rows = [(i % 50, "x" * (i % 40)) for i in range(600)] + [(7, "same")] * 200 + [(1000, "y" * 5000), (None, None)]
     df = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, h string")
@@ -88,19 +63,75 @@ def test_shards(spark):
     assert sharding.shard(df.limit(0)).count() == 0 and {r.bucket for r in sharding.shard(df).collect()} == {""}
 
 
-def test_language_sample_is_that_of_a_full_sort(spark):
-    words = {"aa": "lorem ipsum dolor", "bb": "zwyx qwrt vbnm"}
-    docs = spark.createDataFrame([(i, f"{words[x]} {i}", x) for i in range(3000) for x in ["ab"[i % 2] * 2]], "doc_id long, text string, lang string")
-    model = langid.fit(docs, sample=40)
-    assert model["labels"] == ["aa", "bb"]
-    joined = langid.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id")
-    assert joined.where("lang_pred = lang").count() == 3000
-    assert langid.fit(docs.limit(0))["labels"] == []
-
-
-def test_contamination_by_part_of_an_item(spark):
-    item = " ".join(f"word{i}" for i in range(150))
-    part = lambda a, n: "before that " + " ".join(item.split()[a : a + n]) + " and after"
-    df = spark.createDataFrame([(1, part(40, 60)), (2, part(137, 13)), (3, part(20, 12)), (4, part(0, 12) + " " + part(30, 12))], "row long, text string")
-    got = decontaminate.contaminated(df, spark.createDataFrame([(9, item)], "item_id long, text string")).collect()
-    assert sorted((r.row, r.n_windows, r.exact) for r in got) == [(1, 53, True), (2, 6, True)]
+def test_language_sample_of_repeated_and_rare_rows(spark):
+    words = {"aa": "lorem ipsum dolor", "bb": "zwyx qwrt vbnm", "cc": "plok juhy mnbv"}
+    rows = [(i, f"{words[x]} {i}", x) for i in range(400) for x in ["ab"[i % 2] * 2]] + [(5000 + i, f"{words['cc']} {i}", "cc") for i in range(6)]
+    rows += [(9000 + i % 3, "zwyx qwrt vbnm again", "bb") for i in range(3000)]  # three rows, a thousand times each
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("h", F.lit("clash")).withColumn("quota", F.lit(0))
+    model = langid.fit(docs, sample=60)
+    assert model["labels"] == ["aa", "bb", "cc"]
+    joined = langid.predict(docs, model).join(docs.select("doc_id", "lang").distinct(), "doc_id")
+    assert joined.where("lang_pred = lang").count() == len(rows)
+    only = langid.fit(docs.where("doc_id >= 9000"), sample=40)
+    assert only["labels"] == ["bb"] and langid.fit(docs.limit(0))["labels"] == []
+    assert langid.predict(docs.limit(0), model).count() == 0
+
+
+def test_language_gradients(spark):
+    """One SGD step equals a step along numerically taken gradients of the log loss."""
+    rng = np.random.default_rng(2)
+    x = rng.random((5, 6)).astype(np.float32)
+    x /= x.sum(1, keepdims=True)
+    y = np.array([0, 1, 2, 1, 0])
+    before = langid.train(x, y, 3, dim=4, epochs=1, rate=0.0)
+    after = langid.train(x, y, 3, dim=4, epochs=1, rate=0.01)
+    scale = np.sqrt(6)
+    e, w, b = (a.astype(float) for a in before)
+    own = x.astype(float) * scale
+
+    def loss(e, w, b):
+        z = own @ (e / scale) @ w + b
+        z -= z.max(1, keepdims=True)
+        return -(z[np.arange(5), y] - np.log(np.exp(z).sum(1))).mean()
+
+    for k, (now, by) in enumerate(((e, scale), (w, 1.0), (b, 1.0))):
+        grad = np.zeros_like(now)
+        for at in np.ndindex(now.shape):
+            up, down = [q.copy() for q in (e, w, b)], [q.copy() for q in (e, w, b)]
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            grad[at] = (loss(*up) - loss(*down)) / 2e-5
+        assert np.allclose(after[k] - before[k], -0.01 * grad * by * by, atol=2e-5)
+
+
+def test_only_oversized_shards_split(spark):
+    """Brute force: a shard is the shallowest prefix of a row's hash whose rows fit together."""
+    rows = [(i, "x" * (i % 50)) for i in range(900)] + [(2000, "y" * 9000), (2001, None), (2002, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {r.doc_id: r.h % 2**64 for r in df.select("doc_id", F.xxhash64("doc_id", F.xxhash64("text")).alias("h")).collect()}
+    size = {i: len(t or "") for i, t in rows}
+    bits = {i: f"{h:064b}" for i, h in hashes.items()}
+    for limit in (300, 2500):
+        total = defaultdict(lambda: [0, 0])
+        for i, b in bits.items():
+            for d in range(65):
+                total[b[:d]][0] += size[i]
+                total[b[:d]][1] += 1
+        want = {i: next(b[:d] for d in range(65) if total[b[:d]][0] <= limit or total[b[:d]][1] == 1) for i, b in bits.items()}
+        got = {r.doc_id: r for r in sharding.shard(df, limit=limit, grain=4).collect()}
+        assert {i: r.bucket for i, r in got.items()} == want and got[2000].oversized and sum(r.oversized for r in got.values()) == 1
+
+
+def test_shards_of_many_equal_rows_and_long_texts(spark):
+    df = spark.createDataFrame([(1, "z" * 3_000_000)] + [(7, "same text")] * 3000 + [(None, None)] * 5, "doc_id long, text string")
+    got = sharding.shard(df, limit=900, grain=5).collect()
+    assert len(got) == 3006 and sum(r.oversized for r in got) == 1 and all(r.shard_bytes <= 900 for r in got if not r.oversized)
+
+
+def test_redaction_of_clashing_columns_and_long_texts(spark):
+    long = "w " * 300_000 + "password=abcdefgh12 end"
+    df = spark.createDataFrame([(1, long, "p", 1, "r"), (2, "none", "p", 2, "r"), (2, "none", "p", 2, "r"), (None, None, None, None, None)], "doc_id long, text string, plan string, spans int, __row string")
+    got = secrets.redact(df)
+    assert got.dtypes == df.dtypes
+    rows = sorted(got.collect(), key=str)
+    assert len(rows) == 4 and [r.text for r in rows if r.doc_id == 1] == ["w " * 300_000 + "[secret] end"] and {r.plan for r in rows} == {"p", None}
