@@ -92,8 +92,8 @@ def _found(words: int):
                 x, of, a, b = spans(texts[i:j], words)
                 for lo in range(0, len(x), 100_000):
                     s = slice(lo, lo + 100_000)
-                    cols = [pa.array(x[s].view(np.int64)), pa.array(ids[i:j][of[s]]), pa.array(keys[i:j][of[s]]), pa.array(a[s], pa.int64()), pa.array(b[s], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(cols, names=["hash", "id", "key", "pos", "end"])
+                    cols = [pa.array(c) for c in (x[s].view(np.int64), ids[i:j][of[s]], keys[i:j][of[s]], a[s] << 32 | b[s])]
+                    yield pa.RecordBatch.from_arrays(cols, names=["hash", "id", "key", "span"])
 
     return run
 
@@ -126,7 +126,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_sentences", "n_removed", "text"])
 
 
-def dedup(docs: DataFrame, words: int = 40) -> DataFrame:
+def dedup(docs: DataFrame, words: int = 32) -> DataFrame:
     """`docs` (doc_id, text; other columns are ignored) without repeated spans: doc_id, n_sentences, n_removed, text.
 
     Words are separated by ASCII white space and compare without regard to the case of A-Z; white space between
@@ -142,10 +142,13 @@ def dedup(docs: DataFrame, words: int = 40) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), ident.alias("order"), F.xxhash64("text").alias("key"), "text")
     # repeated rows are one document
     src = rows.where("text IS NOT NULL").select(F.col("order").alias("id"), "key", "text")
-    all_ = cut(src.mapInArrow(_found(words), "hash long, id long, key long, pos long, end long"))
+    all_ = cut(src.mapInArrow(_found(words), "hash long, id long, key long, span long"))  # first word and word after the last
     many = cut(all_.groupBy("hash").agg(F.count("*").alias("n"), F.min("id").alias("id0")).where("n > 1").select("hash", "id0"))
-    held = cut(all_.join(maybe_broadcast(many, MAX_KEYS), "hash"))
+    free_shuffles(docs.sparkSession)
+    held = all_.join(many, "hash").withColumn("pos", F.shiftright("span", 32)).withColumn("end", F.col("span").bitwiseAND(F.lit(2**32 - 1)))
+    held = cut(held.select("hash", "id", "id0", "key", "pos", "end"))
     drop(all_, many)
+    free_shuffles(docs.sparkSession)
     later = held.where("id > id0").select("id", "key", F.col("pos").alias("lo"), "end")
     # among the rows of the smallest doc_id the first by text and position stays
     own = held.where("id = id0").select("hash", "id", "key", "pos", "end")

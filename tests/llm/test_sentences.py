@@ -71,7 +71,7 @@ def test_passages_wherever_their_sentences_end(spark):
     one, two, inner, bare, lines = some(60) + ".", some(30) + ". " + some(30) + ".", some(55), some(70), "\n".join(some(6) for _ in range(12))
     texts = [f"{some(9)}. {one} {two} {some(20)} {inner} {some(20)}. {bare} {some(9)} {lines}"]
     texts += [f"{some(8)}. {x} {some(8)}." for x in (one, two)] + [f"{some(30)} {inner} {some(30)}.", f"{some(5)} {bare} {some(6)}", f"{some(4)}. {lines.replace(chr(10), ' ')} {some(9)}"]
-    short = f"{some(20)}. {some(15)}."
+    short = f"{some(15)}. {some(12)}."
     texts += [f"{some(30)}. {short} {some(30)}.", f"{some(30)}. {short} {some(30)}.", "la " * 400, some(100_000), "Des. Des. Des. Des."] + ["Des. Des. Des. Des."]
     df = spark.createDataFrame([(None, texts[0]), *enumerate(texts)], "doc_id long, text string")
     got = {r.doc_id: r for r in sentences.dedup(df).collect()}
