@@ -32,7 +32,7 @@ def corpus():
     text = lambda n: " ".join(rnd.choices(words, k=n))
     rows = [(i, text(rnd.randint(30, 70)), "de") for i in range(60)]
     rows += [(100 + i, " ".join(w if j else "neu" for j, w in enumerate(rows[i][1].split())), "de") for i in range(5)]  # near copies
-    rows += [(200, rows[7][1], "de"), (201, text(20) + " " + ITEM.replace("14", "31") + " " + text(20), "de"), (202, text(30) + " password = hunter2hunter2 " + text(9), "de")]
+    rows += [(200, rows[7][1], "de"), (201, text(20) + " " + ITEM.replace("14", "31") + " " + text(20), "de"), (202, text(300) + " password = hunter2hunter2 " + text(90), "de")]
     rows += [(203, "zqxj wvkp " * 20, "de"), (204, None, "de"), (205, "", None), (None, text(25), None), (None, None, None), (9, rows[9][1], "de"), (206, text(20_000), "de")]
     return [(i, t, lang, "s", len(t or ""), "clash", 1) for i, t, lang in rows]
 
@@ -52,8 +52,8 @@ def by_brute_force(rows, trusted, held):
     comp = brute([(i, t) for i, t, *_ in {(r[0], r[1]) for r in rows if r[0] is not None}], 5, 80)
     rows = [r for r in rows if r[0] is None] + list({r[0]: r for r in rows if r[0] is not None and comp[r[0]][1] == r[0]}.values())
     words = lambda t: [re.sub(r"\d+", "#", w) for w in (t or "").split()]
-    inside = lambda t: any(words(t)[k : k + 20] == words(ITEM)[:20] for k in range(len(words(t))))
-    rows = [r for r in rows if not inside(r[1])]
+    item = words(ITEM)
+    rows = [r for r in rows if not any(x[k : k + len(item)] == item for x in [words(r[1])] for k in range(len(x)))]
     enc, out = tokens(), []
     for i, t, *_ in rows:
         t = re.sub(r"password = [A-Za-z0-9]{8,}", "[secret]", t) if t else ""
