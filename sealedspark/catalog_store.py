@@ -63,7 +63,7 @@ def grown_manifest(spark, sf_dir):
 
 
 def stale_docs(spark, sf_dir):
-    """Documents that a manifest of the sources web and news no longer names."""
+    """Documents that a manifest without every third id no longer names."""
     d = read(spark, sf_dir, "documents").select("doc_id", F.lit(1).alias("version"), "source")
     return integrity.stale(d, d.where("doc_id % 3 <> 1")).select("doc_id", "source")
 
@@ -96,7 +96,7 @@ QUERIES = {f.__name__: f for f in (
 ORACLES = {
     "mac_tags": f"SELECT doc_id, sha256({_PAD(0x5C)} || unhex(sha256({_PAD(0x36)} || encode({_MSG})))) AS mac FROM documents",
     "tamper_report": _TAMPERED,
-    "incident_log": f"SELECT reason, " + "CASE reason " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in integrity.NOTES.items()) + f" END AS note, count(*) AS n, count(*) AS dated FROM ({_TAMPERED}) GROUP BY 1, 2",
+    "incident_log": "SELECT reason, " + "CASE reason " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in integrity.NOTES.items()) + f" END AS note, count(*) AS n, count(*) AS dated FROM ({_TAMPERED}) GROUP BY 1, 2",
     "verified_ids": f"SELECT doc_id FROM documents WHERE {_REASON} IS NULL OR ({_REASON}) = 'version_rollback'",
     "missing_docs": "SELECT doc_id FROM documents WHERE doc_id % 23 = 5",
     "injected_docs": _PUT_IN,
