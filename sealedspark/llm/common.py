@@ -146,22 +146,29 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
     lens = np.fromiter(map(len, raw), np.int64, len(raw))
     data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-    space = _SPACE[data]
-    word = ~space
+    del raw
+    word = ~_SPACE[data]
     first = word.copy()
-    first[1:] &= space[:-1]
+    first[1:] &= ~word[:-1]
     starts = np.flatnonzero(first)
-    begin = np.zeros(len(raw) + 1, np.int64)
+    stops = np.flatnonzero(word & ~np.append(word[1:], False)) + 1
+    del word, first
+    begin = np.zeros(len(lens) + 1, np.int64)
     begin[1:] = np.cumsum(lens + 1)
     bounds = np.searchsorted(starts, begin)
+    out = np.zeros(len(starts), np.uint64)
     if not len(starts):
-        return np.zeros(0, np.uint64), bounds
-    power, inverse = _powers(len(data))
-    value = _BYTE[_LOWER[data]]
-    value[space] = 0
-    value *= power
-    h = np.add.reduceat(value, starts) * inverse[starts]
-    return mix64(h), bounds
+        return out, bounds
+    power, _ = _powers(int((stops - starts).max()))
+    # words of about 256 KB at a time, so that a long text takes little more memory than itself
+    cuts = np.unique(np.searchsorted(starts, np.arange(0, len(data), 1 << 18)))
+    for i, j in zip(cuts, [*cuts[1:], len(starts)], strict=True):
+        size = stops[i:j] - starts[i:j]
+        ends = np.cumsum(size)
+        inside = np.arange(ends[-1]) - np.repeat(ends - size, size)
+        value = _BYTE[_LOWER[data[np.repeat(starts[i:j], size) + inside]]] * power[inside]
+        out[i:j] = np.add.reduceat(value, ends - size)
+    return mix64(out), bounds
 
 
 def shingle_hashes(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:
