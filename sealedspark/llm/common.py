@@ -162,6 +162,7 @@ def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     power, _ = _powers(int((stops - starts).max()))
     # words of about 256 KB at a time, so that a long text takes little more memory than itself
     cuts = np.unique(np.searchsorted(starts, np.arange(0, len(data), 1 << 18)))
+    cuts = cuts[cuts < len(starts)]  # white space may follow the last word
     for i, j in zip(cuts, [*cuts[1:], len(starts)], strict=True):
         size = stops[i:j] - starts[i:j]
         ends = np.cumsum(size)

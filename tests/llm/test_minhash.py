@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from sealedspark.llm import minhash
+from sealedspark.llm import common, minhash
 from sealedspark.llm.graph import components
 
 
@@ -77,6 +77,18 @@ def test_edges(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_word_hashes_of_long_texts_and_white_space():
+    """A word has one hash wherever it stands, in texts of many parts too."""
+    rnd = random.Random(3)
+    words = [f"w{i}" for i in range(50)] + ["x" * 300_000, "\u6f22"]
+    texts = [None, "", " " * 700_000, "w1 " * 200_000, "w2" + " " * 900_000, " " * 600_000 + "W3", " ".join(rnd.choices(words, k=40)), "w4\n"]
+    alone = {w: int(common.word_hashes([w])[0][0]) for w in words}
+    h, bounds = common.word_hashes(texts)
+    assert [h[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)] == [[alone[w.lower()] for w in (t or "").split()] for t in texts]
+    assert len(set(alone.values())) == len(words)
+    assert [len(x) for x in common.word_hashes([])] == [0, 1] and len(common.word_hashes([" " * 600_000])[0]) == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 70), (70, 100), (200, 201), (5, 5)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
