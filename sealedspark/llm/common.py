@@ -7,11 +7,13 @@ a lost executor costs at most the tasks it was running. Only a local master may
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +71,29 @@ def drop(*dfs: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
+def _trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
+def trimmed(run):
+    """`run`, a function of Arrow batches, that gives freed memory back to the system when a task ends.
+
+    Python workers are used again for many tasks, and would keep the most that any of them took.
+    """
+
+    def go(batches):
+        try:
+            yield from run(batches)
+        finally:
+            _trim()
+
+    return go
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark remove shuffle files of finished stages whose DataFrames are gone (it acts on JVM garbage)."""
     import gc

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sealedspark.llm.common import cut, free_shuffles, maybe_broadcast, small_enough
+from sealedspark.llm.common import cut, free_shuffles, maybe_broadcast, small_enough, trimmed
 
 ORDER = 4
 # At most so many trusted ids are broadcast (8 bytes each); more are joined by shuffle.
@@ -63,7 +63,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count(docs: DataFrame) -> DataFrame:
-    return docs.select("text").mapInArrow(_counted, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(trimmed(_counted), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def _discounts(t: DataFrame) -> list[float]:
@@ -154,7 +154,7 @@ def scorer(docs: DataFrame, model: dict, max_broadcast: int = 2_000_000):
     def add(rows: DataFrame) -> DataFrame:
         if small_enough(scored, max_broadcast):
             kind = T.StructType([rows.schema["__doc"], T.StructField("s", T.DoubleType()), T.StructField("n", T.LongType())])
-            sums = rows.select("__doc").mapInArrow(_sum_with(shared), kind)
+            sums = rows.select("__doc").mapInArrow(trimmed(_sum_with(shared)), kind)
         else:
             fixed = cut(rows.select(F.monotonically_increasing_id().alias("row"), "__doc"))
             each = fixed.select("row", "__doc.text").mapInArrow(_spread, "row long, key long, c long").join(scored, "key")
