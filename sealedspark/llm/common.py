@@ -239,3 +239,13 @@ def shingle_set(text: str | None, k: int) -> set:
     if len(words) < k:
         return {tuple(words)} if words else set()
     return set(zip(*(words[i:] for i in range(k)), strict=False))
+
+
+def crc32_sql(strings: str) -> str:
+    """DuckDB table expressions that end in crcs(s, crc): the unsigned crc32 of the UTF-8 of `strings`, a query of one column."""
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END"
+    byte = "('0x' || substr(h, (2 * i + 1)::INT, 2))::UBIGINT"
+    return f"""crc_table AS (SELECT list(list_reduce(range(8)::UBIGINT[], lambda c, k: {step}, b::UBIGINT) ORDER BY b) AS t FROM range(256) r(b)),
+crc_hex AS (SELECT s, hex(encode(s)) AS h FROM ({strings}) q(s) WHERE s IS NOT NULL),
+crcs AS (SELECT s, xor(list_reduce(list_transform(range(length(h) // 2), lambda i: {byte}),
+  lambda c, x: xor(t[(xor(c, x) & 255::UBIGINT)::INT + 1], c >> 8), 4294967295::UBIGINT), 4294967295::UBIGINT) AS crc FROM crc_hex, crc_table)"""

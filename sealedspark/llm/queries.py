@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealedspark.llm import bpe, decontaminate, langid, minhash, neighbours, pages, quality, secrets, sentences, sharding
+from sealedspark.llm import bpe, decontaminate, langid, minhash, neighbours, pages, quality, rules, secrets, sentences, sharding, spelling
 from sealedspark.llm.common import table
 
 
@@ -58,7 +58,16 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN))
 
 
-_ALL = [op1_minhash_near_dedup, op2_quality, op3_decontamination, op4_secret_scan, op5_html_extraction, op6_sharding, op7_nn_descent, op8_substring_dedup, op9_language_id, op10_byte_bpe]
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.count_words(table(spark, sf_dir, "documents")))
+
+
+_ALL = [op1_minhash_near_dedup, op2_quality, op3_decontamination, op4_secret_scan, op5_html_extraction, op6_sharding, op7_nn_descent, op8_substring_dedup, op9_language_id, op10_byte_bpe,
+        op11_quality_rules, op12_spelling_variants]
 
 
 def queries() -> dict:
@@ -66,4 +75,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_secret_scan": secrets.oracle()}
+    return {"op4_secret_scan": secrets.oracle(), "op11_quality_rules": rules.oracle(), "op12_spelling_variants": spelling.oracle()}
