@@ -16,7 +16,7 @@ from sealedspark.llm.common import crc32_sql, cut, drop, maybe_broadcast
 
 # At most so many trusted ids (8 bytes each) are broadcast; beyond that documents are joined to them by shuffle.
 MAX_TRUSTED = 1_000_000
-BUCKETS = 1 << 18
+BUCKETS = 1 << 16
 UNIT, BIN = 1_000_000, 100  # weights in millionths; histogram bins of a hundred of them
 WORD, SYMBOLS = r"[^\x20\x09-\x0D]+", r"[#*$%&|<>]"
 
@@ -103,7 +103,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
-def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, quantile: float = 0.01, slack: float = 2.0) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, quantile: float = 0.01, slack: float = 1.5) -> DataFrame:
     """One row per row of `docs` (doc_id, text; other columns are ignored): doc_id, the base counts, base_failed,
     n_features, score (mean weight in millionths; null without words), threshold and kept.
 
@@ -141,7 +141,7 @@ def _threshold(bins: DataFrame, quantile: float, slack: float) -> float | None:
     return mid - slack * (mid - low)
 
 
-def oracle(buckets: int = BUCKETS, quantile: float = 0.01, slack: float = 2.0) -> str:
+def oracle(buckets: int = BUCKETS, quantile: float = 0.01, slack: float = 1.5) -> str:
     """DuckDB SQL for the rows of `judge` over tables documents and labels."""
     word = r"[^\x20\x09-\x0D]+"
     return f"""WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{word}') AS w FROM documents),
