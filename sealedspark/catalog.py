@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sealedspark import catalog_responses, catalog_store, policy, retrieval, vectors
+from sealedspark import catalog_policies, catalog_responses, catalog_store, policy, retrieval, vectors
 from sealedspark.catalog_tables import CALLERS, HOLDS, POLICIES, read, requests, vector_docs
 
+
 def authorized_topk(spark, sf_dir):
     return retrieval.rank_quantized(vector_docs(spark, sf_dir), requests(spark, sf_dir), POLICIES, 5)
 
@@ -71,16 +72,6 @@ def hash_embedding(spark, sf_dir):
     return vectors.hash_embed(read(spark, sf_dir, "documents"), 768)
 
 
-def policy_matrix(spark, sf_dir):
-    callers = spark.createDataFrame(CALLERS, "caller_id long, attrs array<string>")
-    return policy.satisfied(callers, POLICIES)
-
-
-def policy_min_attrs(spark, sf_dir):
-    rows = [(p, policy.parse(p).min_attrs()) for p in POLICIES]
-    return spark.createDataFrame(rows, "policy string, min_attrs long")
-
-
 _QUANT = "list_transform({}, lambda x: round_even(x::DOUBLE * 100, 0)::BIGINT)"
 _TOPK = """WITH d AS (SELECT vec_id, label % 5 AS p, {qe} AS v FROM embeddings),
 ok(p, c) AS (VALUES {ok}),
@@ -110,10 +101,7 @@ QUERIES: dict = {
     "hit_rate_by_query": hit_rate_by_query,
     "quantized_vectors": quantized_vectors,
     "hash_embedding": hash_embedding,
-    "policy_matrix": policy_matrix,
-    "policy_min_attrs": policy_min_attrs,
 }
-_NAMES = ", ".join(f"({i}, '{p}')" for i, p in enumerate(POLICIES))
 ORACLES: dict = {
     "authorized_topk": _AUTH,
     "cosine_topk": _COS,
@@ -142,13 +130,10 @@ SELECT vec_id, list_sum(q)::BIGINT AS total, list_sum(list_transform(q, lambda x
 b AS (SELECT doc_id, [('0x' || substr(md5(word), 1, 8))::BIGINT, ('0x' || substr(md5(word), 9, 8))::BIGINT,
   ('0x' || substr(md5(word), 17, 8))::BIGINT, ('0x' || substr(md5(word), 25, 8))::BIGINT] AS p FROM w WHERE word <> '')
 SELECT doc_id, (((p[1] % 768 * 256 + p[2]) % 768 * 256 + p[3]) % 768 * 256 + p[4]) % 768 AS bucket, count(*) AS n FROM b GROUP BY 1, 2""",
-    "policy_matrix": f"""SELECT c::BIGINT AS caller_id, policy FROM (VALUES {_OK}) ok(p, c) JOIN (VALUES {_NAMES}) n(p, policy) USING (p)""",
-    "policy_min_attrs": "SELECT policy, n::BIGINT AS min_attrs FROM (VALUES "
-    + ", ".join(f"('{p}', {n})" for p, n in zip(POLICIES, (2, 1, 2, 1, 1), strict=True)) + ") t(policy, n)",
 }
 _ALL = _AUTH.rpartition("\nSELECT")[0]
-QUERIES |= catalog_responses.QUERIES | catalog_store.QUERIES
-ORACLES |= catalog_responses.ORACLES | catalog_store.ORACLES | {
+QUERIES |= catalog_policies.QUERIES | catalog_responses.QUERIES | catalog_store.QUERIES
+ORACLES |= catalog_policies.ORACLES | catalog_responses.ORACLES | catalog_store.ORACLES | {
     "sealed_topk": _AUTH,
     "sealed_scores": _ALL + "\nSELECT query_id, doc_id, score, round(score / 10000.0::DOUBLE, 6) AS cosine FROM s",
 }

@@ -54,9 +54,8 @@ def ask(spark: SparkSession, scheme: ipfe.Scheme, key: bytes, path: str, query:
     vec = embedding.embed_texts([query], len(scheme.msk), embedder)[0]
     one = spark.createDataFrame([(0, attrs, vec)], "query_id long, attrs array<string>, vec array<double>")
     docs = sealed_docs(spark, scheme, key, path)
-    policies = [r.policy for r in docs.select("policy").distinct().collect()]  # distinct policies, not documents
     request = one.select("query_id", "attrs", vectors.quantize(F.col("vec"), scheme.public.quant_bits).alias("q"))
-    return retrieval.rank_sealed(scheme, docs, request, policies, k)
+    return retrieval.rank_sealed(scheme, docs, request, docs.select("policy"), k)  # as many policies as documents, if it be
 
 
 def run_record(path: str, scheme: ipfe.Scheme, attrs: list[str], query: str, found: DataFrame, began: float, **more) -> dict:

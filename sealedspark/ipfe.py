@@ -11,7 +11,7 @@ import os
 import secrets
 from dataclasses import dataclass, field
 from functools import lru_cache
-from math import isqrt
+from math import isqrt, prod
 
 import pandas as pd
 from pyspark.sql import Column
@@ -114,58 +114,157 @@ def _bytes(x: int, p: int) -> bytes:
     return x.to_bytes((p.bit_length() + 7) // 8, "big")
 
 
+class FixedBase:
+    """Powers of one base from a table of its powers by digits of the exponent: a product for each digit, no squaring."""
+
+    def __init__(self, base: int, p: int, digit: int = 8):
+        self.p, self.digit, self.rows = p, digit, []
+        for _ in range(-(-p.bit_length() // digit)):
+            row = [1]
+            for _ in range((1 << digit) - 1):
+                row.append(row[-1] * base % p)
+            self.rows.append(row)
+            base = row[-1] * base % p
+
+    def power(self, e: int) -> int:
+        """base**e for 0 <= e < 2**bits of p."""
+        x, mask, p = 1, (1 << self.digit) - 1, self.p
+        for row in self.rows:
+            if e & mask:
+                x = x * row[e & mask] % p
+            e >>= self.digit
+        return x
+
+
+@lru_cache(maxsize=4)
+def _tables(public: Public) -> tuple[list[FixedBase], dict[int, int]]:
+    """Fixed-base tables of g and the public keys, and g**x for every component of a quantised unit vector."""
+    digit = 8 if len(public.mpk) <= 128 else 4  # 12 MB for 64 keys of 128 bits
+    most = 10**public.quant_bits
+    return [FixedBase(b, public.p, digit) for b in (public.g, *public.mpk)], {x: pow(public.g, x, public.p) for x in range(-most, most + 1)}
+
+
 def encrypt(public: Public, quantized: Column) -> Column:
     """Ciphertexts of quantised vectors. Random: write them before use."""
 
     @F.pandas_udf("array<binary>")
     def run(vecs: pd.Series) -> pd.Series:
         p, g, out = public.p, public.g, []
+        bases, small = _tables(public)
         for v in vecs:
             if len(v) != len(public.mpk):
                 raise ValueError("a vector has another length than the key")
             r = secrets.randbelow((p - 1) // 2)
-            ct = [pow(g, r, p)] + [pow(h, r, p) * pow(g, int(x), p) % p for h, x in zip(public.mpk, v, strict=True)]
+            ct = [bases[0].power(r)]
+            for base, x in zip(bases[1:], map(int, v), strict=True):
+                ct.append(base.power(r) * (small[x] if x in small else pow(g, x, p)) % p)
             out.append([_bytes(c, p) for c in ct])
         return pd.Series(out)
 
     return run.asNondeterministic()(quantized)
 
 
+def derive(scheme: Scheme, q: Column) -> Column:
+    """Functional keys of quantised queries, made where the key holder's executors run: the secret is in a closure."""
+    size = (scheme.public.p.bit_length() + 7) // 8
+
+    @F.pandas_udf("binary")
+    def run(queries: pd.Series) -> pd.Series:
+        return pd.Series([scheme.key(list(map(int, v))).to_bytes(size, "big") for v in queries])
+
+    return run(q)
+
+
 @lru_cache(maxsize=4)
-def _steps(g: int, p: int, span: int) -> tuple[int, dict, int]:
+def _steps(g: int, p: int, span: int) -> tuple[int, dict, int, int]:
     m = 16 * (isqrt(span) + 1)  # a larger table than the root: it is built once a worker, and used for many pairs
-    table, x = {}, 1
+    table, x = {}, pow(g, -(m // 2), p)
     for i in range(m):
-        table.setdefault(x, i)
+        table.setdefault(x, i - m // 2)
         x = x * g % p
-    return m, table, pow(g, -m, p)
+    return m, table, pow(g, -m, p), pow(g, m, p)
+
 
+def discrete_log(x: int, g: int, p: int, bound: int) -> int:
+    """e in [-bound, bound] with g**e = x modulo p: baby steps around zero, then giant steps to both sides.
 
-def discrete_log(x: int, g: int, p: int, span: int) -> int:
-    """e in [0, span] with g**e = x modulo p, by baby and giant steps."""
-    m, table, back = _steps(g, p, span)
-    for j in range(span // m + 1):
-        if (i := table.get(x)) is not None:
-            return j * m + i
-        x = x * back % p
+    Products of unit vectors lie near zero, so that nearly all are in the table at once.
+    """
+    m, table, down, up = _steps(g, p, 2 * bound)
+    low = high = x
+    for j in range(bound // m + 2):
+        for y, at in ((low, j * m), (high, -j * m)):
+            if (i := table.get(y)) is not None and abs(i + at) <= bound:
+                return i + at
+        low, high = low * down % p, high * up % p
     raise ValueError("the inner product is out of range")
 
 
+def _planes(q: list[int]) -> list[list]:
+    """For the positive and the negative components: the places whose size has a bit, from the highest bit down."""
+    out = []
+    for sign in (1, -1):
+        size = [max(0, sign * x) for x in q]
+        planes = []
+        for bit in range(max(size, default=0).bit_length() - 1, -1, -1):
+            planes.append([i + 1 for i, x in enumerate(size) if x >> bit & 1])
+        out.append(planes)
+    return out
+
+
+def _product(ct: list[int], planes: list, p: int) -> int:
+    """The product of powers with one squaring a bit for all of them together."""
+    x = 1
+    for places in planes:
+        x = x * x % p
+        if places:
+            x = x * prod([ct[i] for i in places]) % p
+    return x
+
+
+class Query:
+    """A request ready for scoring: where its components' bits are, and the exponent that takes its key out."""
+
+    def __init__(self, public: Public, sk: bytes, q: list[int]):
+        self.n, self.own = len(q), (public.p - 1) // 2 - int.from_bytes(sk, "big")
+        self.plus, self.minus = _planes([int(x) for x in q])
+
+    def quotient(self, ct: list[int], p: int) -> tuple[int, int]:
+        """Numerator and denominator of g to the inner product."""
+        if len(ct) != self.n + 1:
+            raise ValueError("ciphertext and query differ in length")
+        return _product(ct, self.plus, p) * pow(ct[0], self.own, p) % p, _product(ct, self.minus, p)
+
+
+def inner_products(public: Public, pairs: list[tuple[list[int], Query]]) -> list[int]:
+    """The exact integer inner product of each pair of ciphertext and query.
+
+    Powers of one pair share their squarings; the denominators of all pairs share one inverse.
+    """
+    p, above, run = public.p, [], []
+    acc = 1
+    for ct, query in pairs:
+        a, b = query.quotient(ct, p)
+        above.append((a, b))
+        run.append(acc)
+        acc = acc * b % p
+    inverse, out = pow(acc, -1, p), []
+    for (a, b), before in zip(reversed(above), reversed(run), strict=True):
+        out.append(discrete_log(a * inverse * before % p, public.g, p, public.bound))
+        inverse = inverse * b % p
+    return out[::-1]
+
+
+def numbers(ct: list[bytes]) -> list[int]:
+    return [int.from_bytes(c, "big") for c in ct]
+
+
 def inner_product(public: Public, ct: Column, sk: Column, q: Column) -> Column:
-    """The exact integer inner product; one search over the range shifted to be positive."""
+    """The exact integer inner product of a ciphertext column and a query column."""
 
     @F.pandas_udf("long")
     def run(cts: pd.Series, keys: pd.Series, queries: pd.Series) -> pd.Series:
-        p, g, bound = public.p, public.g, public.bound
-        shift, out = pow(g, bound, p), []
-        for c, k, v in zip(cts, keys, queries, strict=True):
-            if len(c) != len(v) + 1:
-                raise ValueError("ciphertext and query differ in length")
-            x = pow(int.from_bytes(c[0], "big"), -int.from_bytes(k, "big"), p) * shift % p
-            for e, y in zip(c[1:], v, strict=True):
-                if y:
-                    x = x * pow(int.from_bytes(e, "big"), int(y), p) % p
-            out.append(discrete_log(x, g, p, 2 * bound) - bound)
-        return pd.Series(out, dtype="int64")
+        pairs = [(numbers(c), Query(public, k, v)) for c, k, v in zip(cts, keys, queries, strict=True)]
+        return pd.Series(inner_products(public, pairs), dtype="int64")
 
     return run(ct, sk, q)

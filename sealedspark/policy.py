@@ -12,7 +12,7 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -164,7 +164,10 @@ def parse(text: str) -> Node:
     def any_() -> Node:
         return many(all_, "OR", Any_)
 
-    node = any_()
+    try:
+        node = any_()
+    except RecursionError:
+        raise PolicyError("nested too deeply") from None
     if at != len(items):
         raise PolicyError(f"text after the policy: {text!r}")
     return node
@@ -243,14 +246,3 @@ def satisfied(callers: DataFrame, policies: list[str]) -> DataFrame:
     if not cases:
         return none
     return callers.select("caller_id", F.explode(F.filter(F.array(*cases), lambda p: p.isNotNull())).alias("policy"))
-
-
-def quarantine(spark: SparkSession, policies: list[str]) -> DataFrame:
-    """Policies that do not parse, with the reason."""
-    bad = []
-    for p in policies:
-        try:
-            parse(p)
-        except PolicyError as e:
-            bad.append((p, str(e)))
-    return spark.createDataFrame(bad, "policy string, reason string")

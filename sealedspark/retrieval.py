@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 from functools import reduce
-from itertools import islice
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sealedspark.ipfe import Scheme, inner_product
+from sealedspark import policy_rows
+from sealedspark.ipfe import Public, Query, Scheme, derive, inner_products, numbers
 from sealedspark.layout import blocks, broadcast_if_few, pin
 from sealedspark.policy import satisfied
 from sealedspark.vectors import cosine, dot, quantize
-from sealedspark.wire import WIRE, check_wire
+from sealedspark.wire import check_wire
 
 MAX_REQUESTS = 10_000
+# So many granted (request, policy) rows are broadcast at most; more are joined by shuffle.
+MAX_GRANTS = 1_000_000
 
 
 def _best(scored: DataFrame, k: int) -> DataFrame:
@@ -30,28 +36,40 @@ def gate(docs: DataFrame, callers: DataFrame, policies: list[str]) -> DataFrame:
     return docs.join(broadcast_if_few(satisfied(callers, policies), MAX_REQUESTS * max(1, len(set(policies)))), "policy")
 
 
-def authorized_pairs(docs: DataFrame, requests: DataFrame, policies: list[str] | None) -> list[DataFrame]:
+def granted(block: DataFrame, policies: list[str] | DataFrame) -> DataFrame:
+    """query_id, policy: what each request of a block may read. Policies come as a list or as a table (policy)."""
+    callers = block.select(F.col("query_id").alias("caller_id"), "attrs")
+    if isinstance(policies, DataFrame):
+        ok = broadcast_if_few(pin(policy_rows.satisfied(callers, policies)), MAX_GRANTS)
+    elif MAX_REQUESTS * len(policies) <= MAX_GRANTS:  # a bound without counting
+        ok = F.broadcast(satisfied(callers, policies))
+    else:
+        ok = broadcast_if_few(satisfied(callers, policies), MAX_GRANTS)
+    return ok.withColumnRenamed("caller_id", "query_id")
+
+
+def authorized_pairs(docs: DataFrame, requests: DataFrame, policies: list[str] | DataFrame | None) -> list[DataFrame]:
     """`docs` (policy, ...) beside each request (query_id, attrs, ...) that may read them, by blocks of requests.
 
-    A block has at most about MAX_REQUESTS requests and is broadcast, so documents are never shuffled. A policy of
-    null denies; without `policies` nothing is gated.
+    A block has at most about MAX_REQUESTS requests and is broadcast, so documents are never shuffled for it. A policy
+    of null denies; without `policies` nothing is gated.
     """
     out = []
     for block in blocks(requests, "query_id", MAX_REQUESTS):
+        asked = F.broadcast(block.drop("attrs"))
         if policies is None:
-            out.append(docs.crossJoin(F.broadcast(block.drop("attrs"))))
-            continue
-        ok = satisfied(block.select(F.col("query_id").alias("caller_id"), "attrs"), policies).withColumnRenamed("caller_id", "query_id")
-        out.append(docs.join(F.broadcast(block.drop("attrs").join(ok, "query_id")), "policy"))
+            out.append(docs.crossJoin(asked))
+        else:
+            out.append(docs.join(granted(block, policies), "policy").join(asked, "query_id"))
     return out
 
 
-def _ranked(docs: DataFrame, requests: DataFrame, policies: list[str] | None, score: Column, k: int) -> DataFrame:
+def _ranked(docs: DataFrame, requests: DataFrame, policies: list[str] | DataFrame | None, score: Column, k: int) -> DataFrame:
     best = [_best(p.select("query_id", "doc_id", score.alias("score")), k) for p in authorized_pairs(docs, requests, policies)]
     return reduce(DataFrame.union, best)  # a request is in one block only
 
 
-def rank_quantized(docs: DataFrame, requests: DataFrame, policies: list[str] | None, k: int, quant_bits: int = 2) -> DataFrame:
+def rank_quantized(docs: DataFrame, requests: DataFrame, policies: list[str] | DataFrame | None, k: int, quant_bits: int = 2) -> DataFrame:
     """The k best documents of each request by exact integer dot product of quantised vectors.
 
     docs: doc_id, vec, policy. requests: query_id, vec, attrs. Without `policies` nothing is gated.
@@ -62,33 +80,62 @@ def rank_quantized(docs: DataFrame, requests: DataFrame, policies: list[str] | N
     return _ranked(d, r, policies, dot(F.col("dv"), F.col("qv"), "bigint"), k)
 
 
-def rank_plain(docs: DataFrame, requests: DataFrame, policies: list[str] | None, k: int) -> DataFrame:
+def rank_plain(docs: DataFrame, requests: DataFrame, policies: list[str] | DataFrame | None, k: int) -> DataFrame:
     """Like `rank_quantized`, by cosine in double precision."""
     r = requests.select("query_id", F.col("vec").alias("qv"), "attrs")
     return _ranked(docs.select("doc_id", "policy", "vec"), r, policies, cosine(F.col("vec"), F.col("qv")), k)
 
 
-def sealed_pairs(scheme: Scheme, docs: DataFrame, requests: DataFrame, policies: list[str]) -> DataFrame:
+def _scored(public: Public, shared):
+    """A function of Arrow batches (doc_id, ct, ids): every document is read once for all requests of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        queries: dict = {}
+        for batch in batches:
+            docs, cts, ids = (batch.column(c).to_pylist() for c in ("doc_id", "ct", "ids"))
+            pairs = []
+            for ct, asked in zip(cts, ids, strict=True):
+                ct = numbers(ct)
+                for i in asked:
+                    if i not in queries:
+                        queries[i] = Query(public, *shared.value[i])
+                    pairs.append((ct, queries[i]))
+            size = np.fromiter(map(len, ids), np.int64, len(ids))
+            doc = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(docs)), size)))
+            flat = pa.array([i for asked in ids for i in asked], pa.int64())
+            yield pa.RecordBatch.from_arrays([flat, doc, pa.array(inner_products(public, pairs), pa.int64())], names=["query_id", "doc_id", "score"])
+
+    return run
+
+
+def sealed_pairs(scheme: Scheme, docs: DataFrame, requests: DataFrame, policies: list[str] | DataFrame) -> DataFrame:
     """query_id, doc_id, score for every document that a request may read: the raw integer inner product.
 
-    docs: doc_id, policy, ct. requests: query_id, attrs, q (quantised). The key holder makes one key per request;
-    what goes to the scoring side is checked to be ids, attributes, integers and keys (`check_wire`).
+    docs: doc_id, policy, ct. requests: query_id (distinct), attrs, q (quantised). The key holder's executors make one
+    key per request; what goes to the scoring side is checked to be ids, attributes, integers and keys (`check_wire`).
+    Requests are scored in blocks of at most about MAX_REQUESTS, whose keys are broadcast to the workers; with several
+    blocks each one's scores are written before the next, so that neither plan nor driver grows with them.
     """
     if not scheme.msk:
         raise ValueError("functional keys need the master secret")
-    rows, scored = requests.toLocalIterator(), None
-    while (block := list(islice(rows, MAX_REQUESTS))) or scored is None:
-        wire = [(r.query_id, r.attrs, r.q, scheme.key(r.q).to_bytes(16, "big")) for r in block]
-        wire = check_wire(docs.sparkSession.createDataFrame(wire, WIRE))
-        if len(block) == MAX_REQUESTS and scored is None:
-            docs = pin(docs)  # more blocks follow: ciphertexts are random and costly, so they are made once
-        for pairs in authorized_pairs(docs, wire, policies):
-            one = pairs.select("query_id", "doc_id", inner_product(scheme.public, F.col("ct"), F.col("sk"), F.col("q")).alias("score"))
-            scored = one if scored is None else scored.union(one)
-    return scored
-
-
-def rank_sealed(scheme: Scheme, docs: DataFrame, requests: DataFrame, policies: list[str], k: int) -> DataFrame:
+    spark = docs.sparkSession
+    wire = pin(check_wire(requests.select("query_id", "attrs", F.col("q").cast("array<bigint>").alias("q"), derive(scheme, F.col("q")).alias("sk"))))
+    parts, scored = blocks(wire, "query_id", MAX_REQUESTS), []
+    if len(parts) > 1:
+        docs = pin(docs)  # ciphertexts are random and costly, so they are made once
+    kind = T.StructType([T.StructField("query_id", T.LongType()), docs.schema["doc_id"], T.StructField("score", T.LongType())])
+    for block in parts:
+        keys = {r.query_id: (bytes(r.sk), r.q) for r in block.select("query_id", "sk", "q").toLocalIterator()}  # one block
+        ids = granted(block, policies).groupBy("policy").agg(F.collect_list("query_id").alias("ids"))
+        # a policy's list has a block's requests at most; policies are as many as are granted
+        ids = F.broadcast(ids) if isinstance(policies, list) and MAX_REQUESTS * len(policies) <= MAX_GRANTS else ids
+        pairs = docs.join(ids, "policy").select("doc_id", "ct", "ids")
+        one = pairs.mapInArrow(_scored(scheme.public, spark.sparkContext.broadcast(keys)), kind)
+        scored.append(pin(one) if len(parts) > 1 else one)
+    return reduce(DataFrame.union, scored)
+
+
+def rank_sealed(scheme: Scheme, docs: DataFrame, requests: DataFrame, policies: list[str] | DataFrame, k: int) -> DataFrame:
     """The k best of `sealed_pairs` by request: query_id, doc_id, score, rank."""
     return _best(sealed_pairs(scheme, docs, requests, policies), k)
 

@@ -32,7 +32,7 @@ def test_exact_inner_products(spark):
 def test_gate_is_below_the_scoring(spark):
     plan = catalog.QUERIES["sealed_topk"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     lines = plan.split("\n")
-    score = max(i for i, x in enumerate(lines) if "ArrowEvalPython" in x and "sk" in x)
+    score = max(i for i, x in enumerate(lines) if "MapInArrow" in x and "score" in x)
     assert any("Join" in x for x in lines[score:])
 
 
