@@ -158,7 +158,7 @@ p AS (SELECT subject, round, level, z / sum(z) OVER (PARTITION BY subject, round
 QUERIES = {f.__name__: f for f in (
     sealed_topk, sealed_scores, sentences, grounded_sentences, grounded_fraction, ungrounded_spans, resolved_spans, redacted_text, redaction_pass,
     redaction_audit, posterior_by_round, belief_top, rounds_until_grant, dp_order_sums, adaptive_eps, attributes_proved, caller_parse, excerpt)}
-_PLACED = f"""SELECT g.id, g.pos, g.grounded, lead_ws + coalesce(sum(length(g.sentence) + gap) OVER w, 0) AS start, g.sentence, gap FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS nth FROM ({_GROUND})) g
+PLACED = f"""SELECT g.id, g.pos, g.grounded, lead_ws + coalesce(sum(length(g.sentence) + gap) OVER w, 0) AS start, g.sentence, gap FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS nth FROM ({_GROUND})) g
 JOIN (SELECT conv_id * 1000 + turn AS id, length(text) - length(regexp_replace(text, '^\\s+', '')) AS lead_ws,
   list_transform(regexp_extract_all(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '[.!?]\\s+'), lambda x: length(x) - 1) AS gaps FROM conversations WHERE role = 'assistant') t USING (id)
 CROSS JOIN LATERAL (SELECT coalesce(gaps[g.nth], 0) AS gap) WINDOW w AS (PARTITION BY g.id ORDER BY g.pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
@@ -173,10 +173,10 @@ ORACLES = {
     "grounded_fraction": f"""SELECT r.id, round(coalesce(f, 1.0), 6) AS fraction FROM (SELECT conv_id * 1000 + turn AS id FROM conversations WHERE role = 'assistant') r
  LEFT JOIN (SELECT id, avg(grounded::INT) AS f FROM ({_GROUND}) GROUP BY id) g ON g.id = r.id""",
     "ungrounded_spans": f'SELECT id, start, "end" FROM ({_GROUND}) WHERE NOT grounded',
-    "resolved_spans": f'SELECT id, (row_number() OVER (PARTITION BY id ORDER BY pos) - 1)::INT AS pos, start::BIGINT AS start, (start + length(sentence))::BIGINT AS "end" FROM ({_PLACED}) WHERE NOT grounded',
+    "resolved_spans": f'SELECT id, (row_number() OVER (PARTITION BY id ORDER BY pos) - 1)::INT AS pos, start::BIGINT AS start, (start + length(sentence))::BIGINT AS "end" FROM ({PLACED}) WHERE NOT grounded',
     "redacted_text": f"""SELECT r.conv_id * 1000 + r.turn AS id, coalesce(substr(r.text, 1, length(r.text) - length(regexp_replace(r.text, '^\\s+', ''))) ||
  p.body || regexp_extract(r.text, '\\s*$'), r.text) AS redacted FROM conversations r LEFT JOIN (SELECT id, string_agg(CASE WHEN grounded THEN sentence ELSE repeat('█', length(sentence)) END
- || substr(orig, (start + length(sentence) + 1)::BIGINT, gap), '' ORDER BY pos) AS body FROM ({_PLACED}) JOIN (SELECT conv_id * 1000 + turn AS id, text AS orig FROM conversations) USING (id) GROUP BY id) p
+ || substr(orig, (start + length(sentence) + 1)::BIGINT, gap), '' ORDER BY pos) AS body FROM ({PLACED}) JOIN (SELECT conv_id * 1000 + turn AS id, text AS orig FROM conversations) USING (id) GROUP BY id) p
  ON p.id = r.conv_id * 1000 + r.turn WHERE r.role = 'assistant'""",
     "redaction_pass": _PASS + """SELECT message_id, arrival, 2 AS n_spans, k::BIGINT AS n_chars, reason IS NULL AS applied, reason,
  CASE WHEN reason IS NULL THEN repeat('█', least(n, 4)) || substr(text, 5, 6) || repeat('█', e - least(n, 10)) || substr(text, greatest(e, 10) + 1) ELSE text END AS redacted FROM c""",

@@ -83,9 +83,10 @@ def latest_per_user(spark, sf_dir):
 
 
 _PAD = lambda b: "'" + "".join(f"\\x{b ^ x:02X}" for x in TEST_KEY + bytes(32)) + "'::BLOB"
-_PART = lambda c: f"coalesce('S' || length({c}) || ':' || {c}, 'N')"
-_META = " || ".join(map(_PART, ("'chars'", "n_chars::VARCHAR", "'lang'", "lang")))
-_MSG = " || ".join(map(_PART, ("doc_id::VARCHAR", "('T' || md5(text))", "source", f"({_META})", "'1'")))
+PART = lambda c: f"coalesce('S' || length({c}) || ':' || {c}, 'N')"
+HMAC = lambda message: f"sha256({_PAD(0x5C)} || unhex(sha256({_PAD(0x36)} || encode({message}))))"
+_META = " || ".join(map(PART, ("'chars'", "n_chars::VARCHAR", "'lang'", "lang")))
+_MSG = " || ".join(map(PART, ("doc_id::VARCHAR", "('T' || md5(text))", "source", f"({_META})", "'1'")))
 _REASON = """CASE WHEN doc_id % 23 = 5 THEN 'doc_missing' WHEN doc_id % 13 = 2 THEN 'store_unreadable' WHEN doc_id % 19 = 4 THEN 'missing_mac'
  WHEN doc_id % 17 = 3 OR doc_id % 31 = 7 OR doc_id % 37 = 8 OR doc_id % 41 = 9 THEN 'mac_mismatch' WHEN doc_id % 29 = 6 THEN 'version_rollback' END"""
 _PUT_IN = "SELECT doc_id + 10000000000 AS doc_id, CASE WHEN doc_id % 2 = 0 THEN 'mac_mismatch' ELSE 'missing_mac' END AS reason FROM documents WHERE doc_id % 43 = 10"
@@ -94,7 +95,7 @@ _TAMPERED = f"SELECT * FROM (SELECT doc_id, {_REASON} AS reason FROM documents U
 QUERIES = {f.__name__: f for f in (
     mac_tags, tamper_report, incident_log, verified_ids, missing_docs, injected_docs, grown_manifest, stale_docs, store_roundtrip, latest_per_user)}
 ORACLES = {
-    "mac_tags": f"SELECT doc_id, sha256({_PAD(0x5C)} || unhex(sha256({_PAD(0x36)} || encode({_MSG})))) AS mac FROM documents",
+    "mac_tags": f"SELECT doc_id, {HMAC(_MSG)} AS mac FROM documents",
     "tamper_report": _TAMPERED,
     "incident_log": "SELECT reason, " + "CASE reason " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in integrity.NOTES.items()) + f" END AS note, count(*) AS n, count(*) AS dated FROM ({_TAMPERED}) GROUP BY 1, 2",
     "verified_ids": f"SELECT doc_id FROM documents WHERE {_REASON} IS NULL OR ({_REASON}) = 'version_rollback'",

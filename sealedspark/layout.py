@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,12 +35,24 @@ def blocks(df: DataFrame, key: str, most: int) -> list[DataFrame]:
     return [df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir; a temporary one where a local master has none."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _local_dir()
+
+
+@lru_cache(maxsize=1)
+def _local_dir() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="sealedspark-")
+
+
 def pin(df: DataFrame) -> DataFrame:
     """`df` evaluated once and kept in the shared checkpoint folder; random columns do not change any more."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not path and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="sealedspark-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
