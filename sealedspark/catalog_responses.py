@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sealedspark import grounding, inference, ipfe, policy, privacy, proofs, retrieval, vectors
-from sealedspark.catalog_tables import CALLERS, POLICIES, read, requests, vector_docs
+from sealedspark.catalog_tables import POLICIES, read, requests, vector_docs
 from sealedspark.layout import spread
 
 LEVELS = ["click", "purchase", "view"]
@@ -118,14 +118,36 @@ def adaptive_eps(spark, sf_dir):
     return d.select("doc_id", F.round(privacy.adaptive_eps(F.length("text"), 0.1, 1.0, 0.5, 4096), 12).alias("eps"))
 
 
-def attributes_proved(spark, sf_dir):
-    """Each caller proves its attributes; caller 2's second proof is for another context."""
+def _claims(spark, sf_dir):
+    """Every document proves its language and its source for itself; some proofs are damaged by doc_id."""
     p, g = proofs.group()
-    rows = [(c, a, *proofs.prove(a, "other" if (c, i) == (2, 1) else "session", p, g)) for c, attrs in CALLERS for i, a in enumerate(attrs) if c != 3]
-    sent = spark.createDataFrame(rows, "caller_id long, attr string, t string, c string, s string")
-    ok = proofs.verify(p, g, F.col("attr"), F.lit("session"), F.col("t"), F.col("c"), F.col("s"))
-    need = spark.createDataFrame(CALLERS, "caller_id long, attrs array<string>")
-    return proofs.all_proved(need, sent.select("caller_id", "attr", ok.alias("ok")))
+    d = spread(read(spark, sf_dir, "documents").select("doc_id", "lang", "source"))
+    attrs = F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("source:"), "source"))
+    each = d.select("doc_id", F.posexplode(attrs).alias("nth", "attr")).where("attr IS NOT NULL")
+    context = F.concat(F.lit("document "), F.col("doc_id").cast("string"))
+    made_for = F.when(F.col("doc_id") % 11 == 3, F.concat(context, F.lit("0"))).otherwise(context)
+    each = each.withColumn("p", proofs.proof(p, g, F.col("attr"), made_for)).select("doc_id", "nth", "attr", context.alias("context"), "p.*")
+    hit = (F.col("doc_id") % 7 == 2) & (F.col("nth") == 1)
+    last = F.length("s")
+    other = F.concat(F.substring("s", 1, last - 1), F.translate(F.substring("s", last, F.lit(1)), "0123456789", "1234567890"))
+    each = each.withColumn("s", F.when(hit, other).otherwise(F.col("s")))
+    each = each.withColumn("c", F.when(F.col("doc_id") % 13 == 4, F.lit("1")).otherwise(F.col("c")))
+    each = each.withColumn("t", F.when(F.col("doc_id") % 17 == 5, None).when(F.col("doc_id") % 19 == 6, F.concat(F.lit("-"), "t")).otherwise(F.col("t")))
+    ok = proofs.verify(p, g, F.col("attr"), F.col("context"), F.col("t"), F.col("c"), F.col("s"))
+    return each.select("doc_id", "attr", ok.alias("ok"))
+
+
+def proof_checks(spark, sf_dir):
+    """The proofs of all documents' attributes, checked in batches."""
+    return _claims(spark, sf_dir)
+
+
+def attributes_proved(spark, sf_dir):
+    """Whether each document has proved all that it claims."""
+    d = read(spark, sf_dir, "documents")
+    attrs = F.array_compact(F.array(F.concat(F.lit("lang:"), "lang"), F.concat(F.lit("source:"), "source")))
+    done = proofs.all_proved(d.select(F.col("doc_id").alias("caller_id"), attrs.alias("attrs")), _claims(spark, sf_dir).withColumnRenamed("doc_id", "caller_id"))
+    return done.withColumnRenamed("caller_id", "doc_id")
 
 
 def caller_parse(spark, sf_dir):
@@ -157,7 +179,7 @@ p AS (SELECT subject, round, level, z / sum(z) OVER (PARTITION BY subject, round
 
 QUERIES = {f.__name__: f for f in (
     sealed_topk, sealed_scores, sentences, grounded_sentences, grounded_fraction, ungrounded_spans, resolved_spans, redacted_text, redaction_pass,
-    redaction_audit, posterior_by_round, belief_top, rounds_until_grant, dp_order_sums, adaptive_eps, attributes_proved, caller_parse, excerpt)}
+    redaction_audit, posterior_by_round, belief_top, rounds_until_grant, dp_order_sums, adaptive_eps, proof_checks, attributes_proved, caller_parse, excerpt)}
 PLACED = f"""SELECT g.id, g.pos, g.grounded, lead_ws + coalesce(sum(length(g.sentence) + gap) OVER w, 0) AS start, g.sentence, gap FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS nth FROM ({_GROUND})) g
 JOIN (SELECT conv_id * 1000 + turn AS id, length(text) - length(regexp_replace(text, '^\\s+', '')) AS lead_ws,
   list_transform(regexp_extract_all(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '[.!?]\\s+'), lambda x: length(x) - 1) AS gaps FROM conversations WHERE role = 'assistant') t USING (id)
@@ -167,6 +189,8 @@ a AS (SELECT *, (e - least(n, 10)) + least(n, 4) AS k FROM m),
 b AS (SELECT *, CASE WHEN k > 1024 THEN 'char_cap' END AS refused FROM a),
 c AS (SELECT *, CASE WHEN coalesce(bool_or(refused IS NULL) OVER (PARTITION BY message_id ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) THEN 'already_done' ELSE refused END AS reason FROM b)
 """
+_PROVED = """SELECT doc_id, attr, NOT (doc_id % 11 = 3 OR doc_id % 7 = 2 AND nth = 1 OR doc_id % 13 = 4 OR doc_id % 17 = 5 OR doc_id % 19 = 6) AS ok FROM (
+ SELECT doc_id, 0 AS nth, 'lang:' || lang AS attr FROM documents UNION ALL SELECT doc_id, 1, 'source:' || source FROM documents) WHERE attr IS NOT NULL"""
 ORACLES = {
     "sentences": f'SELECT id, pos, start, "end", sentence FROM ({_SENT})',
     "grounded_sentences": _GROUND,
@@ -192,7 +216,8 @@ l AS (SELECT *, list_transform(u, lambda x: CASE WHEN x >= 0.5 THEN -2 * ln(2 *
 r AS (SELECT o_orderpriority, n + l[1] AS noisy_n, t + 100000 * l[2] AS noisy_sum FROM l)
 SELECT o_orderpriority, round(noisy_n, 2) AS noisy_n, round(noisy_sum, 2) AS noisy_sum, round(noisy_sum / greatest(noisy_n, 1), 2) AS noisy_avg FROM r""",
     "adaptive_eps": "SELECT doc_id, round(CASE WHEN coalesce(length(text), 0) > 0 THEN 0.1::DOUBLE + 0.9::DOUBLE * least(1.0::DOUBLE, length(text) / 4096.0::DOUBLE) ELSE 0.5 END, 12) AS eps FROM documents",
-    "attributes_proved": "SELECT c::BIGINT AS caller_id, c IN (0, 1, 4) AS proved FROM range(5) r(c)",
+    "proof_checks": _PROVED,
+    "attributes_proved": f"SELECT doc_id, coalesce(bool_and(ok), true) AS proved FROM documents LEFT JOIN ({_PROVED}) USING (doc_id) GROUP BY 1",
     "caller_parse": "SELECT doc_id, 'lang:' || lower(lang) || '|source:' || lower(source) || '|guest' AS attrs FROM documents",
     "excerpt": r"""WITH t AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS t FROM documents)
 SELECT doc_id, CASE WHEN length(t) > 120 THEN substr(t, 1, 120) || '...' ELSE t END AS excerpt FROM t""",

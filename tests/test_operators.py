@@ -63,9 +63,55 @@ def test_laplace_points(spark):
 def test_proofs(spark):
     p, g = ipfe.safe_prime(64), 4
     t, c, s = proofs.prove("role:nurse", "x", p, g)
-    rows = [("role:nurse", "x", t, c, s), ("Role:Nurse ", "x", t, c, s), ("role:nurse", "y", t, c, s), ("role:nurse", "x", t, c, str(int(s) + 1)), ("role:nurse", "x", None, c, s)]
-    df = spark.createDataFrame(rows, "a string, k string, t string, c string, s string")
-    assert [r[0] for r in df.select(proofs.verify(p, g, *map(F.col, "aktcs"))).collect()] == [True, True, False, False, False]
+    rows = [("role:nurse", "x", t, c, s), ("Role:Nurse ", "x", t, c, s), ("role:nurse", "y", t, c, s), ("role:nurse", "x", t, c, str((int(s) + 1) % ((p - 1) // 2))), ("role:nurse", "x", None, c, s)]
+    rows += [("role:nurse", "x", t, c, bad) for bad in ("-1", "", "x", "9" * 5000, str(int(s) + (p - 1) // 2), "\u0663")] + [(None, "x", t, c, s), ("role:nurse", None, t, c, s)]
+    df = spark.createDataFrame(rows, "a string, k string, t string, c string, s string").coalesce(1)
+    assert [r[0] for r in df.select(proofs.verify(p, g, *map(F.col, "aktcs"))).collect()] == [True, True] + [False] * 11
+    again = df.limit(1).select(proofs.proof(p, g, F.col("a"), F.col("k")).alias("p")).first().p
+    assert (again.t, again.c, again.s) == (t, c, s) == proofs.prove("role:nurse", "x", p, g)
+
+
+@pytest.mark.parametrize("wrong", [0, 1, 2, 7, 300, 600])
+def test_batches_name_the_wrong_proofs(wrong):
+    """Wrong answers, and commitments of the wrong sign that would cancel in pairs, at any place of 600 proofs."""
+    p, g = ipfe.safe_prime(64), 4
+    q, rnd = (p - 1) // 2, random.Random(wrong)
+    items = []
+    for i in range(600):
+        attr = f"source:{i % 20}"
+        t, c, s = map(int, proofs.prove(attr, str(i), p, g))
+        items.append((t, c, s, proofs._public(attr, p, g)))
+    bad = set(rnd.sample(range(600), wrong))
+    for i in bad:
+        t, c, s, y = items[i]
+        items[i] = (t, c, (s + 1) % q, y) if i % 2 else (p - t, c, s, y)
+    assert {i for i, ok in enumerate(proofs.check(items, p, g)) if not ok} == bad
+    assert [proofs._right(i, p, g) for i in items] == [i not in bad for i in range(600)]
+
+
+def test_signs_are_those_of_squares():
+    p = ipfe.safe_prime(32)
+    assert all((proofs._jacobi(a, p) == 1) == (pow(a, (p - 1) // 2, p) == 1) for a in range(1, 300))
+
+
+def test_fixed_base_and_shared_squarings():
+    scheme, rnd = ipfe.Scheme.setup(5, bits=64), random.Random(1)
+    p, g = scheme.public.p, scheme.public.g
+    for digit in (4, 8):
+        table = ipfe.FixedBase(g, p, digit)
+        assert all(table.power(e) == pow(g, e, p) for e in (0, 1, 255, 256, (p - 1) // 2, p - 1))
+    for e in (0, 1, -1, 500, -500, scheme.public.bound, -scheme.public.bound):
+        assert ipfe.discrete_log(pow(g, e, p), g, p, scheme.public.bound) == e
+    with pytest.raises(ValueError):
+        ipfe.discrete_log(pow(g, scheme.public.bound + 1, p), g, p, scheme.public.bound)
+    ct = [rnd.randrange(1, p) for _ in range(6)]
+    for q in ([0] * 5, [3, -2, 100, -100, 1], [-1] * 5, [7] * 5):
+        a, b = ipfe.Query(scheme.public, (0).to_bytes(8, "big"), q).quotient(ct, p)
+        a = a * pow(ct[0], -((p - 1) // 2), p) % p
+        want = 1
+        for c, x in zip(ct[1:], q, strict=True):
+            want = want * pow(c, x, p) % p
+        assert a * pow(b, -1, p) % p == want
 
 
 def test_sealed_requests_beyond_one_block(spark, monkeypatch):
