@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sealedspark import catalog_policies, catalog_responses, catalog_store, policy, retrieval, vectors
 from sealedspark.catalog_tables import CALLERS, HOLDS, POLICIES, read, requests, vector_docs
+from sealedspark.layout import pin, spread
 
 
 def authorized_topk(spark, sf_dir):
@@ -48,10 +49,9 @@ def l2_normalized(spark, sf_dir):
 
 def hash_search(spark, sf_dir):
     """Every document whose doc_id is divisible by 20 asks for the five nearest by hashed bag of words."""
-    v = vectors.hash_vectors(read(spark, sf_dir, "documents"), 32).withColumn("policy", F.lit(""))
-    ask = v.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "vec", F.array().cast("array<string>").alias("attrs"))
-    r = retrieval.rank_plain(v, ask, None, 5)
-    return r.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.max("score"), 6).alias("best"), F.round(F.min("score"), 6).alias("fifth"))
+    v = pin(vectors.hash_vectors(read(spark, sf_dir, "documents"), 32, normalize=False))
+    r = retrieval.nearest_counts(spread(v), v.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "vec"), 5)
+    return r.withColumn("score", F.round("score", 6))
 
 
 def caller_facts(spark, sf_dir):
@@ -115,11 +115,11 @@ n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n
 SELECT vec_id, (unnest(generate_series(1, 40)) - 1)::INT AS pos, round(unnest(v) / n, 6) AS x FROM n""",
     "hash_search": """WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '\\s+')) AS word FROM documents),
 b AS (SELECT doc_id, ('0x' || substr(md5(word), 31, 2))::BIGINT % 32 AS bucket, count(*)::DOUBLE AS n FROM w WHERE word <> '' GROUP BY ALL),
-s AS (SELECT doc_id, sqrt(sum(n * n)) AS z FROM b GROUP BY 1), u AS (SELECT doc_id, bucket, n / z AS x FROM b JOIN s USING (doc_id)),
-p AS (SELECT q.doc_id AS query_id, d.doc_id, coalesce(sum(a.x * c.x), 0) AS score FROM (FROM documents WHERE doc_id % 20 = 0) q CROSS JOIN documents d
-  LEFT JOIN u a ON a.doc_id = q.doc_id LEFT JOIN u c ON c.doc_id = d.doc_id AND c.bucket = a.bucket GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM p)
-SELECT query_id, count(*) AS n, round(max(score), 6) AS best, round(min(score), 6) AS fifth FROM r WHERE rank <= 5 GROUP BY 1""",
+s AS (SELECT d.doc_id, coalesce(sqrt(sum(n * n)), 1) AS z FROM documents d LEFT JOIN b USING (doc_id) GROUP BY 1),
+p AS (SELECT a.doc_id AS query_id, c.doc_id, sum(a.n * c.n) AS x FROM b a JOIN b c USING (bucket) WHERE a.doc_id % 20 = 0 GROUP BY 1, 2),
+t AS (SELECT q.doc_id AS query_id, d.doc_id, coalesce(x, 0) / (q.z * d.z) AS score FROM s q JOIN s d ON q.doc_id % 20 = 0 LEFT JOIN p ON p.query_id = q.doc_id AND p.doc_id = d.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INT AS rank FROM t)
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""",
     "caller_facts": """SELECT doc_id, 5 AS n, lower(lang) AS lang, lower(source) LIKE 'w%' AS w_source, 'nurse|reader' AS roles, true AS guest FROM documents""",
     "unfiltered_topk": _FREE,
     "hit_rate_by_query": f"""SELECT t.query_id, count(f.doc_id) / count(*) AS hit_rate FROM ({_FREE}) t

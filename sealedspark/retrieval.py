@@ -36,6 +36,69 @@ def gate(docs: DataFrame, callers: DataFrame, policies: list[str]) -> DataFrame:
     return docs.join(broadcast_if_few(satisfied(callers, policies), MAX_REQUESTS * max(1, len(set(policies)))), "policy")
 
 
+def _best_of(shared, k: int):
+    """A function of Arrow batches (doc_id, vec): for each query of a block its k nearest of the partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, norms = shared.value
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]  # query, doc_id, score
+        least = np.full(len(norms), -np.inf)
+        for batch in batches:
+            vecs = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
+            ids = batch.column("doc_id").to_numpy()
+            step = max(1, (1 << 22) // len(norms))  # 32 MB of scores at a time
+            for i in range(0, len(ids), step):
+                v = vecs[i : i + step]
+                n = np.sqrt((v * v).sum(1))
+                score = (asked @ v.T) / (norms[:, None] * np.where(n == 0, 1.0, n))
+                if score.shape[1] > k:  # what is below the k-th of this part, or of what is held, is out
+                    np.maximum(least, np.partition(score, -k, 1)[:, -k], out=least)
+                q, d = np.nonzero(score >= least[:, None])
+                new = q, ids[i : i + step][d], score[q, d]
+                q, d, s = (np.concatenate(x) for x in zip(held, new, strict=True))
+                order = np.lexsort((d, -s, q))
+                q, d, s = q[order], d[order], s[order]
+                nth = np.arange(len(q)) - np.searchsorted(q, q)
+                held = [x[nth < k] for x in (q, d, s)]
+                full = nth == k - 1
+                least[q[full]] = np.maximum(least[q[full]], s[full])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["nth", "doc_id", "score"])
+
+    return run
+
+
+def nearest_counts(docs: DataFrame, requests: DataFrame, k: int, block_bytes: int = 1 << 25) -> DataFrame:
+    """query_id, doc_id, score, rank: the k nearest by cosine of count vectors; ties go to the smaller doc_id.
+
+    docs: doc_id (bigint), vec. requests: query_id (bigint, distinct), vec. Vectors hold whole numbers (hashed bags of
+    words), whose products are exact in double precision, so that equal texts tie whatever the order of the sums. A
+    vector of zeros has a cosine of 0 with all. Blocks of requests of `block_bytes` go to all documents as one matrix;
+    each partition of documents gives k rows a request on.
+    """
+    if k < 1:
+        raise ValueError("k is at least 1")
+    spark, out = docs.sparkSession, []
+    requests = pin(requests.select("query_id", F.col("vec").cast("array<double>").alias("vec")))
+    dim = requests.agg(F.max(F.size("vec"))).first()[0] or 1
+    docs = docs.select("doc_id", F.col("vec").cast("array<double>").alias("vec"))
+    parts = blocks(requests, "query_id", max(1, block_bytes // (8 * dim)))
+    if len(parts) > 1:
+        docs = pin(docs)
+    for block in parts:
+        rows = list(block.toLocalIterator())  # at most about block_bytes
+        if not rows:
+            continue
+        asked = np.array([r.vec for r in rows], float).reshape(len(rows), -1)
+        norms = np.sqrt((asked * asked).sum(1))
+        shared = spark.sparkContext.broadcast((asked, np.where(norms == 0, 1.0, norms)))
+        names = F.broadcast(spark.createDataFrame([(i, r.query_id) for i, r in enumerate(rows)], "nth long, query_id long"))
+        best = docs.mapInArrow(_best_of(shared, k), "nth long, doc_id long, score double").join(names, "nth")
+        out.append(_best(best.select("query_id", "doc_id", "score"), k))
+    if not out:
+        return spark.createDataFrame([], "query_id long, doc_id long, score double, rank int")
+    return reduce(DataFrame.union, [pin(o) for o in out] if len(out) > 1 else out)
+
+
 def granted(block: DataFrame, policies: list[str] | DataFrame) -> DataFrame:
     """query_id, policy: what each request of a block may read. Policies come as a list or as a table (policy)."""
     callers = block.select(F.col("query_id").alias("caller_id"), "attrs")
