@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import hashlib
 import re
 import tempfile
 import uuid
@@ -143,11 +144,11 @@ def mix32(x: np.ndarray) -> np.ndarray:
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BYTE = mix64(np.arange(1, 257, dtype=np.uint64))
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LEFT = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # masks of 0 to 8 bytes
+_LONG = 512  # longer words are hashed each by itself
 _POWERS: list[np.ndarray] = []
 
 
@@ -166,35 +167,40 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of each text, end to end, and where each text's words begin (one longer).
 
-    Words are runs without space or control white space (0x09-0x0D), A-Z lower-cased; None counts as empty.
+    Words are runs without space or control white space (0x09-0x0D), A-Z lower-cased; None counts as empty. A word is
+    mixed eight bytes at a time, each step a bijection of what came before, so that words of some structure (as those
+    that collide under any polynomial modulo 2**64) are told apart like others; long ones get a cryptographic hash.
     """
     raw = [b"" if t is None else t.encode("utf-8", "surrogatepass") for t in texts]
     lens = np.fromiter(map(len, raw), np.int64, len(raw))
-    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
-    del raw
-    word = ~_SPACE[data]
-    first = word.copy()
-    first[1:] &= ~word[:-1]
-    starts = np.flatnonzero(first)
-    stops = np.flatnonzero(word & ~np.append(word[1:], False)) + 1
-    del word, first
+    joined = (b" ".join(raw) + b" ").translate(_LOWER)
+    size = len(joined)
+    data = np.frombuffer(joined + bytes(8), np.uint8)
+    del raw, joined
+    edge = np.diff(_SPACE[data[:size]].view(np.int8), prepend=1, append=1)
+    starts, stops = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    del edge
     begin = np.zeros(len(lens) + 1, np.int64)
     begin[1:] = np.cumsum(lens + 1)
     bounds = np.searchsorted(starts, begin)
-    out = np.zeros(len(starts), np.uint64)
-    if not len(starts):
-        return out, bounds
-    power, _ = _powers(int((stops - starts).max()))
-    # words of about 256 KB at a time, so that a long text takes little more memory than itself
-    cuts = np.unique(np.searchsorted(starts, np.arange(0, len(data), 1 << 18)))
-    cuts = cuts[cuts < len(starts)]  # white space may follow the last word
-    for i, j in zip(cuts, [*cuts[1:], len(starts)], strict=True):
-        size = stops[i:j] - starts[i:j]
-        ends = np.cumsum(size)
-        inside = np.arange(ends[-1]) - np.repeat(ends - size, size)
-        value = _BYTE[_LOWER[data[np.repeat(starts[i:j], size) + inside]]] * power[inside]
-        out[i:j] = np.add.reduceat(value, ends - size)
-    return mix64(out), bounds
+    n = stops - starts
+    eights = np.ndarray((size + 1,), np.uint64, data, strides=(1,))  # the eight bytes from each place on
+    out = mix64(n.astype(np.uint64) * np.uint64(_BASE))
+    own = np.flatnonzero(n <= _LONG)
+    step = 0
+    while len(own):
+        left = n[own] - step
+        out[own] = mix64(out[own] * np.uint64(_BASE) ^ (eights[starts[own] + step] & _LEFT[np.minimum(left, 8)]))
+        own, step = own[left > 8], step + 8
+    for i in np.flatnonzero(n > _LONG):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : stops[i]], digest_size=8).digest(), "little")
+    return out, bounds
+
+
+def word_digest(text: str) -> bytes:
+    """The SHA-256 of a text's words as `word_hashes` takes them, one space apart."""
+    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()  # bytes split at the same six characters
+    return hashlib.sha256(b" ".join(words)).digest()
 
 
 def shingle_hashes(texts: list[str | None], k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -2,8 +2,8 @@
 
 One permutation (a 32-bit bijection) scatters a document's shingles; a second one, circularly shifted by
 0, 1, 2, ..., gives every coordinate of the signature: ``sig[k] = min over s of pi((sigma(s) + k) mod 2**32)``.
-All coordinates are there before banding starts. Documents with one set of shingles form a class; only a
-class's smallest doc_id goes on. Classes that share a band are candidates; exact Jaccard similarity of the
+All coordinates are there before banding starts. Documents with one sequence of words, told by a SHA-256, form a class;
+only a class's smallest doc_id goes on. Classes that share a band are candidates; exact Jaccard similarity of the
 full sets of words confirms a link.
 
 A bucket of n classes is never expanded into its n**2 pairs. Its members are first compared with the smallest
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sealedspark.llm.common import blocks, cut, drop, free_shuffles, maybe_broadcast, mix32, mix64, shingle_hashes, shingle_set, trimmed
+from sealedspark.llm.common import blocks, cut, drop, free_shuffles, maybe_broadcast, mix32, mix64, shingle_hashes, shingle_set, trimmed, word_digest
 from sealedspark.llm.graph import components
 
 # At most so many ids are broadcast (8 bytes each); more are joined by shuffle.
@@ -70,10 +70,8 @@ def _sign(words: int, bands: int, rows: int):
                 band = np.zeros((0, bands), np.uint64)
                 if len(full):
                     runs = np.concatenate([[0], np.cumsum(n[full])])
-                    sums = [np.add.reduceat(mix64(h ^ np.uint64(seed)), runs[:-1]) for seed in (1, 2)]
-                    both = np.stack(sums, 1).tobytes()
-                    for x, d in enumerate(full):
-                        prints[d] = both[16 * x : 16 * x + 16]
+                    for d in full:
+                        prints[d] = word_digest(texts[i + d])
                     sig = circulant_signature(h, runs, bands * rows).astype(np.uint64).reshape(len(full), bands, rows)
                     band = np.broadcast_to(np.arange(bands, dtype=np.uint64), (len(full), bands)).copy()
                     for r in range(rows):

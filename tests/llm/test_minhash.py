@@ -93,3 +93,25 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 70), (70, 100), (200, 201), (5, 5)]
     got = {r.node: r.comp for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 1 for i in range(1, 61)} | {70: 70, 100: 70, 200: 200, 201: 200}
+
+
+def thue_morse(n, a="a", b="b"):
+    return "".join(b if bin(i).count("1") % 2 else a for i in range(n))
+
+
+def test_words_that_collide_under_polynomials_link_nothing(spark):
+    """Complementary Thue-Morse words have one polynomial hash modulo 2**64 whatever the base."""
+    one, two = thue_morse(1024), thue_morse(1024, "b", "a")
+    some = [thue_morse(1024, *p) for p in ("cd", "ef", "gh", "ij")], [thue_morse(1024, *p) for p in ("dc", "fe", "hg", "ji")]
+    rows = [(1, one), (2, two), (3, " ".join(some[0] * 10)), (4, " ".join(some[1] * 10)), (5, one.upper())]
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+    assert len({int(common.word_hashes([w])[0][0]) for w in (one, two, *some[0], *some[1])}) == 10
+
+
+def test_classes_hold_equal_words_only(spark):
+    """Texts of one set of shingles in another order are linked by comparison, and clashing columns do not matter."""
+    rows = [(3, "A b  c", "x", 1), (1, "a B\nc", "x", 1), (2, "b c a b", "x", 1), (4, "a b c a b", "x", 1), (5, "c a b c a", "x", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, fp string, rep int")
+    got = {r.doc_id: (r.component_id, r.n_shingles) for r in minhash.near_duplicates(df, words=2).collect()}
+    assert got == {1: (1, 2), 3: (1, 2), 2: (2, 3), 4: (2, 3), 5: (2, 3)}

@@ -95,3 +95,14 @@ def test_repeated_rows_fare_alike(spark):
 @pytest.mark.parametrize("texts", [[None], [""], ["   "], ["a"], ["a.", None, "b c."]])
 def test_no_spans_in_short_texts(texts):
     assert all(len(x) == 0 for x in sentences.spans(texts, 40))
+
+
+def test_words_that_collide_under_polynomials_erase_nothing(spark):
+    def word(a, b):
+        return "".join(b if bin(i).count("1") % 2 else a for i in range(1024))
+
+    pairs = ["ab", "cd", "ef", "gh"]
+    one, two = (" ".join([word(*(p if k else p[::-1])) for p in pairs] * 10) + "." for k in (0, 1))
+    df = spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in sentences.dedup(df).collect()}
+    assert got == {1: one, 2: two, 3: ""}
