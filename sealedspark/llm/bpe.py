@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sealedspark.layout import spread
-from sealedspark.llm.common import trimmed
+from sealedspark.llm.common import in_parts
 
 NONE = 1 << 60
 
@@ -154,7 +154,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(out, names=_OUT.names)
 
-    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(trimmed(run), _OUT)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(in_parts(run), _OUT)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -7,14 +7,15 @@ a lost executor costs at most the tasks it was running. Only a local master may
 from __future__ import annotations
 
 import atexit
-import ctypes
 import hashlib
 import re
 import tempfile
 import uuid
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,29 +73,30 @@ def drop(*dfs: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
-def _trim() -> None:
-    pa.default_memory_pool().release_unused()
-    try:
-        ctypes.CDLL(None).malloc_trim(0)
-    except (OSError, AttributeError):  # not every C library has it
-        pass
+def in_parts(run, column: str = "text", most: int = 1 << 20):
+    """`run`, a function of Arrow batches, over parts of them that hold about `most` bytes of a text column.
 
-
-def trimmed(run):
-    """`run`, a function of Arrow batches, that gives freed memory back to the system when a task ends.
-
-    Python workers are used again for many tasks, and would keep the most that any of them took.
+    A batch of Spark's has a number of rows, however long these are. What a task makes of it (Python strings, joined
+    bytes, hashes) is bounded by the part, or by the longest text. `column` may name a field of a struct: doc.text.
     """
 
     def go(batches):
-        try:
-            yield from run(batches)
-        finally:
-            _trim()
+        return run(part for batch in batches for part in _parts(batch, column, most))
 
     return go
 
 
+def _parts(batch: pa.RecordBatch, column: str, most: int):
+    head, _, field = column.partition(".")
+    texts = batch.column(head)
+    size = pc.binary_length(pc.struct_field(texts, field) if field else texts).fill_null(0).to_numpy()
+    part = np.cumsum(size + 16) // most  # rows without a text take room too
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for i, j in pairwise(cuts):
+        if i < j:
+            yield batch.slice(i, j - i)
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark remove shuffle files of finished stages whose DataFrames are gone (it acts on JVM garbage)."""
     import gc

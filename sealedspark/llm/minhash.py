@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sealedspark.llm.common import blocks, cut, drop, free_shuffles, maybe_broadcast, mix32, mix64, shingle_hashes, shingle_set, trimmed, word_digest
+from sealedspark.llm.common import blocks, cut, drop, free_shuffles, in_parts, maybe_broadcast, mix32, mix64, shingle_hashes, shingle_set, word_digest
 from sealedspark.llm.graph import components
 
 # At most so many ids are broadcast (8 bytes each); more are joined by shuffle.
@@ -123,7 +123,7 @@ def _rare_pairs(texts: DataFrame, left: DataFrame, words: int, percent: int) ->
     m (from 0), they share at most min(n - i, m - j), and need percent / (100 + percent) * (n + m). Shingles of one
     set only are counted, but kept out of the join.
     """
-    rows = cut(left.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "comp", "text").mapInArrow(trimmed(_shingles(words)), "rep long, comp long, n long, h long"))
+    rows = cut(left.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "comp", "text").mapInArrow(in_parts(_shingles(words)), "rep long, comp long, n long, h long"))
     many = cut(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"))
     held = rows.join(many, "h").withColumn("k", F.count("*").over(Window.partitionBy("rep")))
     place = F.row_number().over(Window.partitionBy("rep").orderBy("df", "h"))
@@ -155,7 +155,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     """
     spark = docs.sparkSession
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = cut(src.mapInArrow(trimmed(_sign(words, bands, rows)), _SIGNED))
+    signed = cut(src.mapInArrow(in_parts(_sign(words, bands, rows)), _SIGNED))
     member = signed.select("doc_id", "fp", "n")
     some = member.where("n > 0 AND doc_id IS NOT NULL")
     reps = cut(some.groupBy("fp").agg(F.min("doc_id").alias("rep")))
@@ -174,7 +174,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
         pairs = cut(pairs.selectExpr("least(a, b) AS a", "greatest(a, b) AS b").where("a < b").distinct())
         with_b = pairs.join(texts.selectExpr("doc_id AS b", "text AS text_b"), "b")
         both = with_b.join(texts.selectExpr("doc_id AS a", "text AS text_a"), "a")
-        out = cut(both.select("a", "b", "text_a", "text_b").mapInArrow(trimmed(_verify(words, percent)), "a long, b long"))
+        out = cut(both.select("a", "b", "text_a", "text_b").mapInArrow(in_parts(_verify(words, percent), "text_b"), "a long, b long"))
         drop(pairs)
         return out
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sealedspark.llm.common import cut, free_shuffles, maybe_broadcast, small_enough, trimmed
+from sealedspark.llm.common import cut, free_shuffles, in_parts, maybe_broadcast, small_enough
 
 ORDER = 4
 # At most so many trusted ids are broadcast (8 bytes each); more are joined by shuffle.
@@ -55,7 +55,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batch.column("text").to_pylist():
             parts.append(grams(t))
             size += len(parts[-1])
-            if size > 1 << 22:
+            if size > 1 << 21:
                 yield flush(parts)
                 parts, size = [], 0
     if size:
@@ -63,7 +63,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _count(docs: DataFrame) -> DataFrame:
-    return docs.select("text").mapInArrow(trimmed(_counted), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+    return docs.select("text").mapInArrow(in_parts(_counted), "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
 
 
 def _discounts(t: DataFrame) -> list[float]:
@@ -154,10 +154,10 @@ def scorer(docs: DataFrame, model: dict, max_broadcast: int = 2_000_000):
     def add(rows: DataFrame) -> DataFrame:
         if small_enough(scored, max_broadcast):
             kind = T.StructType([rows.schema["__doc"], T.StructField("s", T.DoubleType()), T.StructField("n", T.LongType())])
-            sums = rows.select("__doc").mapInArrow(trimmed(_sum_with(shared)), kind)
+            sums = rows.select("__doc").mapInArrow(in_parts(_sum_with(shared), "__doc.text"), kind)
         else:
             fixed = cut(rows.select(F.monotonically_increasing_id().alias("row"), "__doc"))
-            each = fixed.select("row", "__doc.text").mapInArrow(_spread, "row long, key long, c long").join(scored, "key")
+            each = fixed.select("row", "__doc.text").mapInArrow(in_parts(_spread), "row long, key long, c long").join(scored, "key")
             sums = each.groupBy("row").agg(F.sum(F.col("c") * F.col("logp")).alias("s"), F.sum("c").alias("n"))
             sums = fixed.join(sums, "row", "left")
         return sums.select("__doc", F.when(F.col("n") > 0, F.exp(-F.col("s") / F.col("n"))).alias("perplexity"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sealedspark.llm.common import WORD, _powers, blocks, cut, drop, free_shuffles, maybe_broadcast, mix64, word_hashes
+from sealedspark.llm.common import WORD, _powers, blocks, cut, drop, free_shuffles, in_parts, maybe_broadcast, mix64, word_hashes
 
 # A repeated passage of so many words is always found (fixed value).
 PASSAGE = 50
@@ -142,7 +142,7 @@ def dedup(docs: DataFrame, words: int = 32) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), ident.alias("order"), F.xxhash64("text").alias("key"), "text")
     # repeated rows are one document
     src = rows.where("text IS NOT NULL").select(F.col("order").alias("id"), "key", "text")
-    all_ = cut(src.mapInArrow(_found(words), "hash long, id long, key long, span long"))  # first word and word after the last
+    all_ = cut(src.mapInArrow(in_parts(_found(words)), "hash long, id long, key long, span long"))  # first word and word after the last
     many = cut(all_.groupBy("hash").agg(F.count("*").alias("n"), F.min("id").alias("id0")).where("n > 1").select("hash", "id0"))
     free_shuffles(docs.sparkSession)
     held = all_.join(many, "hash").withColumn("pos", F.shiftright("span", 32)).withColumn("end", F.col("span").bitwiseAND(F.lit(2**32 - 1)))
@@ -165,4 +165,4 @@ def dedup(docs: DataFrame, words: int = 32) -> DataFrame:
     hit = rows.join(keys, on, "left_semi").join(gone, on).select("id", "text", "at")  # only texts that lose words are shuffled
     rest = rows.join(keys, on, "left_anti").select("id", "text", F.lit(None).cast(gone.schema["at"].dataType).alias("at"))
     free_shuffles(docs.sparkSession)
-    return hit.union(rest).mapInArrow(_rebuild, "doc_id long, n_sentences long, n_removed long, text string")
+    return hit.union(rest).mapInArrow(in_parts(_rebuild), "doc_id long, n_sentences long, n_removed long, text string")
