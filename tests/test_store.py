@@ -64,13 +64,82 @@ def test_store(spark, tmp_path):
     assert got["d001"] == "new" and "d002" not in got and store.list_ids(spark, path).count() == 5
     with pytest.raises(KeyError):
         store.delete(spark.createDataFrame([("nope",)], "chunk_id string"), path)
-    raw = spark.read.parquet(path).select("sealed").collect()
+    raw = spark.read.parquet(f"{path}/chunks").select("sealed").collect()
     assert not any(b"role:nurse" in bytes(r.sealed or b"") for r in raw)
     assert "000102030405" not in store.encrypt(c, KEY)._jdf.queryExecution().toString().replace(" ", "").replace(",", "")
     with pytest.raises(ValueError):
         store.encrypt(c, b"short")
 
 
+def chunks_of(spark, rows):
+    return spark.createDataFrame([(i, bytearray(t.encode()), t, {"n": t}) for i, t in rows], "chunk_id string, blob binary, tag string, meta map<string,string>")
+
+
+def tags(df):
+    return {r.chunk_id: r.tag for r in df.collect()}
+
+
+def test_a_put_is_there_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "s")
+    assert store.put(chunks_of(spark, [("a", "a1"), ("b", "b1")]), KEY, path) == 1
+    for bad in ([("c", "c1"), ("c", "c2")], [(None, "x")]):
+        with pytest.raises(ValueError):
+            store.put(chunks_of(spark, bad), KEY, path)
+
+    def die(*_):
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "_commit", die)
+        with pytest.raises(RuntimeError):
+            store.put(chunks_of(spark, [("a", "lost"), ("d", "lost")]), KEY, path)
+    assert tags(store.get(spark, KEY, path)) == {"a": "a1", "b": "b1"}
+    assert store.put(chunks_of(spark, [("a", "a2"), ("e", "e1")]), KEY, path) == 3  # the number of the lost put is not used again
+    assert tags(store.get(spark, KEY, path)) == {"a": "a2", "b": "b1", "e": "e1"}
+    monkeypatch.setattr(store, "_last_put", lambda *_: 0)
+    with pytest.raises(Exception, match="already exists"):
+        store.put(chunks_of(spark, [("a", "second writer")]), KEY, path)
+    assert tags(store.get(spark, KEY, path))["a"] == "a2"
+
+
+def test_deleted_chunks_come_back_only_by_a_put(spark, tmp_path):
+    path = str(tmp_path / "s")
+    store.put(chunks_of(spark, [("a", "a1"), ("b", "b1")]), KEY, path)
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "chunk_id string")
+    store.delete(ids("a", "a"), path)
+    assert tags(store.get(spark, KEY, path)) == {"b": "b1"} == tags(store.get(spark, KEY, path, ["a", "b", "zz"]))
+    with pytest.raises(KeyError):
+        store.delete(ids("a"), path)
+    store.put(chunks_of(spark, [("a", "a3")]), KEY, path)
+    assert tags(store.get(spark, KEY, path, ["a"])) == {"a": "a3"}
+    with pytest.raises(FileNotFoundError):
+        store.list_ids(spark, str(tmp_path / "none"))
+
+
+def test_some_ids_read_their_buckets_only(spark, tmp_path):
+    path = str(tmp_path / "s")
+    store.put(chunks_of(spark, [(f"c{i}", f"t{i}") for i in range(400)]), KEY, path, buckets=64)
+    store.put(chunks_of(spark, [("c7", "new")]), KEY, path, buckets=8)
+    some = store.get(spark, KEY, path, ["c7", "c9", "c9"])
+    assert tags(some) == {"c7": "new", "c9": "t9"}
+    plan = some._jdf.queryExecution().executedPlan()
+    files = [line for line in plan.toString().split("\n") if "FileScan" in line and "sealed" in line]
+    assert files and all("bucket" in f.split("PartitionFilters:")[1].split("PushedFilters")[0] for f in files)
+    read = spark.read.option("basePath", f"{path}/chunks").parquet(f"{path}/chunks").select("put", "bucket").distinct().count()
+    assert read > 40  # of which the two ids need two
+
+
+def test_compaction(spark, tmp_path):
+    old, new = str(tmp_path / "s"), str(tmp_path / "t")
+    for i in range(3):
+        store.put(chunks_of(spark, [("a", f"a{i}"), (f"b{i}", "b")]), KEY, old)
+    store.delete(spark.createDataFrame([("b0",)], "chunk_id string"), old)
+    want = {"a": "a2", "b1": "b", "b2": "b"}
+    assert store.compact(spark, old, new) == 4 and tags(store.get(spark, KEY, new)) == want == tags(store.get(spark, KEY, old))
+    assert spark.read.parquet(f"{new}/chunks").count() == 3
+    assert store.put(chunks_of(spark, [("b1", "c")]), KEY, new) == 5 and tags(store.get(spark, KEY, new)) == want | {"b1": "c"}
+
+
 def test_resolved_spans(spark):
     rows = [("One  two.\n\nThree four.  One two.", ["One two.", "One two."]), ("a b", ["b", "a"]), ("x y", []), ("", ["q"]), ("aa a", ["a"]), ("x", ["", " x "])]
     df = spark.createDataFrame([(t, [(0, 0, s) for s in x]) for t, x in rows], "t string, s array<struct<start:long,end:long,text:string>>")
