@@ -82,7 +82,7 @@ def merge_piece(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class Codec:
     """Encodes texts by a rank file and a pattern and decodes ids; keeps up to `most` encoded pieces."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 200_000):
         self.ranks, self.most = ranks, most
         self.find = regex.compile(pattern).findall
         self.token = [b""] * (max(ranks.values(), default=-1) + 1)

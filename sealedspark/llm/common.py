@@ -7,6 +7,7 @@ a lost executor costs at most the tasks it was running. Only a local master may
 from __future__ import annotations
 
 import atexit
+import ctypes
 import hashlib
 import re
 import tempfile
@@ -78,14 +79,26 @@ def in_parts(run, column: str = "text", most: int = 1 << 20):
 
     A batch of Spark's has a number of rows, however long these are. What a task makes of it (Python strings, joined
     bytes, hashes) is bounded by the part, or by the longest text. `column` may name a field of a struct: doc.text.
+    Arrow's pool keeps what it once took; it is given back when a task ends, since workers serve many.
     """
 
     def go(batches):
-        return run(part for batch in batches for part in _parts(batch, column, most))
+        try:
+            yield from run(part for batch in batches for part in _parts(batch, column, most))
+        finally:
+            pa.default_memory_pool().release_unused()
+            _give_back()
 
     return go
 
 
+def _give_back() -> None:
+    """Let the C library return freed memory of the finished task to the system, where it knows how to."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def _parts(batch: pa.RecordBatch, column: str, most: int):
     head, _, field = column.partition(".")
     texts = batch.column(head)
