@@ -257,6 +257,56 @@ def test_index_and_ask(spark, tmp_path):
     assert ingest.ask(spark, scheme, KEY, path, "cardio", ["role:visitor"], 5).count() == 0
 
 
+def run(query):
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+
+
+def test_a_killed_standing_query_leaves_no_double_rows(spark, tmp_path):
+    kind = "query_id long, attrs array<string>, vec array<double>"
+    docs = spark.createDataFrame([(i, [float(i), 1.0], "role:nurse" if i % 2 else "role:doctor") for i in range(20)], "doc_id long, vec array<double>, policy string")
+    asks = [(i, ["role:nurse"] if i % 3 else ["role:x"], [1.0, float(i)]) for i in range(12)]
+    folder, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    rank = lambda batch: retrieval.rank_quantized(docs, batch, ["role:nurse", "role:doctor"], 2)
+    for part in (asks[:5], asks[5:]):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(folder)
+
+    def dies_after_writing(batch):
+        rank(batch).write.mode("overwrite").parquet(f"{out}/batch=1")
+        raise RuntimeError("killed")
+
+    seen = []
+    with pytest.raises(Exception, match="killed"):
+        run(streaming.answer_requests(stream, lambda b: dies_after_writing(b) if seen else seen.append(1) or rank(b), out, ck))
+    run(streaming.answer_requests(stream, rank, out, ck))
+    got = sorted(map(tuple, spark.read.parquet(out).select("query_id", "doc_id", "score", "rank").collect()))
+    assert got == sorted(map(tuple, rank(spark.createDataFrame(asks, kind)).collect())) and len(got) == 16
+
+
+def test_beliefs_as_state(spark, tmp_path):
+    """Over three batches equal to the batch function; a subject that was silent too long begins anew."""
+    kind = "subject long, ms long, tie long, reply string"
+    rows = [(i % 4, 1000 + i // 3, i, ["a", "b", "", None, "a", "c"][i % 6]) for i in range(40)]
+    folder, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    go = lambda ttl, to, c: run(streaming.write_batches(streaming.beliefs(spark.readStream.schema(kind).parquet(folder), ["a", "b", "c"], {"b": 2.0}, ttl_ms=ttl), to, c))
+    for part in (rows[:15], rows[15:30], rows[30:]):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(folder)
+        go(streaming.DAY, out, ck)
+    got = {(r.subject, r.round, r.level): r.posterior for r in spark.read.parquet(out).collect()}
+    evidence = spark.createDataFrame(rows, kind).withColumn("round", F.expr("row_number() OVER (PARTITION BY subject ORDER BY ms, tie)"))
+    want = {(r.subject, r.round, r.level): r.posterior for r in inference.posterior(evidence, ["a", "b", "c"], {"b": 2.0}).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    spark.createDataFrame([(0, 5000, 99, "a"), (1, 1060, 99, "a")], kind).coalesce(1).write.mode("append").parquet(folder)
+    go(1000, str(tmp_path / "short"), str(tmp_path / "ck2"))
+    last = {(r.subject, r.round) for r in spark.read.parquet(str(tmp_path / "short")).where("round > 10 OR posterior IS NULL OR subject = 0").collect()}
+    assert (0, 1) in last and (1, 11) in last and (0, 11) not in last  # 0 was silent too long and begins again, 1 goes on
+    with pytest.raises(ValueError):
+        streaming.beliefs(spark.createDataFrame([], kind), ["a"])
+
+
 def test_streamed_redaction_is_once_only(spark, tmp_path):
     kind = "message_id long, arrival long, text string, spans array<struct<start:long,end:long>>"
     first = [(1, 1, "abcdef", [(0, 9)]), (1, 2, "abcdef", [(0, 2)]), (2, 1, "xyz", [(1, 2)])]
