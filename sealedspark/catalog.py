@@ -27,9 +27,13 @@ def cosine_topk(spark, sf_dir):
 
 
 def rank_comparison(spark, sf_dir):
-    """Cosine against quantised ranking, both authorised, measured against the unfiltered one."""
+    """Dialogue and plain store against proofs and sealed store: hits of both rankings measured against the unfiltered
+    one, rounds until a level is granted over all users, and the share of damaged documents that is found."""
     found = {"baseline": retrieval.rank_plain(vector_docs(spark, sf_dir), requests(spark, sf_dir), POLICIES, 5), "improved": authorized_topk(spark, sf_dir)}
-    table = retrieval.compare(found, unfiltered_topk(spark, sf_dir), {"baseline": 4, "improved": 1}, {"baseline": 0.0, "improved": 1.0})
+    rounds = catalog_responses.rounds_until_grant(spark, sf_dir).agg(F.avg("rounds")).first()[0]
+    rates = catalog_store.detection_rates(spark, sf_dir).first()
+    # a proof is one message, checked once
+    table = retrieval.compare(found, unfiltered_topk(spark, sf_dir), {"baseline": rounds, "improved": 1}, rates.asDict())
     return table.withColumn("value", F.round("value", 6))
 
 
@@ -105,8 +109,10 @@ QUERIES: dict = {
 ORACLES: dict = {
     "authorized_topk": _AUTH,
     "cosine_topk": _COS,
-    "rank_comparison": f"""SELECT * FROM (VALUES ('baseline', 'verification_rounds', 4.0::DOUBLE), ('baseline', 'tamper_detection_rate', 0.0),
- ('improved', 'verification_rounds', 1.0), ('improved', 'tamper_detection_rate', 1.0)) t(way, metric, value)
+    "rank_comparison": f"""SELECT 'baseline' AS way, 'verification_rounds' AS metric, round(avg(rounds), 6) AS value FROM ({catalog_responses.ORACLES["rounds_until_grant"]})
+UNION ALL SELECT 'improved', 'verification_rounds', 1.0
+UNION ALL SELECT 'baseline', 'tamper_detection_rate', round(baseline, 6) FROM ({catalog_store.DETECTED})
+UNION ALL SELECT 'improved', 'tamper_detection_rate', improved FROM ({catalog_store.DETECTED})
 UNION ALL SELECT 'baseline', 'authorized_hit_rate', round(({_RATE.format(free=_FREE, way=_COS)}), 6)
 UNION ALL SELECT 'improved', 'authorized_hit_rate', round(({_RATE.format(free=_FREE, way=_AUTH)}), 6)""",
     "gated_documents": "SELECT doc_id, c::BIGINT AS caller_id FROM documents JOIN (VALUES ('en', 0), ('en', 1), ('de', 1), ('fr', 3)) ok(l, c) ON lang = l",

@@ -29,6 +29,21 @@ def _tampered(spark, sf_dir):
     return bad.unionByName(put_in), manifest
 
 
+def _damaged(spark, sf_dir):
+    """The ids of all that `_tampered` has damaged, as it was done: what a perfect detector would report."""
+    d = read(spark, sf_dir, "documents").select("doc_id")
+    hit = " OR ".join(f"doc_id % {n} = {r}" for n, r in ((23, 5), (13, 2), (17, 3), (19, 4), (31, 7), (37, 8), (41, 9), (29, 6)))
+    return d.where(hit).union(d.where("doc_id % 43 = 10").select(F.col("doc_id") + 10_000_000_000))
+
+
+def detection_rates(spark, sf_dir):
+    """The share of damaged documents that a store without a key notices (absent or unreadable ones), and with MACs."""
+    found = integrity.verify(*_tampered(spark, sf_dir), TEST_KEY)
+    both = _damaged(spark, sf_dir).join(found, "doc_id", "left")
+    plain = F.col("reason").isin("doc_missing", "store_unreadable")
+    return both.agg(F.avg(F.coalesce(plain, F.lit(False)).cast("double")).alias("baseline"), F.avg(F.col("reason").isNotNull().cast("double")).alias("improved"))
+
+
 def mac_tags(spark, sf_dir):
     return integrity.seal(_store(spark, sf_dir), TEST_KEY, integrity.mac_sql).select("doc_id", "mac")
 
@@ -90,11 +105,14 @@ _MSG = " || ".join(map(PART, ("doc_id::VARCHAR", "('T' || md5(text))", "source",
 _REASON = """CASE WHEN doc_id % 23 = 5 THEN 'doc_missing' WHEN doc_id % 13 = 2 THEN 'store_unreadable' WHEN doc_id % 19 = 4 THEN 'missing_mac'
  WHEN doc_id % 17 = 3 OR doc_id % 31 = 7 OR doc_id % 37 = 8 OR doc_id % 41 = 9 THEN 'mac_mismatch' WHEN doc_id % 29 = 6 THEN 'version_rollback' END"""
 _PUT_IN = "SELECT doc_id + 10000000000 AS doc_id, CASE WHEN doc_id % 2 = 0 THEN 'mac_mismatch' ELSE 'missing_mac' END AS reason FROM documents WHERE doc_id % 43 = 10"
+DETECTED = f"""SELECT count(*) FILTER (reason IN ('doc_missing', 'store_unreadable')) / count(*) AS baseline, 1.0::DOUBLE AS improved
+FROM (SELECT {_REASON} AS reason FROM documents UNION ALL SELECT reason FROM ({_PUT_IN})) WHERE reason IS NOT NULL"""
 _TAMPERED = f"SELECT * FROM (SELECT doc_id, {_REASON} AS reason FROM documents UNION ALL {_PUT_IN}) WHERE reason IS NOT NULL"
 
 QUERIES = {f.__name__: f for f in (
-    mac_tags, tamper_report, incident_log, verified_ids, missing_docs, injected_docs, grown_manifest, stale_docs, store_roundtrip, latest_per_user)}
+    detection_rates, mac_tags, tamper_report, incident_log, verified_ids, missing_docs, injected_docs, grown_manifest, stale_docs, store_roundtrip, latest_per_user)}
 ORACLES = {
+    "detection_rates": DETECTED,
     "mac_tags": f"SELECT doc_id, {HMAC(_MSG)} AS mac FROM documents",
     "tamper_report": _TAMPERED,
     "incident_log": "SELECT reason, " + "CASE reason " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in integrity.NOTES.items()) + f" END AS note, count(*) AS n, count(*) AS dated FROM ({_TAMPERED}) GROUP BY 1, 2",

@@ -1,7 +1,8 @@
 """Keyed tags over stored documents, the manifest of expected ids, and reports of what was tampered with.
 
-`mac_sql` builds HMAC-SHA256 from Catalyst functions, which shows the key in plans: for tests. `mac_udf` keeps it
-in a broadcast closure. Tags are compared by Catalyst, which does not take constant time: a batch job answers nobody.
+HMAC-SHA256 is built from Catalyst functions. The key's two pads come as columns of a broadcast row, so that no plan shows
+them and no Python worker runs; `mac_sql` writes them into the plan and is for tests, `mac_udf` is a Python function for
+single columns. Tags are compared by Catalyst, which does not take constant time: a batch job answers nobody.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import os
 import secrets
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -78,11 +80,17 @@ def load_key(path: str, key: bytes | None = None) -> bytes:
         return _check(f.read())
 
 
-def mac_sql(key: bytes, message: Column) -> Column:
+def _pads(key: bytes) -> tuple[bytes, bytes]:
     padded = _check(key) + bytes(32)
-    inner, outer = (bytes(b ^ x for b in padded) for x in (0x36, 0x5C))
-    inside = F.unhex(F.sha2(F.concat(F.lit(inner), message.cast("binary")), 256))
-    return F.sha2(F.concat(F.lit(outer), inside), 256)
+    return tuple(bytes(b ^ x for b in padded) for x in (0x36, 0x5C))
+
+
+def _hmac(inner: Column, outer: Column, message: Column) -> Column:
+    return F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, message.cast("binary")), 256))), 256)
+
+
+def mac_sql(key: bytes, message: Column) -> Column:
+    return _hmac(*map(F.lit, _pads(key)), message)
 
 
 def mac_udf(key: bytes, message: Column) -> Column:
@@ -95,18 +103,26 @@ def mac_udf(key: bytes, message: Column) -> Column:
     return run(message)
 
 
-def seal(store: DataFrame, key: bytes, mac=mac_udf) -> DataFrame:
+def _with_mac(store: DataFrame, key: bytes, name: str, mac=None) -> DataFrame:
+    if mac:
+        return store.withColumn(name, mac(key, canonical(store)))
+    row = store.sparkSession.createDataFrame([tuple(map(bytearray, _pads(key)))], "__inner binary, __outer binary")
+    both = store.crossJoin(F.broadcast(row))  # one row
+    return both.withColumn(name, _hmac(F.col("__inner"), F.col("__outer"), canonical(store))).drop("__inner", "__outer")
+
+
+def seal(store: DataFrame, key: bytes, mac=None) -> DataFrame:
     """`store` (doc_id, ct, tag, version, and meta if there is any) with its mac."""
-    return store.withColumn("mac", mac(key, canonical(store)))
+    return _with_mac(store, key, "mac", mac)
 
 
-def check(store: DataFrame, manifest: DataFrame, key: bytes, mac=mac_udf) -> DataFrame:
+def check(store: DataFrame, manifest: DataFrame, key: bytes, mac=None) -> DataFrame:
     """Every id of a store or its manifest (doc_id, version) with a reason, null if nothing is wrong.
 
     The reasons are those of NOTES, in their order. Ids that were never registered are not missed; rows that
     were put in without a right mac are reported as any other.
     """
-    s = store.withColumn("want", mac(key, canonical(store))).withColumn("here", F.lit(True))
+    s = _with_mac(store, key, "want", mac).withColumn("here", F.lit(True))
     both = s.join(manifest.select("doc_id", F.col("version").alias("registered")), "doc_id", "full_outer")
     reason = (
         F.when(F.col("here").isNull(), "doc_missing").when(F.col("ct").isNull(), "store_unreadable")
@@ -116,14 +132,14 @@ def check(store: DataFrame, manifest: DataFrame, key: bytes, mac=mac_udf) -> Dat
     return both.select("doc_id", reason.alias("reason"))
 
 
-def verify(store: DataFrame, manifest: DataFrame, key: bytes, mac=mac_udf) -> DataFrame:
+def verify(store: DataFrame, manifest: DataFrame, key: bytes, mac=None) -> DataFrame:
     """The incidents of a store against its manifest: doc_id, reason."""
     return check(store, manifest, key, mac).where("reason IS NOT NULL")
 
 
-def verified(store: DataFrame, key: bytes, mac=mac_udf) -> DataFrame:
+def verified(store: DataFrame, key: bytes, mac=None) -> DataFrame:
     """The rows of a store whose mac is right."""
-    return store.withColumn("want", mac(key, canonical(store))).where("ct IS NOT NULL AND version IS NOT NULL AND mac = want").drop("want")
+    return _with_mac(store, key, "want", mac).where("ct IS NOT NULL AND version IS NOT NULL AND mac = want").drop("want")
 
 
 def incidents(found: DataFrame) -> DataFrame:
@@ -147,13 +163,30 @@ def registered(manifest: DataFrame, put: DataFrame) -> DataFrame:
     return manifest.select("doc_id", "version").union(put.select("doc_id", "version")).groupBy("doc_id").agg(F.max("version").alias("version"))
 
 
+def _saves(spark: SparkSession, path: str, id_type: str) -> DataFrame | None:
+    try:
+        found = spark.read.json(path, schema=f"doc_id {id_type}, version bigint")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return found if "save" in found.columns else found.withColumn("save", F.lit(0))
+
+
 def save_manifest(manifest: DataFrame, path: str) -> None:
-    manifest.select("doc_id", "version").write.mode("overwrite").json(path)
+    """Save a manifest below save=N beside the earlier ones, of which none is touched: a save that dies loses nothing."""
+    before = _saves(manifest.sparkSession, path, "string")
+    number = (before.agg(F.max("save")).first()[0] or 0) if before is not None else 0
+    manifest.select("doc_id", "version").write.mode("overwrite").json(f"{path}/save={number + 1}")  # what a dead save left
 
 
 def load_manifest(spark: SparkSession, path: str, id_type: str = "bigint") -> DataFrame:
-    """A manifest written by `save_manifest`; one whose rows lack an id or a version is an error."""
-    rows = spark.read.json(path, schema=f"doc_id {id_type}, version bigint")
+    """The last manifest saved at a path, or a plain JSON file; rows that lack an id or a version are an error."""
+    found = _saves(spark, path, id_type)
+    if found is None:
+        raise FileNotFoundError(path)
+    last = found.agg(F.max("save")).first()[0]
+    rows = found.where(F.col("save") == F.lit(last)).drop("save")
     if not rows.where("doc_id IS NULL OR version IS NULL").isEmpty():
         raise ValueError(f"{path}: malformed manifest")
     return rows

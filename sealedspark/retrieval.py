@@ -221,8 +221,8 @@ def hit_rate(found: DataFrame, truth: DataFrame, queries: DataFrame | None = Non
     return both.groupBy("query_id").agg(rate.cast("double").alias("hit_rate"))
 
 
-def compare(found: dict[str, DataFrame], truth: DataFrame, rounds: dict[str, int], tampers: dict[str, float]) -> DataFrame:
-    """One row per way of retrieval and metric: way, metric, value.
+def compare(found: dict[str, DataFrame], truth: DataFrame, rounds: dict[str, float], tampers: dict[str, float], provenance: bool = False) -> DataFrame:
+    """One row per way of retrieval and metric: way, metric, value, and with `provenance` measured_on and environment.
 
     `found` maps a way (`baseline`, `improved`) to its ranking, `truth` is the unfiltered ranking and must be given;
     `rounds` and `tampers` are each way's verification rounds and share of detected tampering.
@@ -234,7 +234,9 @@ def compare(found: dict[str, DataFrame], truth: DataFrame, rounds: dict[str, int
         out.append(hit_rate(df, truth).agg(F.avg("hit_rate").alias("value")).select(F.lit(way).alias("way"), F.lit("authorized_hit_rate").alias("metric"), "value"))
         fixed = [(way, "verification_rounds", float(rounds[way])), (way, "tamper_detection_rate", float(tampers[way]))]
         out.append(truth.sparkSession.createDataFrame(fixed, "way string, metric string, value double"))
-    return reduce(DataFrame.union, out)
+    table = reduce(DataFrame.union, out)
+    where = f"Spark {truth.sparkSession.version}, {truth.sparkSession.sparkContext.master}"
+    return table.withColumns({"measured_on": F.current_date(), "environment": F.lit(where)}) if provenance else table
 
 
 def median_ms(call, n: int = 7) -> float:

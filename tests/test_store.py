@@ -45,6 +45,13 @@ def test_keys_and_manifests(spark, tmp_path):
     integrity.save_manifest(grown, str(tmp_path / "m"))
     got = integrity.load_manifest(spark, str(tmp_path / "m"), "string")
     assert {(r.doc_id, r.version) for r in got.collect()} == {("a", 1), ("b", 3), ("c", 1)}
+    (tmp_path / "m" / "save=2" / "_temporary").mkdir(parents=True)  # a save that died
+    assert integrity.load_manifest(spark, str(tmp_path / "m"), "string").count() == 3
+    integrity.save_manifest(m, str(tmp_path / "k"))
+    integrity.save_manifest(grown, str(tmp_path / "k"))
+    assert integrity.load_manifest(spark, str(tmp_path / "k"), "string").count() == 3
+    with pytest.raises(FileNotFoundError):
+        integrity.load_manifest(spark, str(tmp_path / "none"))
     (tmp_path / "bad.json").write_text(json.dumps({"ids": []}))
     with pytest.raises(ValueError):
         integrity.load_manifest(spark, str(tmp_path / "bad.json"))
@@ -190,6 +197,9 @@ def test_hit_rates(spark):
         retrieval.hit_rate(pairs([(1, 2)]), truth, pairs([(3, 0)])).collect()
     with pytest.raises(ValueError):
         retrieval.compare({}, None, {}, {})
+    told = retrieval.compare({"a": pairs([(1, 2), (2, 5)])}, truth, {"a": 2.5}, {"a": 1.0}, provenance=True).collect()
+    assert {(r.way, r.metric, r.value) for r in told} == {("a", "authorized_hit_rate", 0.75), ("a", "verification_rounds", 2.5), ("a", "tamper_detection_rate", 1.0)}
+    assert all(r.measured_on and r.environment.startswith("Spark ") for r in told)
     assert retrieval.median_ms(lambda: None) >= 0
 
 
