@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sealedspark import catalog_policies, catalog_responses, catalog_store, catalog_streams, policy, retrieval, vectors
+from sealedspark import catalog_policies, catalog_responses, catalog_sql, catalog_store, catalog_streams, policy, retrieval, vectors
 from sealedspark.catalog_tables import CALLERS, HOLDS, POLICIES, read, requests, vector_docs
 from sealedspark.layout import pin, spread
 
@@ -138,8 +138,8 @@ b AS (SELECT doc_id, [('0x' || substr(md5(word), 1, 8))::BIGINT, ('0x' || substr
 SELECT doc_id, (((p[1] % 768 * 256 + p[2]) % 768 * 256 + p[3]) % 768 * 256 + p[4]) % 768 AS bucket, count(*) AS n FROM b GROUP BY 1, 2""",
 }
 _ALL = _AUTH.rpartition("\nSELECT")[0]
-QUERIES |= catalog_policies.QUERIES | catalog_responses.QUERIES | catalog_store.QUERIES | catalog_streams.QUERIES
-ORACLES |= catalog_policies.ORACLES | catalog_responses.ORACLES | catalog_store.ORACLES | {
+QUERIES |= catalog_policies.QUERIES | catalog_responses.QUERIES | catalog_store.QUERIES | catalog_sql.QUERIES | catalog_streams.QUERIES
+ORACLES |= catalog_policies.ORACLES | catalog_responses.ORACLES | catalog_store.ORACLES | catalog_sql.ORACLES | {
     "sealed_topk": _AUTH,
     "streamed_answers": _AUTH,
     "streamed_beliefs": catalog_responses.ORACLES["posterior_by_round"],
