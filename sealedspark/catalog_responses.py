@@ -113,6 +113,13 @@ def dp_order_sums(spark, sf_dir):
     return out.select("o_orderpriority", *(F.round(c, 2).alias(c) for c in ("noisy_n", "noisy_sum", "noisy_avg")))
 
 
+def dp_rollup(spark, sf_dir):
+    """Noisy order figures over all, by priority and by priority and status, where every group is the sum of its parts."""
+    u = lambda c, i: (F.conv(F.substring(F.md5(F.concat(c, F.lit(str(i))).cast("binary")), 1, 6), 16, 10).cast("double") + 0.5) / 16777216.0
+    out = privacy.noisy_rollup(read(spark, sf_dir, "orders"), ["o_orderpriority", "o_orderstatus"], "o_totalprice", 0.0, 100000.0, 3.0, u)
+    return out.select("level", "o_orderpriority", "o_orderstatus", *(F.round(c, 2).alias(c) for c in ("noisy_n", "noisy_sum")))
+
+
 def adaptive_eps(spark, sf_dir):
     d = read(spark, sf_dir, "documents")
     return d.select("doc_id", F.round(privacy.adaptive_eps(F.length("text"), 0.1, 1.0, 0.5, 4096), 12).alias("eps"))
@@ -179,7 +186,7 @@ p AS (SELECT subject, round, level, z / sum(z) OVER (PARTITION BY subject, round
 
 QUERIES = {f.__name__: f for f in (
     sealed_topk, sealed_scores, sentences, grounded_sentences, grounded_fraction, ungrounded_spans, resolved_spans, redacted_text, redaction_pass,
-    redaction_audit, posterior_by_round, belief_top, rounds_until_grant, dp_order_sums, adaptive_eps, proof_checks, attributes_proved, caller_parse, excerpt)}
+    redaction_audit, posterior_by_round, belief_top, rounds_until_grant, dp_order_sums, dp_rollup, adaptive_eps, proof_checks, attributes_proved, caller_parse, excerpt)}
 PLACED = f"""SELECT g.id, g.pos, g.grounded, lead_ws + coalesce(sum(length(g.sentence) + gap) OVER w, 0) AS start, g.sentence, gap FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS nth FROM ({_GROUND})) g
 JOIN (SELECT conv_id * 1000 + turn AS id, length(text) - length(regexp_replace(text, '^\\s+', '')) AS lead_ws,
   list_transform(regexp_extract_all(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '[.!?]\\s+'), lambda x: length(x) - 1) AS gaps FROM conversations WHERE role = 'assistant') t USING (id)
@@ -215,6 +222,21 @@ u AS (SELECT *, list_transform(['0', '1'], lambda i: (('0x' || substr(md5(o_orde
 l AS (SELECT *, list_transform(u, lambda x: CASE WHEN x >= 0.5 THEN -2 * ln(2 * (1 - x)) ELSE 2 * ln(2 * x) END) AS l FROM u),
 r AS (SELECT o_orderpriority, n + l[1] AS noisy_n, t + 100000 * l[2] AS noisy_sum FROM l)
 SELECT o_orderpriority, round(noisy_n, 2) AS noisy_n, round(noisy_sum, 2) AS noisy_sum, round(noisy_sum / greatest(noisy_n, 1), 2) AS noisy_avg FROM r""",
+    # constrained least squares over two levels of children, written out: k children of variance 1 below a node
+    "dp_rollup": """WITH s AS (SELECT o_orderpriority AS p, o_orderstatus AS o, count(*) AS n, sum(greatest(least(o_totalprice, 100000), 0)) AS t FROM orders GROUP BY 1, 2),
+g AS (SELECT 0 AS l, NULL AS p, NULL AS o, sum(n) AS n, sum(t) AS t, '[]' AS path FROM s UNION ALL SELECT 1, p, NULL, sum(n), sum(t), '["' || p || '"]' FROM s GROUP BY p
+  UNION ALL SELECT 2, p, o, n, t, '["' || p || '","' || o || '"]' FROM s),
+m AS (SELECT l, p, o, unnest([0, 1]) AS k, unnest([n::DOUBLE, t]) AS x, unnest([1.0::DOUBLE, 100000.0]) AS sens, path FROM g),
+u AS (SELECT *, (('0x' || substr(md5(path || k), 1, 6))::BIGINT + 0.5::DOUBLE) / 16777216 AS u FROM m),
+y AS (SELECT l, p, o, k, x + sens / 0.5::DOUBLE * CASE WHEN u >= 0.5 THEN -ln(2 * (1 - u)) ELSE ln(2 * u) END AS y FROM u),
+b AS (SELECT p, k, sum(y) AS kz, count(*) AS c FROM y WHERE l = 2 GROUP BY 1, 2),
+z1 AS (SELECT p, k, c / (c + 1) AS v, c / (c + 1) * y + kz / (c + 1) AS z, kz, c FROM y JOIN b USING (p, k) WHERE l = 1),
+r AS (SELECT k, sum(z) AS kz, sum(v) AS kv FROM z1 GROUP BY 1),
+h0 AS (SELECT k, kv / (kv + 1) * y + kz / (kv + 1) AS h, kz, kv FROM y JOIN r USING (k) WHERE l = 0),
+h1 AS (SELECT p, k, z + (h0.h - h0.kz) * v / h0.kv AS h, z1.kz, c FROM z1 JOIN h0 USING (k)),
+h2 AS (SELECT p, o, k, y + (h - kz) / c AS h FROM y JOIN h1 USING (p, k) WHERE l = 2),
+a AS (SELECT 0 AS level, NULL AS p, NULL AS o, k, h FROM h0 UNION ALL SELECT 1, p, NULL, k, h FROM h1 UNION ALL SELECT 2, p, o, k, h FROM h2)
+SELECT level, p AS o_orderpriority, o AS o_orderstatus, round(max(h) FILTER (k = 0), 2) AS noisy_n, round(max(h) FILTER (k = 1), 2) AS noisy_sum FROM a GROUP BY ALL""",
     "adaptive_eps": "SELECT doc_id, round(CASE WHEN coalesce(length(text), 0) > 0 THEN 0.1::DOUBLE + 0.9::DOUBLE * least(1.0::DOUBLE, length(text) / 4096.0::DOUBLE) ELSE 0.5 END, 12) AS eps FROM documents",
     "proof_checks": _PROVED,
     "attributes_proved": f"SELECT doc_id, coalesce(bool_and(ok), true) AS proved FROM documents LEFT JOIN ({_PROVED}) USING (doc_id) GROUP BY 1",

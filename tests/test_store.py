@@ -239,6 +239,33 @@ def test_noise_hides_exact_figures(spark):
         privacy.fixed_eps(0)
 
 
+def test_rollups_are_sums_of_their_parts(spark):
+    """Least squares with equal weights: checked against the normal equations; null is a group."""
+    import numpy as np
+
+    rows = [("a", "x", 1.0), ("a", "y", 2.0), ("a", "y", None), ("b", "x", 99.0), (None, "z", 3.0), ("c", None, -5.0)]
+    df = spark.createDataFrame(rows, "p string, o string, v double")
+    draw = lambda c, i: (F.pmod(F.xxhash64(c, F.lit(i)), F.lit(1000)) + 0.5) / 1000.0
+    got = privacy.noisy_rollup(df, ["p", "o"], "v", 0.0, 10.0, 6.0, draw).collect()
+    assert sorted(r.level for r in got) == [0, 1, 1, 1, 1, 2, 2, 2, 2, 2]
+    raw, quiet = ({(r.level, r.p, r.o): r for r in privacy.noisy_rollup(df, ["p", "o"], "v", 0.0, 10.0, e, d).collect()} for e, d in ((6.0, draw), (6.0, lambda c, i: F.lit(0.5))))
+    assert {k: r.noisy_sum for k, r in quiet.items()}[0, None, None] == pytest.approx(16.0) and quiet[1, "a", None].noisy_n == pytest.approx(2.0)
+    leaves = [k for k in raw if k[0] == 2]
+    for name, size in (("noisy_n", 1.0), ("noisy_sum", 10.0)):
+        value = {k: getattr(r, name) for k, r in raw.items()}
+        assert value[0, None, None] == pytest.approx(sum(value[k] for k in raw if k[0] == 1)) == pytest.approx(sum(value[k] for k in leaves))
+        nodes, own = list(raw), []
+        paths = {k: json.dumps(list(k[1 : 1 + k[0]]), separators=(",", ":")) for k in nodes}
+        us = {r.c: r.u for r in spark.createDataFrame([(x,) for x in paths.values()], "c string").select("c", draw(F.col("c"), int(size > 1)).alias("u")).collect()}
+        for k in nodes:
+            u = us[paths[k]]
+            noise = -size * np.log(2 * (1 - u)) if u >= 0.5 else size * np.log(2 * u)
+            own.append(getattr(quiet[k], name) + noise)
+        below = np.array([[float(leaf[1 : 1 + k[0]] == k[1 : 1 + k[0]]) for leaf in leaves] for k in nodes])
+        best = np.linalg.lstsq(below, np.array(own), rcond=None)[0]
+        assert [value[k] for k in leaves] == pytest.approx(best.tolist())
+
+
 def test_callers():
     assert policy.caller("role:Doctor, dept: Cardio,GUEST") == ["role:doctor", "dept:cardio", "guest"]
     for bad in ("", " , "):
