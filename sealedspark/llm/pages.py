@@ -4,8 +4,8 @@ A page is parsed into lines (the text of its blocks), each of a kind: in the art
 is no part of one (navigation, footer, advert, comments ...), or open. The pages of a host are put in order of path
 and query; each is aligned by longest common subsequence, over all its lines, with the different page before or
 after it that shares more of the address, and shared lines are deleted. Lines of an article stay even if shared:
-articles quote the same passages. Of what is left, lines in elements named so are dropped, and open lines too if the
-page's article is longer than they are.
+articles quote the same passages. Of what is left, lines in elements named so are dropped, and open lines too if one
+of the page's articles is longer than they are.
 """
 
 from __future__ import annotations
@@ -44,31 +44,43 @@ MARKS = frozenset(
 # First parts that say that a name is about the whole page or a topic.
 ABOUT = frozenset("no has with without hide is category tag topic type layout page site post entry body".split())
 TOPICS = frozenset("no has with without hide category tag topic type layout".split())
+# Marks that a story may bear too; an element named so is text if it holds most of what is left of the page.
+WEAK = frozenset("ad ads advert sponsor sponsored promo promotion banner cookie cookies consent notice alert overlay signup login share sharing social related recommended trending widget copyright disclaimer skip".split())
+# Names of what an article stands in: an element that bears one beside a mark is none of the other parts.
+STORY = frozenset("story article content entry post recipe text prose essay chapter".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 # Kinds of lines.
-OPEN, ARTICLE, OTHER = 0, 1, 2
+OPEN, OTHER, ARTICLE, MOST = 0, 1, 2, 255  # articles beyond the 254th count as one
 
 
-def marked(names: str) -> bool:
-    """Whether a class or id names a part that is no article: `nav`, `site-footer`, `comment-list`, not `no-sidebar`."""
-    for name in names.lower().split():
-        parts = [p for p in re.split(r"[-_]+", name) if p]
-        if parts and parts[0] not in TOPICS and (parts[-1] in MARKS or (parts[0] in MARKS and parts[0] not in ABOUT)):
-            return True
-    return False
+def mark_of(names: str) -> str | None:
+    """The part that a class or id names an element as, if that is no article: `nav` of `nav`, `footer` of `site-footer`,
+    `comment` of `comment-list`; none of `no-sidebar`, `ad-free` or `cookies story`."""
+    tokens = [[p for p in re.split(r"[-_]+", name) if p] for name in names.lower().split()]
+    if any(len(t) == 1 and t[0] in STORY for t in tokens):
+        return None
+    for parts in tokens:
+        if parts and parts[0] not in TOPICS and parts[-1] != "free":
+            if parts[-1] in MARKS:
+                return parts[-1]
+            if parts[0] in MARKS and parts[0] not in ABOUT:
+                return parts[0]
+    return None
 
 
 class _Parser(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, tuple, bool]] = []  # tag, silent, suspects, in an article
-        self.lines: list[tuple[str, tuple, bool]] = []
+        self.stack: list[tuple[str, bool, tuple, int]] = []  # tag, silent, suspects, number of the article (0: none)
+        self.lines: list[tuple[str, tuple, int]] = []
+        self.articles = 0
         self.parts: list[str] = []
         self.size: list[int] = []  # text in each suspect
         self.holds: list[bool] = []  # whether a suspect holds an article
+        self.weak: list[bool] = []  # whether only a name that a story may bear makes it one
 
-    def top(self) -> tuple[str, bool, tuple, bool]:
-        return self.stack[-1] if self.stack else ("", False, (), False)
+    def top(self) -> tuple[str, bool, tuple, int]:
+        return self.stack[-1] if self.stack else ("", False, (), 0)
 
     def flush(self) -> None:
         if self.parts:
@@ -107,13 +119,18 @@ class _Parser(HTMLParser):
             for s in suspects:
                 self.holds[s] = True
         elif not silent and tag not in ("html", "body"):
-            by_name = marked(f"{a.get('class', '')} {a.get('id', '')}") or a.get("role", "").lower() in ROLES
-            if tag in ASIDE or (tag == "header" and not article) or by_name:
+            mark = mark_of(f"{a.get('class', '')} {a.get('id', '')}")
+            firm = tag in ASIDE or (tag == "header" and not article) or a.get("role", "").lower() in ROLES
+            if firm or mark:
                 suspects = (*suspects, len(self.size))
                 self.size.append(0)
                 self.holds.append(False)
+                self.weak.append(not firm and mark in WEAK)
         silent = silent or tag in SILENT or "hidden" in a or a.get("aria-hidden", "").lower() == "true"
-        self.stack.append((tag, silent, suspects, article or starts))
+        if starts and not article:
+            self.articles += 1
+            article = self.articles
+        self.stack.append((tag, silent, suspects, article))
 
     def handle_startendtag(self, tag, attrs):
         if tag in BLOCK:
@@ -139,10 +156,11 @@ def _whole(html: str) -> str:
 
 
 def lines(html: str | None) -> list[tuple[str, int]]:
-    """The visible lines of a page, each with its kind.
+    """The visible lines of a page, each with its kind: OPEN, OTHER, or the number of its article from ARTICLE on.
 
     An element that is named like no article counts as such only if it holds none; without any article on the page,
-    only if it holds less than nine tenths of the text too: a whole page may stand in a form.
+    only if it holds less than nine tenths of the text too: a whole page may stand in a form. There an element of a
+    weak name (an advert, cookies) is text if half of the text outside other such elements or more is in it.
     """
     if not html:
         return []
@@ -153,14 +171,30 @@ def lines(html: str | None) -> list[tuple[str, int]]:
     total = sum(len(t) for t, _, _ in p.lines)
     firm = any(article and not suspects for _, suspects, article in p.lines)
     other = [not h and (firm or 10 * n < 9 * total) for h, n in zip(p.holds, p.size, strict=True)]
-    return [(t, OTHER if any(other[s] for s in suspects) else ARTICLE if article else OPEN) for t, suspects, article in p.lines]
+    if not firm and any(p.weak):
+        strong = [o and not w for o, w in zip(other, p.weak, strict=True)]
+        left = sum(len(t) for t, suspects, _ in p.lines if not any(strong[s] for s in suspects))
+        other = [o and not (w and 2 * n >= left) for o, w, n in zip(other, p.weak, p.size, strict=True)]
+    return [(t, OTHER if any(other[s] for s in suspects) else OPEN if not article else min(article + ARTICLE - 1, MOST)) for t, suspects, article in p.lines]
 
 
 def kept(kinds: list[int], sizes: list[int], shared: list[bool]) -> list[bool]:
-    """Which lines are the main text, given which of them the nearest page shares."""
-    article = sum(n for k, n in zip(kinds, sizes, strict=True) if k == ARTICLE)
+    """Which lines are the main text, given which of them the nearest page shares.
+
+    Open lines are text beside articles if there are more of them than of the largest article: it may be a teaser. Of
+    three articles and more, each less than half as long as the open text, all are teasers, and only the open text stays.
+    """
+    size: dict[int, int] = {}
+    for k, n in zip(kinds, sizes, strict=True):
+        if k >= ARTICLE:
+            size[k] = size.get(k, 0) + n
+    largest = max(size.values(), default=0)
     open_ = sum(n for k, n, s in zip(kinds, sizes, shared, strict=True) if k == OPEN and not s)
-    return [k == ARTICLE or (k == OPEN and not s and open_ > article) for k, s in zip(kinds, shared, strict=True)]
+    teasers = len(size) > 2 and 2 * largest < open_
+    return [(k >= ARTICLE and not teasers) or (k == OPEN and not s and open_ > largest) for k, s in zip(kinds, shared, strict=True)]
+
+
+MOST_BITS = 1 << 28  # of the rows that one alignment keeps, 32 MB
 
 
 def common(a: list, b: list) -> list[bool]:
@@ -174,7 +208,25 @@ def common(a: list, b: list) -> list[bool]:
     return [True] * head + _common(a[head : len(a) - tail], b[head : len(b) - tail]) + [True] * tail
 
 
+def _lengths(a: list, b: list) -> np.ndarray:
+    """The length of a longest common subsequence of `a` with each prefix of `b`, the empty one first."""
+    full = (1 << len(b)) - 1
+    at: dict = {}
+    for j, y in enumerate(b):
+        at[y] = at.get(y, 0) | 1 << j
+    v = full
+    for x in a:
+        u = v & at.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
 def _common(a: list, b: list) -> list[bool]:
+    if len(a) > 1 and len(a) * len(b) > MOST_BITS:  # halves of a, each with its part of b: linear memory
+        mid = len(a) // 2
+        j = int((_lengths(a[:mid], b) + _lengths(a[:mid - 1 : -1], b[::-1])[::-1]).argmax())
+        return _common(a[:mid], b[:j]) + _common(a[mid:], b[j:])
     full = (1 << len(b)) - 1
     at: dict = {}
     for j, y in enumerate(b):

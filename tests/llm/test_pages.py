@@ -34,6 +34,25 @@ def test_lcs_is_longest():
         assert len(kept) == lcs(a, b) and all(x in it for x in kept)
 
 
+def test_lcs_in_halves_is_longest(monkeypatch):
+    monkeypatch.setattr(pages, "MOST_BITS", 8)
+    test_lcs_is_longest()
+
+
+STORY = "The council met on Monday and agreed to mend the bridge over the river, which had been shut since the flood. Work begins in May and ends before the winter. "
+
+
+@pytest.mark.parametrize("page", [
+    "<nav><a>Home</a><a>News</a></nav><div id=story><p>{}</div>" + "".join(f"<article><h3>Teaser number {i}</h3><p>Read on</article>" for i in range(6)),
+    "<ul class=menu><li>Home<li>Contact us now</ul><div class='ad-free story'><p>{}</div>",
+    "<div id=menu>Home Contact</div><div class='recipe cookies'><p>{}</div>",
+    "<div id=menu>Home Contact</div><div class='cookies'><p>{}</div><div class=footer>Imprint</div>",
+])
+def test_names_and_teasers_do_not_hide_the_story(spark, page):
+    text = STORY.strip()
+    assert texts(spark, [(1, "http://h/a", page.format(text)), (2, "http://h/b", page.format(text[::-1].replace("<", "")))])[1] == text
+
+
 def test_articles(spark):
     art = "<html><body><nav>Menu</nav><header>Top</header><article><h1>A &amp; B</h1><p>One\n two<b>!</b><p>Three<div class='comments'>no</div></article><footer>f</footer>"
     plain = "<body><div>Shared line</div><div>Own text %d</div><div>More %d</div><div>Shared end</div>"
