@@ -16,7 +16,7 @@ from sealedspark import policy_rows
 from sealedspark.ipfe import Public, Query, Scheme, derive, inner_products, numbers
 from sealedspark.layout import blocks, broadcast_if_few, pin
 from sealedspark.policy import satisfied
-from sealedspark.vectors import cosine, dot, quantize
+from sealedspark.vectors import dot, norm, quantize
 from sealedspark.wire import check_wire
 
 MAX_REQUESTS = 10_000
@@ -117,8 +117,10 @@ def authorized_pairs(docs: DataFrame, requests: DataFrame, policies: list[str] |
     A block has at most about MAX_REQUESTS requests and is broadcast, so documents are never shuffled for it. A policy
     of null denies; without `policies` nothing is gated.
     """
-    out = []
-    for block in blocks(requests, "query_id", MAX_REQUESTS):
+    parts, out = blocks(requests, "query_id", MAX_REQUESTS), []
+    if len(parts) > 1:
+        docs = pin(docs)  # each block reads them
+    for block in parts:
         asked = F.broadcast(block.drop("attrs"))
         if policies is None:
             out.append(docs.crossJoin(asked))
@@ -145,8 +147,12 @@ def rank_quantized(docs: DataFrame, requests: DataFrame, policies: list[str] | D
 
 def rank_plain(docs: DataFrame, requests: DataFrame, policies: list[str] | DataFrame | None, k: int) -> DataFrame:
     """Like `rank_quantized`, by cosine in double precision."""
-    r = requests.select("query_id", F.col("vec").alias("qv"), "attrs")
-    return _ranked(docs.select("doc_id", "policy", "vec"), r, policies, cosine(F.col("vec"), F.col("qv")), k)
+    # norms are computed once a vector, not once a pair; a zero norm counts as 1
+    sized = lambda df, *more: df.select(*more, F.col("vec").cast("array<double>").alias("vec")).withColumn("n", norm(F.col("vec")))
+    one = F.when(F.col("n") == 0, 1.0).otherwise(F.col("n"))
+    d = sized(docs, "doc_id", "policy").select("doc_id", "policy", "vec", one.alias("dn"))
+    r = sized(requests, "query_id", "attrs").select("query_id", F.col("vec").alias("qv"), one.alias("qn"), "attrs")
+    return _ranked(d, r, policies, dot(F.col("vec"), F.col("qv")) / (F.col("dn") * F.col("qn")), k)
 
 
 def _scored(public: Public, shared):
