@@ -8,7 +8,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from sealedspark import ingest, integrity, ipfe, policy
+from sealedspark import embedding, ingest, integrity, ipfe, policy, store
 
 
 def main(args: list[str] | None = None) -> dict:
@@ -20,6 +20,7 @@ def main(args: list[str] | None = None) -> dict:
     ap.add_argument("--dim", type=int, default=64)
     ap.add_argument("--rebuild", action="store_true")
     ap.add_argument("--record", default="run.json")
+    ap.add_argument("--answer", help="a text file: check how much of it rests on the documents found")
     a = ap.parse_args(args)
     spark, began = SparkSession.builder.appName("sealedspark").getOrCreate(), time.perf_counter()
     attrs = policy.caller(a.caller)
@@ -27,10 +28,18 @@ def main(args: list[str] | None = None) -> dict:
     key = integrity.load_key(os.path.join(a.index, "key"))
     scheme = ipfe.load_or_setup(os.path.join(a.index, "scheme.json"), a.dim)
     chunks = os.path.join(a.index, "chunks")
+    texts = ingest.read_texts(spark, a.docs, ingest.read_manifest(spark, a.manifest))
+    ingest_s = None
     if a.rebuild or not os.path.exists(chunks):
-        ingest.index(scheme, ingest.read_texts(spark, a.docs, ingest.read_manifest(spark, a.manifest)), key, chunks)
-    found = ingest.ask(spark, scheme, key, chunks, a.query, attrs, a.k)
-    record = ingest.run_record(a.record, scheme, attrs, a.query, found, began)
+        ingest.index(scheme, texts, key, chunks)
+        ingest_s = round(time.perf_counter() - began, 3)
+    found = ingest.ask(spark, scheme, key, chunks, a.query, attrs, a.k).persist()
+    more = {"corpus": store.list_ids(spark, chunks).count(), "embedding": embedding.mode(None)}
+    if a.answer:
+        with open(a.answer) as f:
+            more["grounding"] = ingest.grounded_answer(f.read(), found, texts)
+        print(f"{more['grounding']['fraction']:.3f} of the answer is grounded:\n{more['grounding']['redacted']}")
+    record = ingest.run_record(a.record, scheme, attrs, a.query, found, began, ingest_s, **more)
     for r in record["top_k"]:
         print(f"{r['score']:8.4f}  {r['doc_id']}")
     return record

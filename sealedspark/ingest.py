@@ -8,7 +8,7 @@ import time
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sealedspark import embedding, ipfe, policy, retrieval, store, vectors
+from sealedspark import embedding, grounding, ipfe, policy, retrieval, store, vectors
 from sealedspark.layout import spread
 
 
@@ -58,12 +58,26 @@ def ask(spark: SparkSession, scheme: ipfe.Scheme, key: bytes, path: str, query:
     return retrieval.rank_sealed(scheme, docs, request, docs.select("policy"), k)  # as many policies as documents, if it be
 
 
-def run_record(path: str, scheme: ipfe.Scheme, attrs: list[str], query: str, found: DataFrame, began: float, **more) -> dict:
-    """Write what one query did to a JSON file of the driver and return it."""
+def grounded_answer(answer: str, found: DataFrame, texts: DataFrame) -> dict:
+    """How much of an answer rests on the texts (doc_id, text) of the documents found: fraction, its ungrounded spans at
+    their places in the answer, and the answer with these masked."""
+    spark = found.sparkSession
+    one = spark.createDataFrame([(0, 0, answer)], "id long, scope long, text string")
+    chunks = texts.join(F.broadcast(found.select("doc_id")), "doc_id").select(F.lit(0).cast("long").alias("scope"), "text")
+    told = one.join(grounding.report(one, grounding.ground(one, chunks)), "id")
+    told = told.withColumn("at", grounding.resolve_spans(F.col("text"), F.col("spans"))["spans"])
+    r = told.select("fraction", "at", grounding.redact(F.col("text"), F.col("at")).alias("redacted")).first()
+    return {"fraction": r.fraction, "spans": [[x.start, x.end] for x in r["at"]], "redacted": r.redacted}
+
+
+def run_record(path: str, scheme: ipfe.Scheme, attrs: list[str], query: str, found: DataFrame, began: float, ingest_s: float | None = None, **more) -> dict:
+    """Write what one query did to a JSON file of the driver and return it: settings, timings (ingest_s is null where the
+    index was there before), the documents found, and what else is given."""
+    ranked = time.perf_counter()
     best = found.withColumn("score", retrieval.as_cosine(F.col("score"), scheme.public.quant_bits)).orderBy("rank").collect()  # k rows
     record = {
         "n": len(scheme.msk), "quant_bits": scheme.public.quant_bits, "caller": sorted(attrs), "query": query,
-        "timings_ms": {"total_s": round(time.perf_counter() - began, 3)},
+        "timings": {"ingest_s": ingest_s, "rank_ms": round((time.perf_counter() - ranked) * 1000, 1), "total_s": round(time.perf_counter() - began, 3)},
         "top_k": [{"doc_id": r.doc_id, "score": round(r.score, 6)} for r in best],
     } | more
     with open(path, "w") as f:

@@ -1,5 +1,8 @@
 import datetime
 import json
+import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -301,6 +304,23 @@ def run(query):
         query.stop()
 
 
+def test_command_line(tmp_path):
+    (tmp_path / "docs").mkdir()
+    for name, text in (("a.txt", "chest pain after exercise"), ("b.txt", "nurse rota for monday")):
+        (tmp_path / "docs" / name).write_text(text)
+    (tmp_path / "manifest.json").write_text(json.dumps({"a.txt": "role:doctor", "b.txt": "role:nurse"}))
+    (tmp_path / "answer").write_text("He has chest pain.  Give him penicillin.\n")
+    args = ["chest pain", "--caller", "role:Doctor", "--docs", "docs", "--manifest", "manifest.json", "--index", "index", "--dim", "16", "--answer", "answer"]
+    for times in range(2):
+        done = subprocess.run([sys.executable, "-m", "sealedspark", *args], cwd=tmp_path, env=os.environ, capture_output=True, text=True, timeout=200)
+        assert done.returncode == 0, done.stderr[-2000:]
+        record = json.loads((tmp_path / "run.json").read_text())
+        assert [x["doc_id"] for x in record["top_k"]] == ["a.txt"] and record["corpus"] == 2 and record["embedding"] == "hash"
+        assert (record["timings"]["ingest_s"] is None) == bool(times) and record["timings"]["rank_ms"] > 0
+        assert record["grounding"] == {"fraction": 0.5, "spans": [[20, 40]], "redacted": "He has chest pain.  " + "\u2588" * 20 + "\n"}
+        assert "0.500 of the answer" in done.stdout and "a.txt" in done.stdout
+
+
 def test_a_killed_standing_query_leaves_no_double_rows(spark, tmp_path):
     kind = "query_id long, attrs array<string>, vec array<double>"
     docs = spark.createDataFrame([(i, [float(i), 1.0], "role:nurse" if i % 2 else "role:doctor") for i in range(20)], "doc_id long, vec array<double>, policy string")
