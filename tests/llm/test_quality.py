@@ -96,3 +96,27 @@ def test_no_documents_and_no_labels(spark):
     docs, none = sample(spark), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.score(docs.limit(0), none).count() == 0
     assert quality.score(docs, none).where("rejected").count() == 0
+
+
+def test_each_language_has_its_own_threshold(spark):
+    """With 20 held-out documents or more a language's own quantile counts; one with fewer, and null, take that of all."""
+    rnd = np.random.default_rng(8)
+    words = {"de": ["der", "haus", "baum", "und", "gut"], "fr": ["ça", "être", "qüx", "zażółć", "où", "île", "çà", "œuvre"], "it": ["il", "che", "non"]}
+    rows = [(i, " ".join(rnd.choice(words[lang], rnd.integers(3, 12))), lang) for i, lang in enumerate(rnd.choice(["de", "fr", "it"], 360, p=[0.48, 0.48, 0.04]).tolist())]
+    rows += [(1000, "haus und baum", None), (1001, "zq!! xj## " * 5, "de"), (1002, "il che non", "it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(360)], "doc_id long, quality int, toxic int")
+    held = {r.i for r in spark.range(360).toDF("i").where(F.pmod(F.xxhash64("i"), F.lit(5)) == 0).collect()}
+    p = plain_model([t for i, t, _ in rows if i < 360 and i not in held])
+    value = {i: plain_perplexity(p, t) for i, t, _ in rows}
+    of = {x: [value[i] for i, _, lang in rows if i in held and lang == x] for x in words}
+    assert len(of["de"]) >= 20 and len(of["fr"]) >= 20 > len(of["it"]) > 0
+    overall = plain_threshold([v for x in of.values() for v in x])
+    want = {"de": plain_threshold(of["de"]), "fr": plain_threshold(of["fr"]), "it": overall, None: overall}
+    assert not math.isclose(want["de"], want["fr"], rel_tol=0.01)
+    got = quality.score(docs, labels).select("__doc.doc_id", "__doc.lang", "perplexity", "threshold", "rejected").collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert math.isclose(r.threshold, want[r.lang], rel_tol=1e-9) and math.isclose(r.perplexity, value[r.doc_id], rel_tol=1e-9)
+        assert r.rejected == (value[r.doc_id] > want[r.lang])
+    assert next(r for r in got if r.doc_id == 1001).rejected
