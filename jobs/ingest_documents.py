@@ -1,6 +1,6 @@
 """Keep a sealed, access-controlled index of a growing folder of documents up to date.
 
-    python -m jobs.ingest_documents --docs PATH --out PATH --checkpoint PATH --key PATH [--config PATH]
+    python -m jobs.ingest_documents --docs PATH --out PATH --checkpoint PATH --key PATH [--config PATH] [--compact-to PATH]
 
 Input: Parquet files with doc_id, text, lang and source (other columns are ignored). A file stream with a checkpoint
 takes each file once; a document that comes again with another text is a new version, with the same text nothing, and
@@ -61,6 +61,18 @@ def current(spark: SparkSession, out: str) -> DataFrame:
     return _read(spark, f"{out}/index", INDEX).join(held, ["doc_id", "version", "batch"])
 
 
+def compact(spark: SparkSession, out: str, to: str) -> None:
+    """Write what counts of an index to a new one at `to`, as one batch under the number of the last: later runs go on
+    there with the same checkpoint. The old one is not touched; a compaction that dies is begun again at another path."""
+    entries = newest(_read(spark, f"{out}/ledger", LEDGER))
+    number = entries.agg(F.max("batch")).first()[0]
+    if number is None:
+        raise ValueError(f"{out}: no index")
+    current(spark, out).drop("batch").write.mode("error").partitionBy("lang").parquet(f"{to}/index/batch={number}")
+    entries.drop("batch").write.mode("error").parquet(f"{to}/ledger/batch={number}")
+    log.info("compacted %s up to batch %d: read its index and ledger, wrote %s", out, number, to)
+
+
 def _sealed_columns() -> dict[str, Column]:
     """What a MAC covers beside doc_id and version: the vector, its policy, and language, source and digest."""
     meta = F.create_map(F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source"), F.lit("digest"), F.col("digest"))
@@ -146,6 +158,7 @@ def main(args: list[str] | None = None) -> None:
     for name in ("docs", "out", "checkpoint", "key"):
         ap.add_argument(f"--{name}", required=True)
     ap.add_argument("--config")
+    ap.add_argument("--compact-to", help="then write the index as one batch to this new path, for --out of later runs")
     a = ap.parse_args(args)
     log_to_stderr()
     spark = SparkSession.builder.appName("ingest_documents").getOrCreate()
@@ -154,6 +167,8 @@ def main(args: list[str] | None = None) -> None:
         key = bytes.fromhex(spark.read.text(a.key).first().value.strip())  # 64 hexadecimal digits
         n = run(spark, a.docs, a.out, a.checkpoint, key, config).count()
         log.info("%s holds %d documents", a.out, n)
+        if a.compact_to:
+            compact(spark, a.out, a.compact_to)
     finally:
         spark.stop()
 

@@ -83,6 +83,22 @@ def test_two_runs_over_a_growing_folder(spark, tmp_path):
     assert best[2] == 3 and best[1] != 3 and policy_rows.quarantine(held).count() == 0
 
 
+def test_compaction_goes_on_with_the_same_checkpoint(spark, tmp_path):
+    docs, out, new, ck = (str(tmp_path / x) for x in ("docs", "out", "new", "ck"))
+    for name, rows in (("one", first_rows()), ("two", later_rows())):
+        put(spark, docs, name, rows)
+        ingest_documents.run(spark, docs, out, ck, KEY, CONF)
+    with pytest.raises(ValueError):
+        ingest_documents.compact(spark, str(tmp_path / "none"), new)
+    ingest_documents.compact(spark, out, new)
+    assert state(ingest_documents.current(spark, new)) == expected() == state(ingest_documents.current(spark, out))
+    assert [x for x in os.listdir(f"{new}/index") if x.startswith("batch")] == ["batch=1"]
+    assert spark.read.parquet(f"{new}/index").count() == len(expected())
+    put(spark, docs, "three", [(20, "again", "en", "x"), (0, "third text", "de", "c")])
+    got = state(ingest_documents.run(spark, docs, new, ck, KEY, CONF))
+    assert got == expected() | {20: entry(3, "again", "en", "x"), 0: entry(3, "third text", "de", "c")}
+
+
 @pytest.mark.parametrize("where", ["_verify", "log"])
 def test_a_batch_that_fails_is_taken_again_once(spark, tmp_path, monkeypatch, where):
     """The run dies before the ledger, or after it but before the checkpoint knows: the next one gives the same."""
@@ -164,11 +180,11 @@ def test_command_lines(spark, tmp_path):
     spark.createDataFrame(turns(), TURNS).write.parquet(str(tmp_path / "c"))
     env = os.environ | {"PYTHONPATH": ROOT, "SPARK_CONF_DIR": str(tmp_path)}
     common = ["--out", str(tmp_path / "out"), "--key", str(key)]
-    for args in (["jobs.ingest_documents", "--docs", docs, "--checkpoint", str(tmp_path / "ck"), *common, "--config", f"{ROOT}/jobs/ingest_documents.json"],
+    for args in (["jobs.ingest_documents", "--docs", docs, "--checkpoint", str(tmp_path / "ck"), *common, "--config", f"{ROOT}/jobs/ingest_documents.json", "--compact-to", str(tmp_path / "compact")],
                  ["jobs.audit_answers", "--conversations", str(tmp_path / "c"), *common]):
         done = subprocess.run([sys.executable, "-m", *args], cwd=str(tmp_path), env=env, capture_output=True, text=True, timeout=300)
         assert done.returncode == 0 and "read" in done.stderr and "wrote" in done.stderr, done.stderr[-2000:]
-    assert ingest_documents.current(spark, str(tmp_path / "out")).count() == 40
+    assert all(ingest_documents.current(spark, str(tmp_path / x)).count() == 40 for x in ("out", "compact"))
 
 
 def test_jobs_do_not_load_the_training_data_operators():
