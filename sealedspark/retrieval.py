@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Iterator
 from functools import reduce
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 
 from sealedspark import policy_rows
 from sealedspark.ipfe import Public, Query, Scheme, derive, inner_products, numbers
-from sealedspark.layout import blocks, broadcast_if_few, pin
+from sealedspark.layout import blocks, broadcast_if_few, pin, spread
 from sealedspark.policy import satisfied
 from sealedspark.vectors import dot, norm, quantize
 from sealedspark.wire import check_wire
@@ -22,6 +23,10 @@ from sealedspark.wire import check_wire
 MAX_REQUESTS = 10_000
 # So many granted (request, policy) rows are broadcast at most; more are joined by shuffle.
 MAX_GRANTS = 1_000_000
+# Numbers of matrices are at most so large: products of whole ones are exact in double precision, squares are finite.
+LARGEST = {"bigint": float(1 << 20), "double": 1e15}
+# So many requests are multiplied with half as many documents at once.
+TILE = 1024
 
 
 def _best(scored: DataFrame, k: int) -> DataFrame:
@@ -36,69 +41,6 @@ def gate(docs: DataFrame, callers: DataFrame, policies: list[str]) -> DataFrame:
     return docs.join(broadcast_if_few(satisfied(callers, policies), MAX_REQUESTS * max(1, len(set(policies)))), "policy")
 
 
-def _best_of(shared, k: int):
-    """A function of Arrow batches (doc_id, vec): for each query of a block its k nearest of the partition."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, norms = shared.value
-        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]  # query, doc_id, score
-        least = np.full(len(norms), -np.inf)
-        for batch in batches:
-            vecs = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(batch), -1)
-            ids = batch.column("doc_id").to_numpy()
-            step = max(1, (1 << 22) // len(norms))  # 32 MB of scores at a time
-            for i in range(0, len(ids), step):
-                v = vecs[i : i + step]
-                n = np.sqrt((v * v).sum(1))
-                score = (asked @ v.T) / (norms[:, None] * np.where(n == 0, 1.0, n))
-                if score.shape[1] > k:  # what is below the k-th of this part, or of what is held, is out
-                    np.maximum(least, np.partition(score, -k, 1)[:, -k], out=least)
-                q, d = np.nonzero(score >= least[:, None])
-                new = q, ids[i : i + step][d], score[q, d]
-                q, d, s = (np.concatenate(x) for x in zip(held, new, strict=True))
-                order = np.lexsort((d, -s, q))
-                q, d, s = q[order], d[order], s[order]
-                nth = np.arange(len(q)) - np.searchsorted(q, q)
-                held = [x[nth < k] for x in (q, d, s)]
-                full = nth == k - 1
-                least[q[full]] = np.maximum(least[q[full]], s[full])
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in held], names=["nth", "doc_id", "score"])
-
-    return run
-
-
-def nearest_counts(docs: DataFrame, requests: DataFrame, k: int, block_bytes: int = 1 << 25) -> DataFrame:
-    """query_id, doc_id, score, rank: the k nearest by cosine of count vectors; ties go to the smaller doc_id.
-
-    docs: doc_id (bigint), vec. requests: query_id (bigint, distinct), vec. Vectors hold whole numbers (hashed bags of
-    words), whose products are exact in double precision, so that equal texts tie whatever the order of the sums. A
-    vector of zeros has a cosine of 0 with all. Blocks of requests of `block_bytes` go to all documents as one matrix;
-    each partition of documents gives k rows a request on.
-    """
-    if k < 1:
-        raise ValueError("k is at least 1")
-    spark, out = docs.sparkSession, []
-    requests = pin(requests.select("query_id", F.col("vec").cast("array<double>").alias("vec")))
-    dim = requests.agg(F.max(F.size("vec"))).first()[0] or 1
-    docs = docs.select("doc_id", F.col("vec").cast("array<double>").alias("vec"))
-    parts = blocks(requests, "query_id", max(1, block_bytes // (8 * dim)))
-    if len(parts) > 1:
-        docs = pin(docs)
-    for block in parts:
-        rows = list(block.toLocalIterator())  # at most about block_bytes
-        if not rows:
-            continue
-        asked = np.array([r.vec for r in rows], float).reshape(len(rows), -1)
-        norms = np.sqrt((asked * asked).sum(1))
-        shared = spark.sparkContext.broadcast((asked, np.where(norms == 0, 1.0, norms)))
-        names = F.broadcast(spark.createDataFrame([(i, r.query_id) for i, r in enumerate(rows)], "nth long, query_id long"))
-        best = docs.mapInArrow(_best_of(shared, k), "nth long, doc_id long, score double").join(names, "nth")
-        out.append(_best(best.select("query_id", "doc_id", "score"), k))
-    if not out:
-        return spark.createDataFrame([], "query_id long, doc_id long, score double, rank int")
-    return reduce(DataFrame.union, [pin(o) for o in out] if len(out) > 1 else out)
-
-
 def granted(block: DataFrame, policies: list[str] | DataFrame) -> DataFrame:
     """query_id, policy: what each request of a block may read. Policies come as a list or as a table (policy)."""
     callers = block.select(F.col("query_id").alias("caller_id"), "attrs")
@@ -129,9 +71,167 @@ def authorized_pairs(docs: DataFrame, requests: DataFrame, policies: list[str] |
     return out
 
 
-def _ranked(docs: DataFrame, requests: DataFrame, policies: list[str] | DataFrame | None, score: Column, k: int) -> DataFrame:
-    best = [_best(p.select("query_id", "doc_id", score.alias("score")), k) for p in authorized_pairs(docs, requests, policies)]
-    return reduce(DataFrame.union, best)  # a request is in one block only
+def _whole(v: Column, dim: int, most: float) -> Column:
+    """Whether a vector goes into a matrix: `dim` numbers of at most `most`, none of them null."""
+    return F.coalesce((F.size(v) == dim) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x.cast("double")) <= most)), F.lit(False))
+
+
+def _exact(v: np.ndarray, n: np.ndarray, a: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """The scores of pairs of rows, summed from the first component on as `dot` does."""
+    out = np.zeros(len(v))
+    for j in range(v.shape[1]):
+        out += v[:, j] * a[:, j]
+    return out / (n * m)
+
+
+class _Held:
+    """The k best (score, doc_id) so far of each request of a block."""
+
+    def __init__(self, size: int, k: int):
+        self.k, self.score, self.doc = k, np.full((size, k), -np.inf), np.full((size, k), np.iinfo(np.int64).max)
+
+    def add(self, q: np.ndarray, score: np.ndarray, doc: np.ndarray) -> None:
+        """Take in pairs of requests `q`, equal ones side by side."""
+        own, k = q[np.flatnonzero(np.diff(q, prepend=-1))], self.k
+        q, score, doc = np.concatenate([np.repeat(own, k), q]), np.concatenate([self.score[own].ravel(), score]), np.concatenate([self.doc[own].ravel(), doc])
+        order = np.lexsort((doc, -score, q))
+        q = q[order]
+        keep = order[np.arange(len(q)) - np.searchsorted(q, q) < k]
+        own = np.sort(own)
+        self.score[own], self.doc[own] = score[keep].reshape(-1, k), doc[keep].reshape(-1, k)
+
+
+def _best_of(shared, k: int):
+    """A function of Arrow batches (doc_id, vec, n, at): for each request of a block its k best of the partition.
+
+    Tiles of requests and documents are multiplied in single precision. What comes within its error of a request's
+    k-th score is scored again in double precision, and only these scores count.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, asked, m, unit, grants = shared.value
+        size = np.sqrt((asked * asked).sum(1))
+        small = (asked / np.where(size == 0, 1.0, size)[:, None]).astype(np.float32)
+        held = _Held(len(ids), k)
+        for batch in batches:
+            vecs = batch.column("vec").flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(len(batch), asked.shape[1])
+            docs, n, at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "n", "at"))
+            near = (vecs / n[:, None]).astype(np.float32)
+            error = (vecs.shape[1] + 16) * 2.0**-23 * float(np.sqrt((near * near).sum(1).max(initial=0))) + 1e-30
+            for group in np.unique(at):
+                rows, who = np.flatnonzero(at == group), grants[group]
+                for i, j in product(range(0, len(who), TILE), range(0, len(rows), TILE // 2)):
+                    q, d = who[i : i + TILE], rows[j : j + TILE // 2]
+                    score = small[q] @ near[d].T
+                    least = held.score[q, -1] / unit[q] - error
+                    hit = np.flatnonzero(score.max(1) >= least)
+                    if not len(hit):
+                        continue
+                    q, score, least = q[hit], score[hit], least[hit]
+                    new = np.flatnonzero(np.isinf(least))
+                    if len(new) and len(d) > k:  # k of the tile itself are as near
+                        least[new] = np.partition(score[new], -k, 1)[:, -k] - 2 * error
+                    x, y = np.nonzero(score >= least.astype(np.float32)[:, None])
+                    for lo in range(0, len(x), 1 << 16):
+                        qs, ds = q[x[lo : lo + (1 << 16)]], d[y[lo : lo + (1 << 16)]]
+                        held.add(qs, _exact(vecs[ds], n[ds], asked[qs], m[qs]), docs[ds])
+        q, i = np.nonzero(held.score > -np.inf)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(held.doc[q, i]), pa.array(held.score[q, i])], names=["query_id", "doc_id", "score"])
+
+    return run
+
+
+def _by_matrix(docs: DataFrame, block: DataFrame, policies: list[str] | DataFrame | None, dim: int, k: int) -> DataFrame | None:
+    """query_id, doc_id, score of candidates: the k best of each partition of `docs` for every request of a block.
+
+    The gate stays below the scoring: documents are joined with the policies that are granted, and multiplied with the
+    requests that each is granted to. None where more than MAX_GRANTS rows are granted.
+    """
+    spark = docs.sparkSession
+    t = block.select("query_id", "vec", "n", "unit").toArrow()  # one block
+    ids = t.column("query_id").to_numpy()
+    asked = t.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(ids), dim)
+    grants = [np.arange(len(ids))]
+    if policies is None:
+        docs = docs.withColumn("at", F.lit(0))
+    else:
+        ok = pin(granted(block.select("query_id", "attrs"), policies).distinct())
+        if ok.count() > MAX_GRANTS:
+            return None
+        got = ok.toArrow()
+        names, code = np.unique(got.column("policy").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        who = got.column("query_id").to_numpy()
+        grants = _grants(ids, who, code, len(names))
+        docs = docs.join(F.broadcast(spark.createDataFrame(list(enumerate(names.tolist())), "at int, policy string")), "policy")
+    shared = spark.sparkContext.broadcast((ids, asked, t.column("n").to_numpy(), t.column("unit").to_numpy(), grants))
+    return docs.select("doc_id", "vec", "n", "at").mapInArrow(_best_of(shared, k), "query_id long, doc_id long, score double")
+
+
+def _grants(ids: np.ndarray, who: np.ndarray, code: np.ndarray, n: int) -> list[np.ndarray]:
+    """For each of n policies the places of the requests that it is granted to."""
+    places: dict = {}
+    for place, i in enumerate(ids.tolist()):
+        places.setdefault(i, []).append(place)
+    out: list[list] = [[] for _ in range(n)]
+    for i, c in zip(who.tolist(), code.tolist(), strict=True):
+        out[c] += places[i]
+    return [np.array(x, np.int64) for x in out]
+
+
+def _ranked(docs: DataFrame, requests: DataFrame, policies: list[str] | DataFrame | None, kind: str, k: int, block_bytes: int = 1 << 25) -> DataFrame:
+    """The k best documents of each request by the products of vectors of `kind`, divided by both lengths n.
+
+    docs: doc_id, vec, n, policy. requests: query_id, vec, n, unit (what a score is divided by so that it is one of unit
+    requests), attrs. Requests go to all documents in blocks of about `block_bytes`, as a matrix. Vectors that hold null,
+    no finite or very large numbers, or have another length than the others, are scored a pair at a time.
+    """
+    plain = dot(F.col("vec"), F.col("qv"), kind) if kind == "bigint" else dot(F.col("vec"), F.col("qv")) / (F.col("n") * F.col("qn"))
+    key, named = requests.schema["query_id"].dataType, docs.schema["doc_id"].dataType
+
+    def pairwise(d: DataFrame, r: DataFrame) -> list[DataFrame]:
+        asked = r.select("query_id", F.col("vec").alias("qv"), F.col("n").alias("qn"), "attrs")
+        return [p.select("query_id", "doc_id", plain.alias("score")) for p in authorized_pairs(d, asked, policies)]
+
+    if k < 1 or not (isinstance(key, T.IntegralType) and isinstance(named, T.IntegralType)):
+        return reduce(DataFrame.union, [_best(p, k) for p in pairwise(docs, requests)])  # a request is in one block only
+    requests = pin(requests)
+    dim = requests.agg(F.max(F.size("vec"))).first()[0] or 0
+    most = LARGEST[kind] if dim <= 4096 else -1.0
+    fit = _whole(F.col("vec"), dim, most)
+    docs, fits_q, fits_d = spread(docs), fit & F.col("query_id").isNotNull(), fit & F.col("doc_id").isNotNull()
+    good, odd = requests.where(fits_q), requests.where(~fits_q)
+    rows = max(1, block_bytes // (8 * (max(1, dim) + 2 * k)))
+    if isinstance(policies, list):
+        rows = max(1, min(rows, MAX_GRANTS // max(1, len(policies))))
+    parts, out = blocks(good, "query_id", rows), []
+    if len(parts) > 1:
+        docs = pin(docs)  # each block reads them
+    loose = docs.where(~fits_d).count()
+    for block in parts:
+        best = _by_matrix(docs.where(fits_d), block, policies, dim, k)
+        if best is None:
+            out += [_best(p, k) for p in pairwise(docs, block)]
+            continue
+        best = best.select(F.col("query_id").cast(key).alias("query_id"), F.col("doc_id").cast(named).alias("doc_id"), F.col("score").cast(kind).alias("score"))
+        if loose:
+            best = reduce(DataFrame.union, pairwise(docs.where(~fits_d), block), best)
+        out.append(_best(best, k))
+    if odd.count():
+        out += [_best(p, k) for p in pairwise(docs, odd)]
+    return reduce(DataFrame.union, [pin(o) for o in out] if len(parts) > 1 else out)
+
+
+def nearest_counts(docs: DataFrame, requests: DataFrame, k: int, block_bytes: int = 1 << 25) -> DataFrame:
+    """query_id, doc_id, score, rank: the k nearest by cosine of count vectors; ties go to the smaller doc_id.
+
+    docs: doc_id (bigint), vec. requests: query_id (bigint, distinct), vec. Vectors hold whole numbers (hashed bags of
+    words), whose products are exact in double precision, so that equal texts tie whatever the order of the sums. A
+    vector of zeros has a cosine of 0 with all. Blocks of requests of `block_bytes` go to all documents as one matrix;
+    each partition of documents gives k rows a request on.
+    """
+    if k < 1:
+        raise ValueError("k is at least 1")
+    return rank_plain(docs.withColumn("policy", F.lit(None).cast("string")), requests.withColumn("attrs", F.lit(None).cast("array<string>")), None, k, block_bytes)
 
 
 def rank_quantized(docs: DataFrame, requests: DataFrame, policies: list[str] | DataFrame | None, k: int, quant_bits: int = 2) -> DataFrame:
@@ -140,19 +240,21 @@ def rank_quantized(docs: DataFrame, requests: DataFrame, policies: list[str] | D
     docs: doc_id, vec, policy. requests: query_id, vec, attrs. Without `policies` nothing is gated.
     Ties go to the smaller doc_id. Returns query_id, doc_id, score (bigint), rank.
     """
-    d = docs.select("doc_id", "policy", quantize(F.col("vec"), quant_bits).alias("dv"))
-    r = requests.select("query_id", quantize(F.col("vec"), quant_bits).alias("qv"), "attrs")
-    return _ranked(d, r, policies, dot(F.col("dv"), F.col("qv"), "bigint"), k)
+    vec, one = quantize(F.col("vec"), quant_bits).alias("vec"), F.lit(1.0).alias("n")
+    d = docs.select("doc_id", "policy", vec, one)
+    r = requests.select("query_id", vec, one, "attrs")
+    size = norm(F.col("vec"))
+    return _ranked(d, r.withColumn("unit", F.when(size > 0, size).otherwise(1.0)), policies, "bigint", k)
 
 
-def rank_plain(docs: DataFrame, requests: DataFrame, policies: list[str] | DataFrame | None, k: int) -> DataFrame:
+def rank_plain(docs: DataFrame, requests: DataFrame, policies: list[str] | DataFrame | None, k: int, block_bytes: int = 1 << 25) -> DataFrame:
     """Like `rank_quantized`, by cosine in double precision."""
     # norms are computed once a vector, not once a pair; a zero norm counts as 1
     sized = lambda df, *more: df.select(*more, F.col("vec").cast("array<double>").alias("vec")).withColumn("n", norm(F.col("vec")))
-    one = F.when(F.col("n") == 0, 1.0).otherwise(F.col("n"))
-    d = sized(docs, "doc_id", "policy").select("doc_id", "policy", "vec", one.alias("dn"))
-    r = sized(requests, "query_id", "attrs").select("query_id", F.col("vec").alias("qv"), one.alias("qn"), "attrs")
-    return _ranked(d, r, policies, dot(F.col("vec"), F.col("qv")) / (F.col("dn") * F.col("qn")), k)
+    one = F.when(F.col("n") == 0, 1.0).otherwise(F.col("n")).alias("n")
+    d = sized(docs, "doc_id", "policy").select("doc_id", "policy", "vec", one)
+    r = sized(requests, "query_id", "attrs").select("query_id", "vec", one, F.lit(1.0).alias("unit"), "attrs")
+    return _ranked(d, r, policies, "double", k, block_bytes)
 
 
 def _scored(public: Public, shared):
@@ -235,7 +337,7 @@ def compare(found: dict[str, DataFrame], truth: DataFrame, rounds: dict[str, flo
     """
     if truth is None or not found:
         raise ValueError("the true ranking and the rankings to compare are required")
-    out = []
+    out, truth = [], pin(truth.select("query_id", "doc_id"))  # each way is held against it
     for way, df in found.items():
         out.append(hit_rate(df, truth).agg(F.avg("hit_rate").alias("value")).select(F.lit(way).alias("way"), F.lit("authorized_hit_rate").alias("metric"), "value"))
         fixed = [(way, "verification_rounds", float(rounds[way])), (way, "tamper_detection_rate", float(tampers[way]))]
