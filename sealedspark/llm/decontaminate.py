@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sealedspark.llm.common import _powers, blocks, cut, drop, in_parts, maybe_broadcast, mix64
+from sealedspark.llm.common import _powers, blocks, cut, drop, in_parts, maybe_broadcast, mix64, small_enough
 
 # Words that count as units (fixed values).
 UNITS = frozenset(
@@ -113,14 +113,20 @@ _SLOTS = pa.list_(pa.struct([("at", pa.int32()), ("name", pa.bool_()), ("word",
 
 
 def _scan(column: str, widths, wanted, lower):
-    """Windows of each row; with `wanted` (a broadcast of sorted hashes) only those among them."""
+    """Windows of each row; with `wanted` (a broadcast of sorted hashes) only those among them.
+
+    Without `lower` (a broadcast of all the benchmark's lower-case words) each row brings those that it needs, in `known`.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(lower.value)
+        words = _Words(lower.value if lower else frozenset())
         want = None if wanted is None else np.frombuffer(wanted.value, np.uint64)
         for batch in batches:
             rows, texts = batch.column(column), batch.column("text").to_pylist()
+            known = None if lower else batch.column("known").to_pylist()
             for i, j in blocks(texts, 1 << 19):
+                if known is not None:  # each row's own are among them, so that what is kept of a token holds for all rows
+                    words.lower = frozenset(chain.from_iterable(k for k in known[i:j] if k))
                 ids, kind, of = words.canonical(texts[i:j])
                 if not len(ids):
                     continue
@@ -146,14 +152,32 @@ def _scan(column: str, widths, wanted, lower):
     return run
 
 
-def _vocabulary(items: DataFrame, most: int) -> frozenset:
-    """The words that the benchmark has in lower case; none where there are more than `most`."""
+def _vocabulary(items: DataFrame) -> DataFrame:
+    """w: the words that the benchmark has in lower case."""
     words = items.select(F.explode(F.split("text", r"\s+")).alias("w")).select(F.regexp_replace("w", r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "").alias("w"))
-    words = words.where("w <> '' AND w = lower(w)").distinct()
-    words = cut(words)
-    got = words.toArrow().column("w").to_pylist() if words.count() <= most else ()
-    drop(words)
-    return frozenset(got)
+    return cut(words.where("w <> '' AND w = lower(w)").distinct())
+
+
+def _capitals(column: str):
+    """The capitalised words of each row, in lower case."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = set()
+            for row, text in zip(batch.column(column).to_pylist(), batch.column("text").to_pylist(), strict=True):
+                bare = map(_bare, set((text or "").split()))
+                out |= {(row, w.lower()) for w in bare if len(w) > 1 and w[0].isupper() and w[1:].islower()}
+            rows, words = zip(*sorted(out), strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(words, pa.string())], names=["id", "w"])
+
+    return run
+
+
+def _with_known(texts: DataFrame, column: str, words: DataFrame) -> DataFrame:
+    """`texts` (`column`, text) with `known`: which of each row's capitalised words are among `words` (w)."""
+    held = texts.mapInArrow(in_parts(_capitals(column)), "id long, w string").distinct().join(words, "w")
+    held = held.groupBy("id").agg(F.collect_list("w").alias("known")).withColumnRenamed("id", column)
+    return texts.join(held, column, "left")
 
 
 def _anchors(mine: DataFrame, sizes: DataFrame, share: float, need: int) -> DataFrame:
@@ -172,7 +196,7 @@ def _anchors(mine: DataFrame, sizes: DataFrame, share: float, need: int) -> Data
     return ranked.where(F.col("first") | (F.col("nth") <= enough)).select("item_id", "hash").distinct()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, share: float = 0.5, words: int = 13, max_broadcast: int = 500_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, share: float = 0.5, words: int = 13, max_broadcast: int = 500_000, max_words: int = 2_000_000) -> DataFrame:
     """Pairs of a row of `docs` (row, text) and an item of `benchmark` (item_id, text) that it holds.
 
     Returns row, item_id, n_windows (distinct windows of the item that fill its slots consistently), coverage (their
@@ -182,16 +206,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, share: f
     diagonal. An item of fewer than `width` words is one window of its own length. Null and empty texts hold and
     give nothing. Other columns are ignored, repeated items count once (of several texts under one item_id the
     smallest); rows without item_id are no items. Up to `max_broadcast` windows of the benchmark are broadcast, as a
-    filter below the join and in it; more are joined by shuffle alone. Up to 2,000,000 lower-case words of the
-    benchmark tell names from words; with more every capitalised word is a name.
+    filter below the join and in it; more are joined by shuffle alone. Up to `max_words` lower-case words of
+    the benchmark, which tell names from words, are broadcast; more are joined with the capitalised words of each row.
     """
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id IS NOT NULL")
     items = cut(items.groupBy("item_id").agg(F.min("text").alias("text")))
     sc = docs.sparkSession.sparkContext
-    lower = sc.broadcast(_vocabulary(items, 2_000_000))
-    ours = cut(items.mapInArrow(_scan("item_id", lambda n: min(n, width), None, lower), _FOUND))
+    vocabulary, lower = _vocabulary(items), None
+    told = lambda texts, column: texts if lower else _with_known(texts, column, vocabulary)
+    if small_enough(vocabulary, max_words):
+        lower = sc.broadcast(frozenset(vocabulary.toArrow().column("w").to_pylist()))
+    ours = cut(told(items, "item_id").mapInArrow(_scan("item_id", lambda n: min(n, width), None, lower), _FOUND))
     sizes = ours.groupBy("id").agg(F.count("*").alias("total")).withColumnRenamed("id", "item_id")
-    short = items.mapInArrow(_lengths(width, lower), "n int").distinct().collect()  # at most `width` values
+    short = items.mapInArrow(_lengths(width), "n int").distinct().collect()  # at most `width` values
     widths = sorted({r.n for r in short})
     few = ours.count() <= max_broadcast
     wanted = None
@@ -199,7 +226,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, share: f
         got = np.unique(ours.select("hash").toArrow().column("hash").to_numpy().view(np.uint64))
         wanted = sc.broadcast(got.tobytes())
     none = -(2**63)  # stands for a null row in the joins below
-    theirs = docs.select(F.coalesce(F.col("row").cast("long"), F.lit(none)).alias("row"), "text").mapInArrow(in_parts(_scan("row", widths, wanted, lower)), _FOUND)
+    theirs = docs.select(F.coalesce(F.col("row").cast("long"), F.lit(none)).alias("row"), "text")
+    theirs = told(theirs, "row").mapInArrow(in_parts(_scan("row", widths, wanted, lower)), _FOUND)
     theirs = theirs.dropDuplicates(["id", "pos", "hash"]).select(F.col("id").alias("row"), F.col("pos").alias("dpos"), "hash", F.col("slots").alias("dslots"))
     theirs, mine = cut(theirs), ours.withColumnRenamed("id", "item_id")
     # a run of `words` words is as many consecutive windows as start in it
@@ -228,13 +256,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, share: f
     found = found.where((F.col("coverage") >= share) | (F.col("run") >= need))
     found = found.withColumn("row", F.nullif("row", F.lit(none)))
     out = cut(found.select(*pair, "n_windows", "coverage", F.coalesce("exact", F.lit(True)).alias("exact")))
-    drop(items, ours, theirs, rare, near, both, best, good)
+    drop(items, vocabulary, ours, theirs, rare, near, both, best, good)
     return out
 
 
-def _lengths(width: int, lower):
+def _lengths(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words(lower.value)
+        words = _Words(frozenset())  # names count as words do
         for batch in batches:
             texts = batch.column("text").to_pylist()
             _, _, of = words.canonical(texts)

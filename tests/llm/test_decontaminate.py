@@ -31,6 +31,16 @@ def test_sentences_that_open_with_names(spark):
     assert set(got) == {(1, 9), (2, 10), (3, 10)} and not got[1, 9].exact and got[2, 10].exact
 
 
+def test_many_lower_case_words_change_nothing(spark):
+    """Beyond the words that are broadcast the same ones count as names."""
+    docs = [(1, "Before. " + APPLES), (2, "Peter has 4 apples. Lisa gives her 9 more. How many apples does Peter have?"), (3, "Question: What is the capital of France?")]
+    docs += [(4, "Lisa Gives Has More, How Many He Gives Does not Count"), (None, APPLES), (1, None), (5, "Peter Gibt 4 Apples")]
+    items = [(9, APPLES), (8, MORE), (10, "What is the capital of France?"), (11, "that is what it is"), (12, "How Anna Has 3 Apples")]
+    want = found(spark, docs, items)
+    got = found(spark, docs, items, max_words=0)
+    assert got == want and {(2, 9), (3, 10), (None, 9)} <= set(got)
+
+
 def test_edited_copies_and_equal_quantities(spark):
     pears = "she put 2 apples and after that 2 pears into the basket on the table near the open window of the old house"
     got = found(spark, [(1, ITEM.replace("then Anna", "then Peter")), (2, pears.replace("2 apples", "3 apples").replace("2 pears", "5 pears"))], [(9, ITEM), (8, pears)])
