@@ -24,6 +24,8 @@ from sealedspark.llm.common import cut, free_shuffles, in_parts, maybe_broadcast
 ORDER = 4
 # At most so many trusted ids are broadcast (8 bytes each); more are joined by shuffle.
 MAX_TRUSTED = 1_000_000
+# Logarithms are summed as whole multiples of this, so that no sum depends on its order or on the way of the join.
+UNIT = 2.0**-30
 _START = np.full(ORDER - 1, 2, np.uint64)
 
 
@@ -117,14 +119,14 @@ def score_grams(keys: DataFrame, model: dict) -> DataFrame:
 
 def _sum_with(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, logs = (np.frombuffer(b, t) for b, t in zip(shared.value, (np.uint64, np.float64), strict=True))
+        keys, logs = (np.frombuffer(b, t) for b, t in zip(shared.value, (np.uint64, np.int64), strict=True))
         for batch in batches:
             sums, sizes = [], []
             for t in pc.struct_field(batch.column("__doc"), "text").to_pylist():
                 k = grams(t)
-                sums.append(float(logs[np.searchsorted(keys, k)].sum()) if len(k) else 0.0)
+                sums.append(int(logs[np.searchsorted(keys, k)].sum()) if len(k) else 0)
                 sizes.append(len(k))
-            yield pa.RecordBatch.from_arrays([batch.column("__doc"), pa.array(sums, pa.float64()), pa.array(sizes, pa.int64())], names=["__doc", "s", "n"])
+            yield pa.RecordBatch.from_arrays([batch.column("__doc"), pa.array(sums, pa.int64()), pa.array(sizes, pa.int64())], names=["__doc", "s", "n"])
 
     return run
 
@@ -143,7 +145,8 @@ def scorer(docs: DataFrame, model: dict, max_broadcast: int = 2_000_000):
     Up to `max_broadcast` distinct 4-grams (16 bytes each) are broadcast: documents then pass by once and are
     neither stored nor shuffled. More are joined by shuffle, over a copy of the rows with fixed row numbers.
     """
-    scored = cut(score_grams(_count(docs).select("key"), model))
+    scored = score_grams(_count(docs).select("key"), model)
+    scored = cut(scored.select("key", F.round(F.col("logp") / F.lit(UNIT)).cast("long").alias("logp")))
     if small_enough(scored, max_broadcast):
         t = scored.toArrow()
         keys = t.column("key").to_numpy().view(np.uint64)
@@ -153,14 +156,14 @@ def scorer(docs: DataFrame, model: dict, max_broadcast: int = 2_000_000):
 
     def add(rows: DataFrame) -> DataFrame:
         if small_enough(scored, max_broadcast):
-            kind = T.StructType([rows.schema["__doc"], T.StructField("s", T.DoubleType()), T.StructField("n", T.LongType())])
+            kind = T.StructType([rows.schema["__doc"], T.StructField("s", T.LongType()), T.StructField("n", T.LongType())])
             sums = rows.select("__doc").mapInArrow(in_parts(_sum_with(shared), "__doc.text"), kind)
         else:
             fixed = cut(rows.select(F.monotonically_increasing_id().alias("row"), "__doc"))
             each = fixed.select("row", "__doc.text").mapInArrow(in_parts(_spread), "row long, key long, c long").join(scored, "key")
             sums = each.groupBy("row").agg(F.sum(F.col("c") * F.col("logp")).alias("s"), F.sum("c").alias("n"))
             sums = fixed.join(sums, "row", "left")
-        return sums.select("__doc", F.when(F.col("n") > 0, F.exp(-F.col("s") / F.col("n"))).alias("perplexity"))
+        return sums.select("__doc", F.when(F.col("n") > 0, F.exp(-F.col("s") * F.lit(UNIT) / F.col("n"))).alias("perplexity"))
 
     return add
 

@@ -120,3 +120,11 @@ def test_each_language_has_its_own_threshold(spark):
         assert math.isclose(r.threshold, want[r.lang], rel_tol=1e-9) and math.isclose(r.perplexity, value[r.doc_id], rel_tol=1e-9)
         assert r.rejected == (value[r.doc_id] > want[r.lang])
     assert next(r for r in got if r.doc_id == 1001).rejected
+
+
+def test_sums_do_not_depend_on_the_join(spark):
+    """Bit for bit the same, whether 4-grams are broadcast or joined by shuffle."""
+    docs = spark.createDataFrame([(i, f"some words {i * i} of text number {i}, and a few more " * (1 + i % 7), "en") for i in range(60)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    a, b = ({(r.doc_id, r.perplexity, r.threshold, r.rejected) for r in quality.score(docs, labels, max_broadcast=m).select("__doc.doc_id", "perplexity", "threshold", "rejected").collect()} for m in (0, 2_000_000))
+    assert a == b and len(a) == 60
