@@ -1,4 +1,4 @@
-"""Bayesian inference of a caller's level from evidence by round, as running sums of log likelihoods."""
+"""Bayesian inference of a caller's level from evidence by round, from running counts of replies."""
 
 from __future__ import annotations
 
@@ -15,7 +15,11 @@ def likelihood(reply: Column, level: Column, k: int, q: float = 0.8, p: float =
 
 
 def posterior(evidence: DataFrame, levels: list[str], prior: dict[str, float] | None = None, q: float = 0.8, p: float = 0.95) -> DataFrame:
-    """subject, round, nth, level, posterior for `evidence` (subject, round, reply); a reply that is no level is an error."""
+    """subject, round, nth, level, posterior for `evidence` (subject, round, reply); a reply that is no level is an error.
+
+    Levels differ only in how many replies named each: an evasive reply says the same of all, and so does any reply of
+    the levels that it does not name. So levels named equally often are equal exactly, after any number of rounds.
+    """
     k = len(levels)
     if k < 2 or set(prior or ()) - set(levels) or not (0 <= p <= 1 and 0 <= q <= 1) or p == q == 1:
         raise ValueError("two levels at least, known ones in the prior, and uncertain replies")
@@ -24,9 +28,12 @@ def posterior(evidence: DataFrame, levels: list[str], prior: dict[str, float] |
     table = spark.createDataFrame([(i, x, w[x] / sum(w.values())) for i, x in enumerate(levels)], "nth int, level string, prior double")
     known = F.col("reply").isNull() | (F.col("reply") == "") | F.col("reply").isin(levels)
     reply = F.when(known, F.col("reply")).otherwise(F.raise_error(F.concat(F.lit("a reply is no level: "), "reply")).cast("string"))
-    e = evidence.crossJoin(F.broadcast(table)).withColumn("l", F.log(likelihood(reply, F.col("level"), k, q, p)))
+    own, other = (likelihood(F.lit("own"), F.lit(x), k, q, p) for x in ("own", "other"))
+    e = evidence.crossJoin(F.broadcast(table)).withColumn("named", (reply == F.col("level")).cast("long"))
     run = Window.partitionBy("subject", "level").orderBy("round").rowsBetween(Window.unboundedPreceding, 0)
-    e = e.withColumn("s", F.sum("l").over(run) + F.log("prior"))
+    e = e.withColumn("named", F.coalesce(F.sum("named").over(run), F.lit(0)))
+    ratio = F.coalesce(F.log(own / other), F.lit(float("-inf")))
+    e = e.withColumn("s", F.when(F.col("named") > 0, F.col("named") * ratio).otherwise(0.0) + F.log("prior"))
     at = Window.partitionBy("subject", "round")
     e = e.withColumn("x", F.exp(F.col("s") - F.max("s").over(at)))
     return e.select("subject", "round", "nth", "level", (F.col("x") / F.sum("x").over(at)).alias("posterior"))
