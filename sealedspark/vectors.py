@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sealedspark.layout import spread
-
 
 def dot(a: Column, b: Column, zero: str = "double") -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0).cast(zero), lambda s, x: s + x)
@@ -41,7 +39,7 @@ def l2_normalize(v: Column, dim: int) -> Column:
 def _bucket(word: Column, dim: int) -> Column:
     """int(md5 hex) modulo dim, eight hex digits at a time."""
     h, at = F.md5(word.cast("binary")), F.lit(0).cast("bigint")
-    for i in range(4):
+    for i in range(3 if 2**32 % dim == 0 else 0, 4):  # what is above the last 32 bits is a multiple of such a dim
         part = F.conv(F.substring(h, 8 * i + 1, 8), 16, 10).cast("bigint")
         at = (at * F.lit(2**32 % dim) + part) % F.lit(dim)
     return at
@@ -50,9 +48,10 @@ def _bucket(word: Column, dim: int) -> Column:
 def hash_embed(docs: DataFrame, dim: int) -> DataFrame:
     """doc_id, bucket, n: how many words of a text fall in each md5 bucket; the sparse form of the embedding.
 
-    Words are counted per document first, so that each of its distinct words is hashed once.
+    Words are counted per document first, so that each of its distinct words is hashed once. Texts are moved to where
+    their document is counted, and words are then made and counted there: one shuffle of texts, none of words.
     """
-    words = spread(docs.select("doc_id", "text")).select("doc_id", F.explode(F.split(F.lower("text"), r"(?U)\s+")).alias("word"))
+    words = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", F.explode(F.split(F.lower("text"), r"(?U)\s+")).alias("word"))
     counted = words.where("word <> ''").groupBy("doc_id", "word").agg(F.count("*").alias("n"))
     return counted.groupBy("doc_id", _bucket(F.col("word"), dim).alias("bucket")).agg(F.sum("n").alias("n"))
 
