@@ -12,7 +12,7 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache, partial
+from functools import partial
 
 import pyarrow as pa
 import regex
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sealedspark.layout import spread
-from sealedspark.llm.common import in_parts
+from sealedspark.llm.common import HELD, in_parts
 
 NONE = 1 << 60
 
@@ -114,10 +114,13 @@ class Codec:
         return b"".join(map(self.token.__getitem__, memoryview(ids).cast("I")))
 
 
-@lru_cache(maxsize=2)
 def _codec(path: str, blob: bytes, pattern: str) -> Codec:
+    """The codec of a rank file, kept in the worker for the next task until another operator's task begins there."""
+    if (held := HELD.get("bpe")) and held[0] == (path, blob, pattern):
+        return held[1]
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, blob.splitlines())}
-    return Codec(ranks, pattern)
+    HELD["bpe"] = (path, blob, pattern), Codec(ranks, pattern)
+    return HELD["bpe"][1]
 
 
 _OUT = T.StructType([
@@ -154,7 +157,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays(out, names=_OUT.names)
 
-    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(in_parts(run), _OUT)
+    return spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(in_parts(run, keeps="bpe"), _OUT)
 
 
 def digests(encoded: DataFrame) -> DataFrame:

@@ -74,15 +74,21 @@ def drop(*dfs: DataFrame) -> None:
             _delete(df.sparkSession, path)
 
 
-def in_parts(run, column: str = "text", most: int = 1 << 20):
+# What an operator keeps in a worker from task to task, by its name.
+HELD: dict[str, object] = {}
+
+
+def in_parts(run, column: str = "text", most: int = 1 << 20, keeps: str = ""):
     """`run`, a function of Arrow batches, over parts of them that hold about `most` bytes of a text column.
 
     A batch of Spark's has a number of rows, however long these are. What a task makes of it (Python strings, joined
     bytes, hashes) is bounded by the part, or by the longest text. `column` may name a field of a struct: doc.text.
-    Arrow's pool keeps what it once took; it is given back when a task ends, since workers serve many.
+    Arrow's pool keeps what it once took; it is given back when a task ends, since workers serve many. What another
+    operator than `keeps` has in HELD is let go when a task begins.
     """
 
     def go(batches):
+        _let_go(keeps)
         try:
             yield from run(part for batch in batches for part in _parts(batch, column, most))
         finally:
@@ -92,6 +98,11 @@ def in_parts(run, column: str = "text", most: int = 1 << 20):
     return go
 
 
+def _let_go(keeps: str) -> None:
+    for name in set(HELD) - {keeps}:
+        del HELD[name]
+
+
 def _give_back() -> None:
     """Let the C library return freed memory of the finished task to the system, where it knows how to."""
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

@@ -4,7 +4,7 @@ import hashlib
 import public_tokenizers as P
 import tiktoken
 
-from sealedspark.llm import bpe
+from sealedspark.llm import bpe, common
 
 PATH = P.path("byte_bpe_50k.tiktoken")
 
@@ -34,3 +34,11 @@ def test_leftmost_of_equal_ranks():
     ranks = {bytes([i]): i for i in range(256)} | {b"aa": 256, b"aaaa": 257}
     assert bpe.merge_piece(b"aaaaa", ranks) == [257, 97]
     assert bpe.merge_piece(b"aaa", ranks) == [256, 97]
+
+
+def test_another_operator_frees_the_codec():
+    codec = bpe._codec("x", b"YQ== 0", "a+")
+    list(common.in_parts(lambda parts: parts, keeps="bpe")([]))
+    assert bpe._codec("x", b"YQ== 0", "a+") is codec is not bpe._codec("y", b"YQ== 0", "a+")
+    list(common.in_parts(lambda parts: parts)([]))
+    assert not common.HELD
