@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sealedspark import policy, policy_rows
 from sealedspark.catalog_tables import POLICIES, read
+from sealedspark.layout import shuffled
 
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
@@ -49,13 +50,13 @@ def _varied(spark, sf_dir):
 def policy_min_attrs(spark, sf_dir):
     """The fewest attributes that meet each order's policy."""
     p = _varied(spark, sf_dir)
-    return p.join(policy_rows.min_attrs(p), "policy").select("o_orderkey", "min_attrs")
+    return p.join(shuffled(policy_rows.min_attrs(p)), "policy").select("o_orderkey", "min_attrs")
 
 
 def quarantined_policies(spark, sf_dir):
     """Orders whose policy cannot be read, and why."""
     p = _varied(spark, sf_dir)
-    return p.join(policy_rows.quarantine(p), "policy").select("o_orderkey", "reason")
+    return p.join(shuffled(policy_rows.quarantine(p)), "policy").select("o_orderkey", "reason")
 
 
 def policy_matrix(spark, sf_dir):

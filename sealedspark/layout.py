@@ -21,9 +21,18 @@ def few(df: DataFrame, most: int) -> bool:
     return df.count() <= most  # a limit would gather its rows in one task
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """`df` for a sort-merge join whatever its estimated size.
+
+    Spark estimates a table by the columns read from its files, also after a checkpoint: texts and trees made from two
+    keys of each row pass for small then, and would be broadcast through the driver.
+    """
+    return df.hint("merge")
+
+
 def broadcast_if_few(df: DataFrame, most: int) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `most` rows; else as it is, for a shuffle join."""
-    return F.broadcast(df) if few(df, most) else df
+    """`df` with a broadcast hint if it has at most `most` rows; else for a shuffle join."""
+    return F.broadcast(df) if few(df, most) else shuffled(df)
 
 
 def blocks(df: DataFrame, key: str, most: int) -> list[DataFrame]:

@@ -1,8 +1,8 @@
 """Policies held in a table: trees as rows, evaluated by joins instead of one compiled Column for each policy.
 
 A policy text is parsed where it lies (one Arrow function over the distinct texts) into its leaves, each with the way
-up from it: the nodes above it and how many of their children each needs. A caller meets a policy if the leaves that
-it holds satisfy the root, counted level by level with a groupBy.
+up from it: the nodes above it and how many of their children each needs. Whether a caller meets a policy is told
+within a row that holds both: the tree's nodes, parts before wholes, are folded by a SQL function.
 
 Which pairs of callers and policies are looked at at all comes from an inverted index. Each policy names witnesses:
 tokens of which every caller that meets it holds at least one. A leaf is its own witness, an OR needs those of all
@@ -18,11 +18,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sealedspark.layout import broadcast_if_few, pin
+from sealedspark.layout import broadcast_if_few, pin, shuffled
 from sealedspark.policy import All_, Any_, AtLeast, Leaf, Node, PolicyError, normalize_attrs, parse
 
 UP = "array<struct<node:int,kind:string,k:int>>"
 _PATH = pa.list_(pa.struct([("node", pa.int32()), ("kind", pa.string()), ("k", pa.int32())]))
+_NODES = pa.list_(pa.struct([("token", pa.string()), ("k", pa.int32()), ("n", pa.int32())]))
 _LEAVES = pa.list_(pa.struct([("token", pa.string()), ("path", _PATH)]))
 # At most so many granted (class, policy) rows of text are broadcast; more are joined by shuffle.
 FEW = 100_000
@@ -91,7 +92,7 @@ def quarantine(policies: DataFrame) -> DataFrame:
     return trees(policies).where("reason IS NOT NULL").select("policy", "reason")
 
 
-def _climb(rows: DataFrame, by: list[str], value: Column, most: int, keep: Column | None = None) -> DataFrame:
+def _climb(rows: DataFrame, by: list[str], value: Column, most: int) -> DataFrame:
     """Rows (by, path, id, value) of leaves, folded level by level, the deepest first, into one row a tree.
 
     All levels group within the same `by`, so that one shuffle serves them all. Parts that stand higher than the
@@ -104,8 +105,6 @@ def _climb(rows: DataFrame, by: list[str], value: Column, most: int, keep: Colum
         own = F.when(now, up["node"]).alias("own"), F.when(~now, F.col("id")).alias("id"), now.alias("now")
         g = rows.select(*by, "path", "value", *own).groupBy(*by, "now", "own", "id")
         g = g.agg(F.count("*").alias("n"), F.sum("value").alias("sum"), F.min("value").alias("least"), F.first("path").alias("path"))
-        if keep is not None:
-            g = g.where(~F.col("now") | keep)
         rows = g.select(
             *by, F.when(F.col("now"), F.slice("path", 2, F.size("path"))).otherwise(F.col("path")).alias("path"),
             F.when(F.col("now"), F.concat(F.lit("n"), F.col("own"))).otherwise(F.col("id")).alias("id"),
@@ -113,9 +112,9 @@ def _climb(rows: DataFrame, by: list[str], value: Column, most: int, keep: Colum
     return rows
 
 
-def _exploded(t: DataFrame, *more: str) -> DataFrame:
-    each = t.select("policy", *more, F.posexplode("leaves").alias("i", "leaf"))
-    return each.select("policy", *more, F.concat(F.lit("l"), "i").alias("id"), "leaf.token", "leaf.path", F.lit(1).cast("long").alias("value"))
+def _exploded(t: DataFrame) -> DataFrame:
+    each = t.select("policy", F.posexplode("leaves").alias("i", "leaf"))
+    return each.select("policy", F.concat(F.lit("l"), "i").alias("id"), "leaf.token", "leaf.path", F.lit(1).cast("long").alias("value"))
 
 
 def _depth(t: DataFrame) -> int:
@@ -130,11 +129,32 @@ def min_attrs(policies: DataFrame) -> DataFrame:
     return _climb(_exploded(t).drop("token"), ["policy"], value, _depth(t)).select("policy", F.col("value").alias("min_attrs"))
 
 
+def _nodes(node: Node) -> list[dict]:
+    """The nodes of a tree, parts before wholes: a leaf has its token, others need k of the n parts before them."""
+    if isinstance(node, Leaf):
+        return [{"token": node.token, "k": 0, "n": 0}]
+    return [x for p in node.parts for x in _nodes(p)] + [{"token": None, "k": _kind(node)[1], "n": len(node.parts)}]
+
+
+def _met(nodes: Column, attrs: Column) -> Column:
+    """Whether `attrs` satisfy the root: each node takes its parts' answers (0 or 1) off a list and puts its own there."""
+
+    def step(done: Column, x: Column) -> Column:
+        rest = F.size(done) - x["n"]
+        enough = F.aggregate(F.slice(done, rest + 1, x["n"]), F.lit(0), lambda a, b: a + b) >= x["k"]
+        own = F.when(x["token"].isNotNull(), F.array_contains(attrs, x["token"])).otherwise(enough)
+        return F.concat(F.slice(done, 1, rest), F.array(own.cast("int")))
+
+    return F.get(F.aggregate(nodes, F.array().cast("array<int>"), step), 0) == 1
+
+
 def _with_witnesses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, held = batch.column("policy").to_pylist(), batch.column("held").to_pylist()
-        found = [sorted(set(_witness(parse(t), {x["token"]: x["n"] for x in h})[1])) for t, h in zip(texts, held, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("policy"), pa.array(found, pa.list_(pa.string()))], names=["policy", "tokens"])
+        parsed = [parse(t) for t in texts]
+        found = [sorted(set(_witness(p, {x["token"]: x["n"] for x in h})[1])) for p, h in zip(parsed, held, strict=True)]
+        nodes = pa.array(map(_nodes, parsed), _NODES)
+        yield pa.RecordBatch.from_arrays([batch.column("policy"), pa.array(found, pa.list_(pa.string())), nodes], names=["policy", "tokens", "nodes"])
 
 
 def satisfied(callers: DataFrame, policies: DataFrame) -> DataFrame:
@@ -147,20 +167,19 @@ def satisfied(callers: DataFrame, policies: DataFrame) -> DataFrame:
     attrs = F.array_sort(normalize_attrs(F.filter("attrs", lambda a: a.isNotNull())))
     c = callers.select("caller_id", attrs.alias("attrs")).where("size(attrs) > 0")
     c = pin(c.select("caller_id", "attrs", F.sha2(F.concat_ws("\x1f", "attrs"), 256).alias("class")).distinct())
-    t = pin(trees(policies).where("leaves IS NOT NULL"))
+    t = trees(policies).where("leaves IS NOT NULL").select("policy", F.array_distinct("leaves.token").alias("asked"))
+    t = pin(t.withColumn("id", F.monotonically_increasing_id()))
+    # texts and trees are moved once each: counts come by numbers, and pairs are judged where a witness brings them together
     classes = c.groupBy("class").agg(F.first("attrs").alias("attrs"))
-    tokens = pin(classes.select("class", F.explode("attrs").alias("token")))
+    tokens = pin(classes.select("class", "attrs", F.explode("attrs").alias("token")))
     held = tokens.groupBy("token").agg(F.count("*").alias("n"))
-    asked = _exploded(t).select("policy", "token").distinct()
-    known = asked.join(held, "token", "left").groupBy("policy").agg(F.collect_list(F.struct("token", F.coalesce("n", F.lit(0).cast("long")).alias("n"))).alias("held"))
-    by = known.mapInArrow(_with_witnesses, "policy string, tokens array<string>").select("policy", F.explode("tokens").alias("token"))
-    pairs = by.join(tokens, "token").select("class", "policy").distinct()
-    # a pair brings the policy's leaves and the class's attributes together; only held leaves go on
-    full = pairs.join(t, "policy").join(classes, "class")
-    own = F.filter("leaves", lambda x: F.array_contains(F.col("attrs"), x["token"]))
-    hits = _exploded(full.select("class", "policy", own.alias("leaves")), "class").drop("token")
-    met = _climb(hits, ["class", "policy"], F.lit(1).cast("long"), _depth(t), F.col("n") >= F.get("path", 0)["k"])
-    return met.select("class", "policy").join(c, "class").select("caller_id", "policy").distinct()
+    asked = t.select("id", F.explode("asked").alias("token")).join(shuffled(held), "token", "left")
+    known = asked.groupBy("id").agg(F.collect_list(F.struct("token", F.coalesce("n", F.lit(0).cast("long")).alias("n"))).alias("held"))
+    known = shuffled(t.select("id", "policy")).join(known, "id").select("policy", "held")
+    by = known.mapInArrow(_with_witnesses, "policy string, tokens array<string>, nodes array<struct<token:string,k:int,n:int>>")
+    by = by.select("policy", "nodes", F.explode("tokens").alias("token"))
+    pairs = by.join(shuffled(tokens), "token").where(_met(F.col("nodes"), F.col("attrs"))).select("class", "policy").distinct()
+    return pairs.join(shuffled(c), "class").select("caller_id", "policy").distinct()
 
 
 def gate(docs: DataFrame, callers: DataFrame) -> DataFrame:

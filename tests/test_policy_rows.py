@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sealedspark import policy, policy_rows, retrieval
+from sealedspark import catalog, layout, policy, policy_rows, retrieval
 
 
 def met(node, held):
@@ -20,6 +20,7 @@ def make(rnd, depth):
     return rnd.choice(["({})".format(" AND ".join(parts)), "({})".format(" OR ".join(parts)), f"{rnd.randint(1, 3)}-of({', '.join(parts)})"])
 
 
+SF = "/root/testdata/sf0.001"
 BAD = ["broken (", "a:1 and b:2", "", "0-of(a:1)", "(" * 3000 + "a:1" + ")" * 3000]
 
 
@@ -67,3 +68,13 @@ def test_a_gate_over_a_table_of_policies(spark):
     assert {(r.query_id, r.doc_id, r["rank"]) for r in got} == {(1, 3, 1), (2, 19, 1), (2, 18, 2), (2, 17, 3)}
     gated = policy_rows.gate(docs, asks.select(F.col("query_id").alias("caller_id"), "attrs")).groupBy("caller_id").count()
     assert {tuple(r) for r in gated.collect()} == {(1, 1), (2, 20)}
+
+
+def test_no_table_of_policies_or_callers_is_broadcast_by_its_estimated_size(spark, case):
+    """Estimates come from the files' columns: trees and attributes made from them pass for small."""
+    texts, _, p, c = case
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (policy_rows.satisfied(c, p), catalog.QUERIES["policy_min_attrs"](spark, SF), catalog.QUERIES["quarantined_policies"](spark, SF)):
+        assert "SortMergeJoin" in plan(df) and "BroadcastHashJoin" not in plan(df)
+    few, many = (p.join(layout.broadcast_if_few(p.select("policy"), n), "policy") for n in (10_000, 1))
+    assert "BroadcastHashJoin" in plan(few) and "SortMergeJoin" in plan(many)
