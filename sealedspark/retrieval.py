@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sealedspark import policy_rows
-from sealedspark.ipfe import Public, Query, Scheme, derive, inner_products, numbers
-from sealedspark.layout import blocks, broadcast_if_few, pin, spread
+from sealedspark.ipfe import Public, Requests, Scheme, derive, inner_product, numbers
+from sealedspark.layout import blocks, broadcast_if_few, pin, shuffled, spread
 from sealedspark.policy import satisfied
 from sealedspark.vectors import dot, norm, quantize
 from sealedspark.wire import check_wire
@@ -27,6 +27,8 @@ MAX_GRANTS = 1_000_000
 LARGEST = {"bigint": float(1 << 20), "double": 1e15}
 # So many requests are multiplied with half as many documents at once.
 TILE = 1024
+# So many ciphertexts are scored at once.
+CHUNK = 128
 
 
 def _best(scored: DataFrame, k: int) -> DataFrame:
@@ -158,24 +160,23 @@ def _by_matrix(docs: DataFrame, block: DataFrame, policies: list[str] | DataFram
         ok = pin(granted(block.select("query_id", "attrs"), policies).distinct())
         if ok.count() > MAX_GRANTS:
             return None
-        got = ok.toArrow()
-        names, code = np.unique(got.column("policy").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
-        who = got.column("query_id").to_numpy()
-        grants = _grants(ids, who, code, len(names))
-        docs = docs.join(F.broadcast(spark.createDataFrame(list(enumerate(names.tolist())), "at int, policy string")), "policy")
+        names, grants = _grants(ids, ok)
+        docs = docs.join(F.broadcast(spark.createDataFrame(list(enumerate(names)), "at int, policy string")), "policy")
     shared = spark.sparkContext.broadcast((ids, asked, t.column("n").to_numpy(), t.column("unit").to_numpy(), grants))
     return docs.select("doc_id", "vec", "n", "at").mapInArrow(_best_of(shared, k), "query_id long, doc_id long, score double")
 
 
-def _grants(ids: np.ndarray, who: np.ndarray, code: np.ndarray, n: int) -> list[np.ndarray]:
-    """For each of n policies the places of the requests that it is granted to."""
+def _grants(ids: np.ndarray, ok: DataFrame) -> tuple[list[str], list[np.ndarray]]:
+    """The granted policies of `ok` (query_id, policy), and for each the places of the requests that it is granted to."""
+    got = ok.toArrow()
+    names, code = np.unique(got.column("policy").to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
     places: dict = {}
     for place, i in enumerate(ids.tolist()):
         places.setdefault(i, []).append(place)
-    out: list[list] = [[] for _ in range(n)]
-    for i, c in zip(who.tolist(), code.tolist(), strict=True):
+    out: list[list] = [[] for _ in names]
+    for i, c in zip(got.column("query_id").to_pylist(), code.tolist(), strict=True):
         out[c] += places[i]
-    return [np.array(x, np.int64) for x in out]
+    return names.tolist(), [np.array(x, np.int64) for x in out]
 
 
 def _ranked(docs: DataFrame, requests: DataFrame, policies: list[str] | DataFrame | None, kind: str, k: int, block_bytes: int = 1 << 25) -> DataFrame:
@@ -257,58 +258,105 @@ def rank_plain(docs: DataFrame, requests: DataFrame, policies: list[str] | DataF
     return _ranked(d, r, policies, "double", k, block_bytes)
 
 
-def _scored(public: Public, shared):
-    """A function of Arrow batches (doc_id, ct, ids): every document is read once for all requests of a block."""
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Array, list]]:
+    """Documents of Arrow batches (doc_id, ct, at) by what they are granted to: `at`, ids and ciphertexts of up to CHUNK."""
+    held: dict = {}
+
+    def let_go(at: int) -> tuple[int, pa.Array, list]:
+        docs, cts = held.pop(at)
+        return at, pa.array(docs, kind), cts
+
+    for batch in batches:
+        kind = batch.schema.field("doc_id").type
+        for lo in range(0, len(batch), CHUNK):
+            for doc, ct, at in zip(*(c.to_pylist() for c in batch.slice(lo, CHUNK).select(["doc_id", "ct", "at"]).columns), strict=True):
+                docs, cts = held.setdefault(at, ([], []))
+                docs.append(doc)
+                cts.append(numbers(ct))
+                if len(docs) == CHUNK:
+                    yield let_go(at)
+            if sum(len(docs) for docs, _ in held.values()) > 16 * CHUNK:
+                yield from map(let_go, list(held))
+    yield from map(let_go, list(held))
+
+
+def _scored(public: Public, shared, k: int | None):
+    """A function of Arrow batches (doc_id, ct, at): a chunk of documents is scored for all requests that may read it.
+
+    What it holds at once is a chunk's scores and powers. With `k` only the k best of each request are given on.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        queries: dict = {}
-        for batch in batches:
-            docs, cts, ids = (batch.column(c).to_pylist() for c in ("doc_id", "ct", "ids"))
-            pairs = []
-            for ct, asked in zip(cts, ids, strict=True):
-                ct = numbers(ct)
-                for i in asked:
-                    if i not in queries:
-                        queries[i] = Query(public, *shared.value[i])
-                    pairs.append((ct, queries[i]))
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            doc = batch.column("doc_id").take(pa.array(np.repeat(np.arange(len(docs)), size)))
-            flat = pa.array([i for asked in ids for i in asked], pa.int64())
-            yield pa.RecordBatch.from_arrays([flat, doc, pa.array(inner_products(public, pairs), pa.int64())], names=["query_id", "doc_id", "score"])
+        ids, keys, vectors, grants = shared.value
+        asked, held, done, waiting = {}, k and _Held(len(ids), k), [], 0
+        names = ["query_id", "doc_id", "score"]
+        for at, docs, cts in _together(batches):
+            who = grants[at]
+            if at not in asked:
+                asked[at] = Requests(public, [keys[i] for i in who], vectors[who])
+            scores = asked[at].scores(cts)
+            if k:
+                x, y = np.nonzero(scores >= held.score[who, -1][:, None])
+                if len(x):
+                    held.add(who[x], scores[x, y], docs.to_numpy(zero_copy_only=False)[y])
+                continue
+            doc = docs.take(pa.array(np.tile(np.arange(len(docs)), len(who))))
+            done.append(pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[who], len(docs))), doc, pa.array(scores.ravel())], names=names))
+            waiting += scores.size
+            if waiting >= 1 << 16:
+                yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+                done, waiting = [], 0
+        if done:
+            yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+        if k:
+            q, i = np.nonzero(held.score > -np.inf)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(held.doc[q, i]), pa.array(held.score[q, i].astype(np.int64))], names=names)
 
     return run
 
 
-def sealed_pairs(scheme: Scheme, docs: DataFrame, requests: DataFrame, policies: list[str] | DataFrame) -> DataFrame:
+def sealed_pairs(scheme: Scheme, docs: DataFrame, requests: DataFrame, policies: list[str] | DataFrame, k: int | None = None) -> DataFrame:
     """query_id, doc_id, score for every document that a request may read: the raw integer inner product.
 
     docs: doc_id, policy, ct. requests: query_id (distinct), attrs, q (quantised). The key holder's executors make one
     key per request; what goes to the scoring side is checked to be ids, attributes, integers and keys (`check_wire`).
     Requests are scored in blocks of at most about MAX_REQUESTS, whose keys are broadcast to the workers; with several
-    blocks each one's scores are written before the next, so that neither plan nor driver grows with them.
+    blocks each one's scores are written before the next, so that neither plan nor driver grows with them. With `k`,
+    where ids of documents are bigint, pairs that are not among a request's k best of a partition may be left out.
     """
     if not scheme.msk:
         raise ValueError("functional keys need the master secret")
     spark = docs.sparkSession
     wire = pin(check_wire(requests.select("query_id", "attrs", F.col("q").cast("array<bigint>").alias("q"), derive(scheme, F.col("q")).alias("sk"))))
-    parts, scored = blocks(wire, "query_id", MAX_REQUESTS), []
+    parts, scored = blocks(wire.where("query_id IS NOT NULL"), "query_id", MAX_REQUESTS), []
     if len(parts) > 1:
         docs = pin(docs)  # ciphertexts are random and costly, so they are made once
+    named = docs.schema["doc_id"].dataType
     kind = T.StructType([T.StructField("query_id", T.LongType()), docs.schema["doc_id"], T.StructField("score", T.LongType())])
+    if not isinstance(named, T.LongType) or not 0 < (k or 0) * MAX_REQUESTS <= 1 << 22:
+        k = None
+    sealed = docs.where("doc_id IS NOT NULL") if k else docs
     for block in parts:
-        keys = {r.query_id: (bytes(r.sk), r.q) for r in block.select("query_id", "sk", "q").toLocalIterator()}  # one block
-        ids = granted(block, policies).groupBy("policy").agg(F.collect_list("query_id").alias("ids"))
-        # a policy's list has a block's requests at most; policies are as many as are granted
-        ids = F.broadcast(ids) if isinstance(policies, list) and MAX_REQUESTS * len(policies) <= MAX_GRANTS else ids
-        pairs = docs.join(ids, "policy").select("doc_id", "ct", "ids")
-        one = pairs.mapInArrow(_scored(scheme.public, spark.sparkContext.broadcast(keys)), kind)
+        ok = pin(granted(block, policies).select("query_id", "policy").distinct())
+        if ok.count() > MAX_GRANTS:  # a pair is a row
+            asked = F.broadcast(block.select(F.col("query_id").cast("long").alias("query_id"), "sk", "q"))
+            pairs = docs.join(shuffled(ok), "policy").join(asked, "query_id")
+            one = pairs.select("query_id", "doc_id", inner_product(scheme.public, F.col("ct"), F.col("sk"), F.col("q")).alias("score"))
+        else:
+            t = block.select(F.col("query_id").cast("long").alias("query_id"), "sk", "q").toArrow()  # one block
+            ids = t.column("query_id").to_numpy()
+            vectors = t.column("q").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(ids), len(scheme.msk))
+            names, grants = _grants(ids, ok)
+            places = F.broadcast(spark.createDataFrame(list(enumerate(names)), "at int, policy string"))
+            shared = spark.sparkContext.broadcast((ids, t.column("sk").to_pylist(), vectors, grants))
+            one = sealed.join(places, "policy").select("doc_id", "ct", "at").mapInArrow(_scored(scheme.public, shared, k), kind)
         scored.append(pin(one) if len(parts) > 1 else one)
     return reduce(DataFrame.union, scored)
 
 
 def rank_sealed(scheme: Scheme, docs: DataFrame, requests: DataFrame, policies: list[str] | DataFrame, k: int) -> DataFrame:
     """The k best of `sealed_pairs` by request: query_id, doc_id, score, rank."""
-    return _best(sealed_pairs(scheme, docs, requests, policies), k)
+    return _best(sealed_pairs(scheme, docs, requests, policies, k), k)
 
 
 def as_cosine(score: Column, quant_bits: int) -> Column:
