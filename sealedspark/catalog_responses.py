@@ -87,9 +87,9 @@ def redaction_audit(spark, sf_dir):
 
 
 def _evidence(spark, sf_dir):
-    e = read(spark, sf_dir, "events")
-    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return e.select(F.col("user_id").alias("subject"), nth.alias("round"), F.when(F.col("event_type").isin(LEVELS), F.col("event_type")).alias("reply"))
+    e = read(spark, sf_dir, "events").withColumnRenamed("user_id", "subject")
+    nth = F.row_number().over(Window.partitionBy("subject").orderBy("ts", "event_id"))
+    return e.select("subject", nth.alias("round"), F.when(F.col("event_type").isin(LEVELS), F.col("event_type")).alias("reply"))
 
 
 def posterior_by_round(spark, sf_dir):
@@ -98,7 +98,8 @@ def posterior_by_round(spark, sf_dir):
 
 
 def rounds_until_grant(spark, sf_dir):
-    return inference.rounds_until(inference.posterior(_evidence(spark, sf_dir), LEVELS, q=0.4), "purchase", 0.6)
+    first = _evidence(spark, sf_dir).where("round <= 20")  # no later round counts, nor does it change an earlier one
+    return inference.rounds_until(inference.posterior(first, LEVELS, q=0.4), "purchase", 0.6, 20)
 
 
 def belief_top(spark, sf_dir):
