@@ -296,7 +296,10 @@ def _scored(public: Public, shared, k: int | None):
                 asked[at] = Requests(public, [keys[i] for i in who], vectors[who])
             scores = asked[at].scores(cts)
             if k:
-                x, y = np.nonzero(scores >= held.score[who, -1][:, None])
+                least = held.score[who, -1]
+                if len(docs) > k and (new := np.flatnonzero(np.isinf(least))).size:  # k of the chunk itself are as near
+                    least[new] = np.partition(scores[new], -k, 1)[:, -k]
+                x, y = np.nonzero(scores >= least[:, None])
                 if len(x):
                     held.add(who[x], scores[x, y], docs.to_numpy(zero_copy_only=False)[y])
                 continue
@@ -320,20 +323,24 @@ def sealed_pairs(scheme: Scheme, docs: DataFrame, requests: DataFrame, policies:
 
     docs: doc_id, policy, ct. requests: query_id (distinct), attrs, q (quantised). The key holder's executors make one
     key per request; what goes to the scoring side is checked to be ids, attributes, integers and keys (`check_wire`).
-    Requests are scored in blocks of at most about MAX_REQUESTS, whose keys are broadcast to the workers; with several
-    blocks each one's scores are written before the next, so that neither plan nor driver grows with them. With `k`,
+    Requests are scored in blocks of at most about MAX_REQUESTS, or four times as many where few policies are granted,
+    whose keys are broadcast to the workers; with several blocks each one's scores are written before the next, so that
+    neither plan nor driver grows with them. Only independent requests are decrypted (`Requests.basis`). With `k`,
     where ids of documents are bigint, pairs that are not among a request's k best of a partition may be left out.
     """
     if not scheme.msk:
         raise ValueError("functional keys need the master secret")
     spark = docs.sparkSession
     wire = pin(check_wire(requests.select("query_id", "attrs", F.col("q").cast("array<bigint>").alias("q"), derive(scheme, F.col("q")).alias("sk"))))
-    parts, scored = blocks(wire.where("query_id IS NOT NULL"), "query_id", MAX_REQUESTS), []
+    rows = max(1, min(4, MAX_GRANTS // max(1, MAX_REQUESTS * len(policies)))) * MAX_REQUESTS if isinstance(policies, list) else MAX_REQUESTS
+    if (k or 0) * rows > 1 << 22:
+        rows = MAX_REQUESTS
+    parts, scored = blocks(wire.where("query_id IS NOT NULL"), "query_id", rows), []
     if len(parts) > 1:
         docs = pin(docs)  # ciphertexts are random and costly, so they are made once
     named = docs.schema["doc_id"].dataType
     kind = T.StructType([T.StructField("query_id", T.LongType()), docs.schema["doc_id"], T.StructField("score", T.LongType())])
-    if not isinstance(named, T.LongType) or not 0 < (k or 0) * MAX_REQUESTS <= 1 << 22:
+    if not isinstance(named, T.LongType) or not 0 < (k or 0) * rows <= 1 << 22:
         k = None
     sealed = docs.where("doc_id IS NOT NULL") if k else docs
     for block in parts:

@@ -95,3 +95,62 @@ def test_the_best_are_taken_where_pairs_are_scored(spark, monkeypatch, case, nam
     assert sorted((x.query_id, x["rank"], -x.score, x.doc_id) for x in got) == [(q, n, *x) for q in top for n, x in enumerate(top[q], 1)]
     if named == "long" and case != "pairs":
         assert 0 < sum(made) <= 3 * 2 * 48 < len(want)
+
+
+def asked_of(scheme, q):
+    return ipfe.Requests(scheme.public, [scheme.key(x).to_bytes(8, "big") for x in q.tolist()], q)
+
+
+@pytest.mark.parametrize("rank", [4, 2, 1])
+def test_powers_do_not_grow_with_the_requests(monkeypatch, rank):
+    """Only independent requests are decrypted; the scores of all others are combinations of theirs, exactly."""
+    scheme, rnd, made = ipfe.Scheme.setup(4, 64), np.random.default_rng(7), []
+    log = ipfe.Requests._log
+    monkeypatch.setattr(ipfe.Requests, "_log", lambda self, x: made.append(x.shape[1]) or log(self, x))
+    q = rnd.integers(-9, 10, (500, rank)) @ rnd.integers(-3, 4, (rank, 4))
+    q[0] = 0
+    v = rnd.integers(-100, 101, (200, 4))
+    asked = asked_of(scheme, q)
+    assert (asked.scores([plain_ct(scheme, x) for x in v]) == q @ v.T).all()
+    assert sum(made) == np.linalg.matrix_rank(q) * 200
+
+
+def test_keys_of_other_requests_and_damaged_ciphertexts_are_errors_still():
+    scheme, rnd = ipfe.Scheme.setup(3, 64), np.random.default_rng(8)
+    q, v = rnd.integers(-9, 10, (300, 3)), rnd.integers(-100, 101, (60, 3))
+    cts = [plain_ct(scheme, x) for x in v]
+    for at in range(0, 300, 50):
+        asked = asked_of(scheme, q)
+        asked.keys[at] = (int.from_bytes(asked.keys[at], "big") ^ 1).to_bytes(8, "big")
+        assert asked.basis is None
+    other = np.concatenate([q[:1] + 1, q[1:]])
+    with pytest.raises(ValueError):
+        ipfe.Requests(scheme.public, [scheme.key(x).to_bytes(8, "big") for x in other.tolist()], q).scores(cts)
+    cts[17][2] = cts[17][2] * pow(scheme.public.g, 1 << 50, scheme.public.p) % scheme.public.p
+    with pytest.raises(ValueError):
+        asked_of(scheme, q).scores(cts)
+
+
+def test_scores_that_are_no_whole_combination_are_decrypted():
+    """The component is 1/2 in the exponent: a basis of even requests cannot tell, the odd ones are out of range."""
+    scheme = ipfe.Scheme.setup(1, 64)
+    q = np.array([[2 * i] for i in range(-50, 50)] + [[1]])
+    half = pow(scheme.public.g, pow(2, -1, (scheme.public.p - 1) // 2), scheme.public.p)
+    cts = [plain_ct(scheme, [x % 100]) for x in range(200)]
+    assert (asked_of(scheme, q).scores(cts) == q @ (np.arange(200) % 100)[None]).all()
+    cts[5][1] = cts[5][1] * half % scheme.public.p
+    with pytest.raises(ValueError):
+        asked_of(scheme, q).scores(cts)
+    assert (asked_of(scheme, q[:-1]).scores(cts)[:, 5] == q[:-1, 0] * 11 // 2).all()
+
+
+@pytest.mark.parametrize("k", [None, 2])
+def test_blocks_of_sealed_requests_give_all_pairs(spark, monkeypatch, k):
+    scheme, rnd = ipfe.Scheme.setup(2, 64), random.Random(9)
+    monkeypatch.setattr(retrieval, "MAX_REQUESTS", 10)
+    docs, asks = [(i, [rnd.randrange(-9, 10) for _ in range(2)], "role:a") for i in range(90)], [(i, [rnd.randrange(-9, 10) for _ in range(2)], ["role:a"]) for i in range(100)]
+    d = sealed(scheme.public, spark.createDataFrame(docs, "doc_id long, v array<long>, policy string").repartition(1))
+    got = retrieval.sealed_pairs(scheme, d, spark.createDataFrame(asks, "query_id long, q array<long>, attrs array<string>"), ["role:a"], k).collect()
+    want = {(q, i): x[0] * v[0] + x[1] * v[1] for q, x, _ in asks for i, v, _ in docs}
+    assert all(want[r.query_id, r.doc_id] == r.score for r in got)
+    assert len(got) == len({(r.query_id, r.doc_id) for r in got}) == (k or 90) * 100
