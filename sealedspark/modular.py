@@ -95,6 +95,17 @@ class Field:
         """From 0 to p."""
         return [sum(w << 2 * W * k for k, w in enumerate(row)) % self.p for row in self.words(a).tolist()]
 
+    def big_endian(self, a: np.ndarray, size: int) -> np.ndarray:
+        """Numbers from 0 to p as bytes (n, size)."""
+        words = self.words(a)
+        below = words[:, -1] < 0
+        words[below] += [self.p >> 2 * W * k & (1 << 2 * W) - 1 for k in range(words.shape[1])]
+        for k in range(words.shape[1] - 1):
+            words[:, k + 1] += words[:, k] >> 2 * W
+            words[:, k] &= (1 << 2 * W) - 1
+        raw = words[:, ::-1].astype(">i8").view(np.uint8).reshape(len(words), -1, 8)[:, :, 2:]
+        return np.ascontiguousarray(raw.reshape(len(words), -1)[:, -size:])
+
     def powers(self, base: np.ndarray, first: np.ndarray, n: int) -> np.ndarray:
         """first * base**v for v from 0 to n - 1: (n, limbs, ...) for bases (limbs, ...)."""
         out = np.empty((n, *base.shape))

@@ -154,3 +154,23 @@ def test_blocks_of_sealed_requests_give_all_pairs(spark, monkeypatch, k):
     want = {(q, i): x[0] * v[0] + x[1] * v[1] for q, x, _ in asks for i, v, _ in docs}
     assert all(want[r.query_id, r.doc_id] == r.score for r in got)
     assert len(got) == len({(r.query_id, r.doc_id) for r in got}) == (k or 90) * 100
+
+
+@pytest.mark.parametrize("bits,dim,precision", [(64, 5, 2), (40, 3, 1), (101, 130, 2), (200, 4, 0), (420, 3, 1)])
+def test_many_vectors_are_encrypted_at_once(spark, bits, dim, precision):
+    """Each ciphertext is that of its vector, with components beyond the table too."""
+    scheme, rnd, most = ipfe.Scheme.setup(dim, bits, precision), np.random.default_rng(5), 10**precision
+    p, g, order = scheme.public.p, scheme.public.g, (scheme.public.p - 1) // 2
+    rs = [0, 1, order - 1, *(random.randrange(order) for _ in range(60))]
+    v = rnd.integers(-most, most + 1, (63, dim))
+    v[0], v[1] = most, -most
+    want = [[pow(g, r, p), *(pow(h, r, p) * pow(g, x, p) % p for h, x in zip(scheme.public.mpk, row, strict=True))] for r, row in zip(rs, v.tolist(), strict=True)]
+    if Field(p).fits:
+        assert [ipfe.numbers(c) for c in ipfe._many(scheme.public, rs, v)] == want
+    assert [ipfe.numbers(ipfe._one(scheme.public, r, x)) for r, x in zip(rs, v.tolist(), strict=True)] == want
+    v[7] = most + 1
+    df = spark.createDataFrame([(x,) for x in v.tolist()], "v array<long>").repartition(1)
+    for row, ct in df.select("v", ipfe.encrypt(scheme.public, F.col("v"))).collect():
+        c, *rest = ipfe.numbers(ct)
+        assert {len(x) for x in ct} == {(p.bit_length() + 7) // 8}
+        assert rest == [pow(c, s, p) * pow(g, x, p) % p for s, x in zip(scheme.msk, row, strict=True)]
