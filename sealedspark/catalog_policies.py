@@ -35,7 +35,7 @@ def _orders(spark, sf_dir):
 
 def table_policies(spark, sf_dir):
     """Every order beside the customers that may read it; there are nearly as many policies as orders."""
-    return policy_rows.gate(_orders(spark, sf_dir), _customers(spark, sf_dir)).select("doc_id", "caller_id")
+    return policy_rows.granted(_orders(spark, sf_dir), _customers(spark, sf_dir))
 
 
 def _varied(spark, sf_dir):

@@ -78,3 +78,33 @@ def test_no_table_of_policies_or_callers_is_broadcast_by_its_estimated_size(spar
         assert "SortMergeJoin" in plan(df) and "BroadcastHashJoin" not in plan(df)
     few, many = (p.join(layout.broadcast_if_few(p.select("policy"), n), "policy") for n in (10_000, 1))
     assert "BroadcastHashJoin" in plan(few) and "SortMergeJoin" in plan(many)
+
+
+def test_documents_meet_callers_without_a_join_of_texts(spark):
+    """Pairs were joined with texts and trees; now they are judged where a witness brings both sides together."""
+    plan = catalog.QUERIES["table_policies"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_texts_of_one_shape_and_tokens_dealt_over_addresses(spark, monkeypatch):
+    for name, n in (("TOGETHER", 3), ("MANY", 2), ("SAMPLED", 1), ("CLASS", 4)):
+        monkeypatch.setattr(policy_rows, name, n, raising=False)
+    shapes = ["t:{0}", "T:{0} OR t:{1}", '2-of(t:{0}, "t:{1}", t:{2} OR t:{0})', "t : {0} AND t:{1}", '"t:{0}" AND (t:1 OR t:{2})', "t:{0} x AND t:1", "a:b:{0} OR t:{1}",
+              "4-of(t:{0}, t:{1}) OR t:{2}", "t:{0} AND t:{1} OR t:{1} AND t:{2}", "t:{0} and t:1", "\x01 OR t:{0}", "2-of(t:{0}, t:{0})", "t:1 AND é:{0} OR t:{2}", "t:{0} OR \"b c:{1}\""]
+    docs = [(i, shapes[i % len(shapes)].format(i % 7, i % 5, i % 3)) for i in range(500)] + [(900, None), (901, ""), (902, "t:1 OR"), (903, "t:2"), (904, "t:2")]
+    rnd = random.Random(4)
+    held = [sorted({f"t:{x}" for x in range(7) if rnd.random() < 0.4} | rnd.choice([set(), {"a:b:1"}, {"b c:2", 'x:"y'}, {"é:1"}])) for _ in range(12)]
+    callers = [(i, held[i % 12]) for i in range(30)] + [(31, [f"n:{x}" for x in range(80)] + ["t:2"])]
+
+    def grants(text, attrs):
+        try:
+            return text is not None and met(policy.parse(text), set(attrs))
+        except policy.PolicyError:
+            return False
+
+    want = sorted((d, c) for d, text in docs for c, attrs in callers if grants(text, attrs))
+    d = spark.createDataFrame(docs, "doc_id long, policy string").repartition(2)
+    for rows in (callers, callers + [(0, ["t:1", "t:1"]), (0, held[0])]):
+        got = policy_rows.granted(d, spark.createDataFrame(rows, "caller_id long, attrs array<string>")).collect()
+        extra = [] if rows is callers else [(k, 0) for k, text in docs if grants(text, ["t:1"])]
+        assert sorted((r.doc_id, r.caller_id) for r in got) == sorted(set(want) | set(extra))
